@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import quality_rules
+from lexloom.llm import license_scan, line_dedup, quality_rules
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,10 +21,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS t,
-         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS w
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
   FROM documents
 ), l AS (
-  SELECT *, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d
+  SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d
 ), win AS (
   SELECT doc_id, i, w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] AS g
   FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)
@@ -56,5 +56,65 @@ SELECT r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
 FROM r CROSS JOIN p LEFT JOIN h ON h.source = r.source
 """
 
-QUERIES = {"op9_quality_rules": op9_quality_rules}
-ORACLES = {"op9_quality_rules": OP9_SQL}
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.license_scan(documents(spark, sf_dir))
+    return out.select("doc_id", "license", F.round("dice", 9).alias("dice"), "kind", F.col("at").cast("long").alias("pos"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = line_dedup.line_dedup(docs)
+    return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.md5(F.col("text")).alias("text_md5"))
+
+
+def _sql_list(items: list[str]) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "]"
+
+
+def _op10_sql() -> str:
+    rows = ", ".join(f"('{name}', {k}, '" + text.replace("'", "''") + "')" for name, texts in license_scan.TEMPLATES.items() for k, text in enumerate(texts))
+    norm = "trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    return f"""
+WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),
+p AS (
+  SELECT doc_id, 'line' AS kind, i - 1 AS pos, l[i] AS s FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM d))
+  UNION ALL
+  SELECT doc_id, 'paragraph', i - 1, l[i] FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '\n[\x20\x09-\x0D]*\n') AS l FROM d)) WHERE contains(l[i], chr(10))
+  UNION ALL
+  SELECT doc_id, 'text', 0, text FROM d WHERE contains(text, chr(10) || chr(10))
+), w AS (SELECT doc_id, kind, pos, string_split({norm.format("s")}, ' ') AS w FROM p),
+b AS (SELECT doc_id, kind, pos, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w WHERE len(w) > 1),
+t AS (SELECT license, k, string_split({norm.format("s")}, ' ') AS w FROM (VALUES {rows}) AS v(license, k, s)),
+tb AS (SELECT license, k, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS tb FROM t),
+s AS (
+  SELECT doc_id, kind, pos, license, 2.0 * len(list_intersect(b, tb)) / (len(b) + len(tb)) AS dice
+  FROM b JOIN tb ON len(b) >= 0.66 * len(tb) AND len(b) <= 1.51 * len(tb)
+)
+SELECT doc_id, license, round(CAST(dice AS DOUBLE), 9) AS dice, kind, CAST(pos AS BIGINT) AS pos FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY dice DESC, pos, kind DESC) AS rn FROM s WHERE dice >= 0.8
+) WHERE rn = 1
+"""
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, text, CASE WHEN text IS NULL THEN NULL ELSE string_split(text, chr(10)) END AS l FROM documents),
+w AS (
+  SELECT doc_id, i, array_to_string(l[i:i + 2], chr(10)) AS s, least(len(l), 3) AS n
+  FROM (SELECT doc_id, l, unnest(range(1, greatest(len(l) - 2, 1) + 1)) AS i FROM d WHERE l IS NOT NULL)
+  WHERE trim(array_to_string(l[i:i + 2], '')) <> ''
+), r AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY n, s ORDER BY doc_id, i) AS k FROM w) WHERE k > 1
+), c AS (
+  SELECT doc_id, list(DISTINCT i + o) AS gone FROM r, (VALUES (0), (1), (2)) AS v(o) GROUP BY doc_id
+), f AS (
+  SELECT d.doc_id, text, l, CASE WHEN gone IS NULL THEN l ELSE list_filter(l, lambda x, i: NOT list_contains(gone, i)) END AS k
+  FROM d LEFT JOIN c ON c.doc_id = d.doc_id
+)
+SELECT doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(l) - len(k), 0) AS BIGINT) AS n_removed,
+       CAST(length(array_to_string(k, chr(10))) AS BIGINT) AS n_chars_left, md5(array_to_string(k, chr(10))) AS text_md5
+FROM f
+"""
+
+QUERIES = {"op3_line_dedup": op3_line_dedup, "op9_quality_rules": op9_quality_rules, "op10_license_scan": op10_license_scan}
+ORACLES = {"op3_line_dedup": OP3_SQL, "op9_quality_rules": OP9_SQL, "op10_license_scan": _op10_sql()}
