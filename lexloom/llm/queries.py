@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import license_scan, line_dedup, quality_rules
+from lexloom.llm import language_id, license_scan, line_dedup, quality_rules
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +68,15 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.md5(F.col("text")).alias("text_md5"))
 
 
-def _sql_list(items: list[str]) -> str:
-    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "]"
+def _fold(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    profiles = language_id.learned_profiles(docs.where(_fold(4) != 2).select("text", "lang"))
+    out = language_id.predict_language(docs.select("doc_id", "text"), profiles)
+    return out.select("doc_id", (F.coalesce(_fold(4), F.lit(0)) == 2).alias("held_out"), "lang_pred", "score")
 
 
 def _op10_sql() -> str:
@@ -116,5 +123,5 @@ SELECT doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len
 FROM f
 """
 
-QUERIES = {"op3_line_dedup": op3_line_dedup, "op9_quality_rules": op9_quality_rules, "op10_license_scan": op10_license_scan}
+QUERIES = {"op3_line_dedup": op3_line_dedup, "op7_language_id": op7_language_id, "op9_quality_rules": op9_quality_rules, "op10_license_scan": op10_license_scan}
 ORACLES = {"op3_line_dedup": OP3_SQL, "op9_quality_rules": OP9_SQL, "op10_license_scan": _op10_sql()}
