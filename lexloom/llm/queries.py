@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import language_id, license_scan, line_dedup, quality_rules
+from lexloom.llm import language_id, license_scan, line_dedup, quality_rules, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,14 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.md5(F.col("text")).alias("text_md5"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    manifest = token_files.write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.read_token_documents(manifest).withColumnRenamed("key", "doc_id")
+
+
 def _fold(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
@@ -123,5 +131,5 @@ SELECT doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len
 FROM f
 """
 
-QUERIES = {"op3_line_dedup": op3_line_dedup, "op7_language_id": op7_language_id, "op9_quality_rules": op9_quality_rules, "op10_license_scan": op10_license_scan}
+QUERIES = {"op3_line_dedup": op3_line_dedup, "op4_token_files": op4_token_files, "op7_language_id": op7_language_id, "op9_quality_rules": op9_quality_rules, "op10_license_scan": op10_license_scan}
 ORACLES = {"op3_line_dedup": OP3_SQL, "op9_quality_rules": OP9_SQL, "op10_license_scan": _op10_sql()}
