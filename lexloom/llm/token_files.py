@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.llm._chunks import ChunkMemo
 from lexloom.llm._work import new_path, written
 
 #: Ids in a sequence, sequences in a record batch, chunks in an encoder's memory.
@@ -48,49 +49,23 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.most = memo
-        self.at: dict[str, int] = {}
-        self.ids, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.memo = ChunkMemo(self._fresh, memo)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _fresh(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = self._ids(chunks)
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        at, new, places = self.at, [], []
-        for t in texts:
-            if _UNSAFE.search(t):
-                places.append(None)
-                continue
-            chunks = t.replace(" ", "\x00 ").split("\x00") if t else []
-            try:
-                places.append([at[c] for c in chunks])
-            except KeyError:
-                for c in chunks:
-                    if c not in at:
-                        at[c] = len(at)
-                        new.append(c)
-                places.append([at[c] for c in chunks])
-        known = len(self.sizes)
-        if new:
-            got = self._ids(new)
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))])
-        out = [np.array(self._ids([t])[0], np.uint32) if p is None else self._joined(np.array(p, np.int64)) for t, p in zip(texts, places)]
-        if len(at) > self.most:  # what came last is forgotten
-            keep = max(known, self.most)
-            for c in new[keep - known :]:
-                del at[c]
-            self.ids = self.ids[: self.starts[keep] if keep < len(self.starts) else len(self.ids)]
-            self.starts, self.sizes = self.starts[:keep], self.sizes[:keep]
+        odd = {k for k, t in enumerate(texts) if _UNSAFE.search(t)}
+        out = self.memo.encode([t.replace(" ", "\x00 ").split("\x00") if t and k not in odd else [] for k, t in enumerate(texts)])
+        for k in odd:
+            out[k] = np.array(self._ids([texts[k]])[0], np.uint32)
         return out
 
-    def _joined(self, places: np.ndarray) -> np.ndarray:
-        n = self.sizes[places]
-        shift = self.starts[places] - (np.cumsum(n) - n)
-        return self.ids[np.repeat(shift, n) + np.arange(n.sum())]
-
 
 @lru_cache(1)
 def encoder(path: str) -> Encoder:
