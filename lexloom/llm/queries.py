@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import language_id, license_scan, line_dedup, packing, quality_rules, sentencepiece_codec, token_files, topk_search
+from lexloom.llm import language_id, license_scan, line_dedup, lm_scoring, packing, quality_rules, sentencepiece_codec, token_files, topk_search
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +102,12 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_documents(manifest).withColumnRenamed("key", "doc_id")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = lm_scoring.lm_scores(docs, _fold(5) != 1)
+    return out.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def word_tokens(docs: DataFrame) -> DataFrame:
     """doc_id and n_tokens: the words of the text, and an end."""
     return docs.select("doc_id", (F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) + 1).alias("n_tokens"))
@@ -166,5 +172,5 @@ SELECT doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len
 FROM f
 """
 
-QUERIES = {"op1_topk_search": op1_topk_search, "op3_line_dedup": op3_line_dedup, "op2_sentencepiece": op2_sentencepiece, "op4_token_files": op4_token_files, "op6_packing": op6_packing, "op7_language_id": op7_language_id, "op9_quality_rules": op9_quality_rules, "op10_license_scan": op10_license_scan}
+QUERIES = {"op1_topk_search": op1_topk_search, "op3_line_dedup": op3_line_dedup, "op2_sentencepiece": op2_sentencepiece, "op4_token_files": op4_token_files, "op5_lm_scoring": op5_lm_scoring, "op6_packing": op6_packing, "op7_language_id": op7_language_id, "op9_quality_rules": op9_quality_rules, "op10_license_scan": op10_license_scan}
 ORACLES = {"op1_topk_search": OP1_SQL, "op3_line_dedup": OP3_SQL, "op9_quality_rules": OP9_SQL, "op10_license_scan": _op10_sql()}
