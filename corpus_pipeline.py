@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import quality_rules
+from lexloom.llm import language_id, line_dedup, near_dup, packing, quality_rules
+from lexloom.llm.queries import word_tokens
 
 #: No SQL expresses language profiles, weighted sampling and packing.
 ORACLE_SQL = None
+#: A document whose predicted language is none of these is rejected, and one without a letter (`und`).
+LANGUAGES = ("en", "de", "fr", "es")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,7 +19,31 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.host_quality(docs).where(F.col("kept")).select(*docs.columns)
 
 
-STAGES = [("quality_rules", quality)]
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents in one of LANGUAGES, by profiles learned from the labelled documents."""
+    profiles = language_id.learned_profiles(docs.select("text", "lang"))
+    return language_id.predict_language(docs, profiles).where(F.col("lang_pred").isin(*LANGUAGES)).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes repeated three-line windows but the first from the texts; n_chars follows. Documents that lose every line go."""
+    out = line_dedup.line_dedup(docs).where((F.col("n_removed") == 0) | (F.length("text") > 0))
+    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each class."""
+    found = near_dup.near_duplicates(docs)
+    gone = found.where(F.col("class_id") != F.col("doc_id")).select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The bin and place of every piece of the documents that are left."""
+    return packing.best_fit_packing(word_tokens(docs))
+
+
+STAGES = [("quality_rules", quality), ("language_id", language), ("line_dedup", lines), ("minhash_near_dedup", near_duplicates), ("best_fit_packing", packed)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

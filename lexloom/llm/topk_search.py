@@ -11,7 +11,8 @@ the group. Nothing but the bounds of the norms and the number of queries comes t
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor do null ids.
 Vectors meet those of the same length only. Of query rows with the same id the smallest vector counts; candidates with the
-query's id are left out; other repeated candidate rows are ranked each on its own. Scores need to fit in 64 bits. An
+query's id are left out; other repeated candidate rows are ranked each on its own. Scores need to fit in 62 bits, else a
+ValueError says so. An
 empty table gives an empty result. Extra columns are ignored.
 """
 
@@ -158,6 +159,8 @@ def exact_topk(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_
     many = asked.count()
     most = rows.agg(F.max(norm(F.col("v")))).first()[0] or 0.0
     bound = int(most * most * (1 + 1e-9)) + 2
+    if bound >= 1 << 62:
+        raise ValueError("scores don't fit in 64 bits")
     groups = max(1, -(-many // GROUP))
     g = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")
     state = asked.select(g.alias("g"), "dim", "id", "v", F.lit(-bound).cast("long").alias("lo"), F.lit(k).cast("long").alias("need"))
