@@ -1 +1 @@
-"""Text-localisation analytics as Spark DataFrame operators."""
+"""Extracting, transforming and checking localisable text on Spark."""
