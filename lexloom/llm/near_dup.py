@@ -3,16 +3,16 @@
 A document's shingles (five words in a row) weigh their count in it times 1 + log((D + 1) / (df + 1)) / (2 * log(D + 1)),
 where D documents are compared and df hold the shingle. Improved consistent weighted sampling draws (shingle, level) samples, two
 documents sharing each with the probability of their weighted Jaccard similarity; samples are joined to bands, and
-documents that share a band are candidates, verified by their exact weighted Jaccard similarity. Linked documents, and
+documents that share a band and about half of all samples (by four bits of each) are candidates, verified by their exact weighted Jaccard similarity. Linked documents, and
 those linked through others, are one class.
 
 Documents of the same words are one text from the start, so copies cost nothing further. Of a band that many texts share,
 no pairs are listed: its texts meet a leader (the text with the most company in all its bands); texts that thereby join
-one class are done, and what is left in several classes meets the next leaders, twice as many each time, until each text
+one class are done, and what is left in several classes meets the next leaders, more each time, until each text
 of the band has met, or is of one class with, every other. Classes are found by passing on the smallest label. Nothing of
 this comes to the driver but row counts.
 
-Words are runs of letters, digits and underscores in lower case. Texts of one to four words are one shingle.
+Words are runs of ASCII letters, digits and underscores and of any characters beyond ASCII, in lower case. Texts of one to four words are one shingle.
 
 Defined results: a null text, or one without a word, is a class of its own. Null keys take part; a class is named by its
 smallest key that isn't null. Rows with the same key are documents of their own. An empty table gives an empty result.
@@ -21,14 +21,14 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
-import re
+import math
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,9 +37,10 @@ from lexloom.llm._work import written
 
 #: Words in a shingle, least similarity; bands, and samples in each: a pair at 0.8 shares no band with a chance of 0.2 %, one at 0.9 of 1e-6.
 WORDS, LEAST, BANDS, ROWS = 5, 0.8, 12, 4
-#: Shingles sampled together, texts whose keys may be broadcast, leaders of a band by round.
-TOGETHER, BROADCAST_ROWS, LEADERS = 16_384, 300_000, (1, 1, 2)
-_WORD = re.compile(r"\w+")
+#: Shingles sampled together, texts whose keys may be broadcast, times as many leaders of a band in each round, texts kept by a task.
+TOGETHER, BROADCAST_ROWS, MORE, KNOWN = 16_384, 300_000, 4, 3000
+#: Bytes of UTF-8: what parts words becomes a space.
+_WORD_BYTES = bytes(c if c >= 128 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -49,13 +50,13 @@ class Shingles:
     def __init__(self, texts: list[str | None], size: int = WORDS):
         sizes, parts, self.tags = [], [], []
         for lo in range(0, len(texts), 128):
-            words: list[str] = []
+            words: list[bytes] = []
             for t in texts[lo : lo + 128]:
-                own = _WORD.findall(t.lower()) if t else []
-                self.tags.append(xxhash.xxh3_128_digest(" ".join(own).encode("utf-8", "replace")) if own else None)
+                own = t.lower().encode("utf-8", "replace").translate(_WORD_BYTES).split() if t else []
+                self.tags.append(xxhash.xxh3_128_digest(b" ".join(own)) if own else None)
                 sizes.append(len(own))
                 words += own
-            coded = pa.array([w.encode("utf-8", "replace") for w in words], pa.binary()).dictionary_encode()
+            coded = pa.array(words, pa.binary()).dictionary_encode()
             parts.append(np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))[coded.indices.to_numpy()])
         n = np.array(sizes, np.int64)
         # Gaps after each text, so that short texts have whole windows, too.
@@ -68,8 +69,8 @@ class Shingles:
             for j in range(size):
                 key = key * np.uint64(_STEP) + flat[start + j]
         key, doc = _tally.mixed(key), np.repeat(np.arange(len(n)), many)
-        order = np.lexsort((key, doc))
-        key, doc = key[order], doc[order]
+        for hi, k in zip(np.cumsum(many).tolist(), many.tolist()):
+            key[hi - k : hi].sort()
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
         at = np.flatnonzero(new)
@@ -135,6 +136,30 @@ def band_keys(sampled: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def sketches(sampled: np.ndarray) -> np.ndarray:
+    """Four bits of each sample, sixteen samples to a number."""
+    n, many = sampled.shape
+    out = np.zeros((n, -(-many // 16)), np.uint64)
+    for j in range(many):
+        out[:, j // 16] |= (sampled[:, j] & np.uint64(15)) << np.uint64(4 * (j % 16))
+    return out.view(np.int64)
+
+
+def differences(a: str, b: str, many: int) -> Column:
+    """How many of the samples differ in their four bits."""
+
+    def part(i: int) -> Column:
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+    total = part(0)
+    for i in range(1, -(-many // 16)):
+        total = total + part(i)
+    return total
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard of (sorted keys, weights)."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -147,7 +172,7 @@ def _sketched(df: DataFrame, key: str, text: str, size: int, bands: int, rows: i
     chunks, buckets = _tally.plan(df, text)
     docs = df.select(_tally.chunk_of(key, text, chunks).alias("chunk"), F.col(key).alias("key"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
     many = df.where(F.col(text).isNotNull()).count()
-    schema = T.StructType([T.StructField("key", docs.schema["key"].dataType), *T._parse_datatype_string("t bigint, tag binary, bands array<bigint>, dfs binary").fields])
+    schema = T.StructType([T.StructField("key", docs.schema["key"].dataType), *T._parse_datatype_string("t bigint, tag binary, bands array<bigint>, sketch array<bigint>, dfs binary").fields])
 
     def request(table: pa.Table) -> pa.Table:
         keys, n = np.unique(Shingles(table["text"].to_pylist(), size).keys, return_counts=True)
@@ -157,10 +182,10 @@ def _sketched(df: DataFrame, key: str, text: str, size: int, bands: int, rows: i
         s = Shingles(left["text"].to_pylist(), size)
         df_ = _tally.totals(right, 1, buckets)[0][np.unique(s.keys, return_inverse=True)[1]] if len(s.keys) else np.zeros(0, np.uint64)
         full = s.sizes > 0
-        found = band_keys(samples(s.keys, weights(s.counts, df_, many), s.sizes[full], bands * rows), bands, rows)
-        lists = iter(found.tolist())
+        sampled = samples(s.keys, weights(s.counts, df_, many), s.sizes[full], bands * rows)
+        lists = [iter(x.tolist()) for x in (band_keys(sampled, bands, rows), sketches(sampled))]
         held = [_tally.planes(x.astype(np.uint32)) if len(x) else None for x in np.split(df_, s.ends[:-1])]
-        return pa.table([left["key"].combine_chunks(), left["t"].combine_chunks(), pa.array(s.tags, pa.binary()), pa.array([next(lists) if f else None for f in full.tolist()], pa.list_(pa.int64())), pa.array(held, pa.binary())], names=schema.names)
+        return pa.table([left["key"].combine_chunks(), left["t"].combine_chunks(), pa.array(s.tags, pa.binary()), *(pa.array([next(x) if f else None for f in full.tolist()], pa.list_(pa.int64())) for x in lists), pa.array(held, pa.binary())], names=schema.names)
 
     return written(_tally.resolved(docs, request, resolve, schema), "sketches"), many
 
@@ -171,18 +196,18 @@ def _linked(pairs: DataFrame, content: DataFrame, docs: int, least: float, size:
     rows = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_text", "a_dfs", "b_text", "b_dfs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
+        known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
 
-        def content_of(text: str, dfs: bytes) -> tuple[np.ndarray, np.ndarray]:
-            s = Shingles([text], size)
-            return s.keys, weights(s.counts, _tally.unplanes(dfs, np.uint32), docs)
+        def content_of(tag: bytes, text: str, dfs: bytes) -> tuple[np.ndarray, np.ndarray]:
+            if tag not in known:
+                s = Shingles([text], size)
+                if len(known) >= KNOWN:
+                    known.clear()
+                known[tag] = s.keys, weights(s.counts, _tally.unplanes(dfs, np.uint32), docs)
+            return known[tag]
 
         for b in _tally.in_slices(batches, 256):
-            keep = []
-            for r in b.to_pylist():
-                if last[0] != r["a"]:
-                    last = r["a"], content_of(r["a_text"], r["a_dfs"])
-                keep.append(similarity(last[1], content_of(r["b_text"], r["b_dfs"])) >= least - 1e-12)
+            keep = [similarity(content_of(r["a"], r["a_text"], r["a_dfs"]), content_of(r["b"], r["b_text"], r["b_dfs"])) >= least - 1e-12 for r in b.to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return rows.mapInArrow(run, "a binary, b binary")
@@ -197,7 +222,6 @@ def _labels(edges: DataFrame, before: DataFrame | None) -> DataFrame:
     while True:
         near = both.join(now.withColumnRenamed("tag", "b"), "b").groupBy(F.col("a").alias("tag")).agg(F.min("label").alias("near"))
         step = now.join(near, "tag").select("tag", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        step = written(step, "labels")
         jump = step.select(F.col("tag").alias("label"), F.col("label").alias("further"))
         after = written(step.join(jump, "label", "left").select("tag", "old", F.coalesce("further", "label").alias("label")), "labels")
         now = after.select("tag", "label")
@@ -208,10 +232,13 @@ def _labels(edges: DataFrame, before: DataFrame | None) -> DataFrame:
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST, size: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """key, class_id (the smallest key of its class), class_size, and copies, the rows with the same words: one row for each row of df."""
     found, many = _sketched(df, key, text, size, bands, rows)
-    members = found.where(F.col("tag").isNotNull()).select("tag", F.explode("bands").alias("band")).distinct()
+    members = found.where(F.col("tag").isNotNull()).select("tag", "sketch", F.explode("bands").alias("band")).distinct()
     shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(members.join(shared, "band"), "members")
-    rest = written(members.join(members.groupBy("tag").agg(F.sum("n").alias("company")), "tag").select("band", "tag", "company", F.col("tag").alias("label")), "rest")
+    rest = written(members.join(members.groupBy("tag").agg(F.sum("n").alias("company")), "tag").select("band", "tag", "sketch", "company", F.col("tag").alias("label")), "rest")
+    # Of a pair at `least` so many samples differ with a chance of 1e-4 only.
+    sampled = bands * rows
+    most_apart = math.ceil(sampled * (1 - least) + 3.7 * math.sqrt(sampled * least * (1 - least)))
     labels = edges = tested = None
     content = None
     for k in range(1 << 30):
@@ -221,19 +248,19 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leas
             break
         if content is None:
             content = _content(df, found, rest.select("tag").distinct(), key, text)
-        most = LEADERS[k] if k < len(LEADERS) else LEADERS[-1] << min(k - len(LEADERS) + 1, 20)
+        most = MORE ** min(k, 12)
         first = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("company"), "tag"))
-        lead = written(rest.withColumn("rank", first).where(F.col("rank") <= most).select("band", F.col("tag").alias("leader"), F.col("label").alias("own")), "leaders")
-        met = rest.join(lead, "band").where(F.col("label") != F.col("own")).select(F.least("tag", "leader").alias("a"), F.greatest("tag", "leader").alias("b")).distinct()
+        lead = written(rest.withColumn("rank", first).where(F.col("rank") <= most).select("band", F.col("tag").alias("leader"), F.col("label").alias("own"), F.col("sketch").alias("theirs")), "leaders")
+        near = (F.col("label") != F.col("own")) & (differences("sketch", "theirs", sampled) <= most_apart)
+        met = rest.join(lead, "band").where(near).select(F.least("tag", "leader").alias("a"), F.greatest("tag", "leader").alias("b")).distinct()
         pairs = written(met if tested is None else met.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        new = written(_linked(pairs, content, many, least, size), "links")
-        edges = new if edges is None else edges.union(new)
+        new = None if pairs.isEmpty() else written(_linked(pairs, content, many, least, size), "links")
         rest = rest.join(lead.select("band", F.col("leader").alias("tag")), ["band", "tag"], "left_anti")
-        if not new.isEmpty():
+        if new is not None and not new.isEmpty():
+            edges = new if edges is None else edges.union(new)
             labels = _labels(edges, labels)
-        if labels is not None:
-            rest = rest.drop("label").join(labels, "tag", "left").withColumn("label", F.coalesce("label", "tag")).select("band", "tag", "company", "label")
+            rest = rest.drop("label").join(labels, "tag", "left").withColumn("label", F.coalesce("label", "tag")).select("band", "tag", "sketch", "company", "label")
     rows_ = found.select("key", "tag")
     if labels is None:
         rows_ = rows_.withColumn("label", F.col("tag"))

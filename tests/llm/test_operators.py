@@ -237,7 +237,7 @@ def test_language_id_of_odd_rows(spark, odd):
 # -- near-duplicates
 
 def brute_classes(rows, least=0.8):
-    words = {k: re.findall(r"\w+", (t or "").lower()) for k, t in rows}
+    words = {k: re.findall(r"(?:[a-z0-9_]|[^\x00-\x7f])+", (t or "").lower()) for k, t in rows}
     sh = {k: Counter(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) for k, w in words.items() if w}
     df = Counter(s for c in sh.values() for s in c)
     n = sum(t is not None for _, t in rows)
