@@ -34,6 +34,8 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+#: Bigrams of the template table that may be broadcast.
+BROADCAST_BIGRAMS = 500_000
 
 
 def normal(text: Column) -> Column:
@@ -74,6 +76,8 @@ def license_scan(df: DataFrame, key: str = "doc_id", text: str = "text", templat
     spark = df.sparkSession
     rows = _template_rows(TEMPLATES if templates is None else templates, least)
     table = spark.createDataFrame(rows, "n int, license string, have array<string>")
+    # A row for each template and size it may meet: so few that they go to every task; more are shuffled.
+    table = F.broadcast(table) if sum(map(len, (r[2] for r in rows))) <= BROADCAST_BIGRAMS else table
     most = max((r[0] for r in rows), default=0)
     found = passages(df, key, text)
     sized = found.withColumn("b", bigrams(normal(F.col("passage")))).drop("passage").withColumn("n", F.size("b")).where(F.col("n").between(1, most))
