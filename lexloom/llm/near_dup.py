@@ -8,8 +8,9 @@ those linked through others, are one class.
 
 Documents of the same words are one text from the start, so copies cost nothing further. Of a band that many texts share,
 no pairs are listed: its texts meet a leader (the text with the most company in all its bands); texts that thereby join
-one class are done, and what is left in several classes meets the next leaders, more each time, until each text
-of the band has met, or is of one class with, every other. Classes are found by passing on the smallest label. Nothing of
+one class are done, and what is left in several classes meets the next leaders, more each time and those of the smallest
+classes first, until each text of the band has met, or is of one class with, every other. From the second round on blocks
+of texts meet blocks of leaders: a task compares all of them exactly and returns only the links that join classes. Classes are found by passing on the smallest label. Nothing of
 this comes to the driver but row counts.
 
 Words are runs of ASCII letters, digits and underscores and of any characters beyond ASCII, in lower case. Texts of one to four words are one shingle.
@@ -38,7 +39,9 @@ from lexloom.llm._work import written
 #: Words in a shingle, least similarity; bands, and samples in each: a pair at 0.8 shares no band with a chance of 0.2 %, one at 0.9 of 1e-6.
 WORDS, LEAST, BANDS, ROWS = 5, 0.8, 12, 4
 #: Shingles sampled together, texts whose keys may be broadcast, times as many leaders of a band in each round, texts kept by a task.
-TOGETHER, BROADCAST_ROWS, MORE, KNOWN = 16_384, 300_000, 4, 3000
+TOGETHER, BROADCAST_ROWS, MORE, KNOWN = 16_384, 300_000, 16, 3000
+#: Texts and characters in a block of a band; places of a matrix of comparisons.
+BLOCK_TEXTS, BLOCK_CHARS, PLACES = 256, 128_000, 8192
 #: Bytes of UTF-8: what parts words becomes a space.
 _WORD_BYTES = bytes(c if c >= 128 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
 _STEP = 0x9E3779B97F4A7C15
@@ -213,6 +216,88 @@ def _linked(pairs: DataFrame, content: DataFrame, docs: int, least: float, size:
     return rows.mapInArrow(run, "a binary, b binary")
 
 
+def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Of a matrix that says which rows and columns are linked, so many links only as join what all of them join."""
+    rows, columns, out = np.zeros(linked.shape[0], bool), np.zeros(linked.shape[1], bool), []
+    for c in np.flatnonzero(linked.any(axis=0)).tolist():
+        waiting = [] if columns[c] else [c]
+        columns[c] = True
+        while waiting:
+            at = waiting.pop()
+            new = np.flatnonzero(linked[:, at] & ~rows)
+            rows[new] = True
+            out += [(r, at) for r in new.tolist()]
+            further = np.flatnonzero(linked[new].any(axis=0) & ~columns)
+            columns[further] = True
+            out += zip(new[linked[new][:, further].argmax(axis=0)].tolist(), further.tolist()) if len(further) else []
+            waiting += further.tolist()
+    return out
+
+
+def similarities(a: Shingles, a_weights: np.ndarray, b: Shingles, b_weights: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard of each text of a with each of b; a shingle weighs as much for each time that a text has it."""
+    common = np.intersect1d(a.keys, b.keys)
+
+    def sides(s: Shingles, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        doc = np.repeat(np.arange(len(s.sizes)), s.sizes)
+        at = np.minimum(np.searchsorted(common, s.keys), max(len(common) - 1, 0))
+        hit = common[at] == s.keys if len(common) else np.zeros(len(s.keys), bool)
+        return doc[hit], at[hit], s.counts[hit], (w / s.counts)[hit], np.bincount(doc, w, len(s.sizes))
+
+    (a_doc, a_at, a_n, one, a_all), (b_doc, b_at, b_n, _, b_all) = sides(a, a_weights), sides(b, b_weights)
+    each = np.zeros(len(common))
+    each[a_at] = one
+    both = np.zeros((len(a.sizes), len(b.sizes)))
+    # The n-th time that one text has a shingle meets the n-th time of the other; what holds for all n between two counts is done at once.
+    levels = np.union1d(a_n, b_n)
+    levels = levels[levels <= min(a_n.max(initial=0), b_n.max(initial=0))]
+    for n, times in zip(levels.tolist(), np.diff(levels, prepend=0).tolist()):
+        x, y = a_n >= n, b_n >= n
+        places = np.intersect1d(a_at[x], b_at[y])
+        for lo in range(0, len(places), PLACES):
+            own = places[lo : lo + PLACES]
+            sides_ = []
+            for doc, at, rows in ((a_doc[x], a_at[x], len(a.sizes)), (b_doc[y], b_at[y], len(b.sizes))):
+                m, k = np.zeros((rows, len(own))), np.minimum(np.searchsorted(own, at), len(own) - 1)
+                hit = own[k] == at
+                m[doc[hit], k[hit]] = 1
+                sides_.append(m)
+            both += (sides_[0] * (each[own] * times)) @ sides_[1].T
+    return both / np.maximum(a_all[:, None] + b_all[None, :] - both, 1e-300)
+
+
+def _blocks(rows: DataFrame, content: DataFrame, names: list[str]) -> DataFrame:
+    """band and lists of tags, labels, texts and dfs: a band's texts dealt into blocks of bounded size by a hash."""
+    rows = rows.select("band", F.col(names[0]).alias("tag"), F.col(names[1]).alias("label")).join(content.withColumn("chars", F.length("text")), "tag")
+    many = rows.groupBy("band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("chars") / BLOCK_CHARS)).alias("blocks"))
+    dealt = rows.join(many, "band").withColumn("block", F.pmod(F.xxhash64("tag"), F.col("blocks")))
+    return dealt.groupBy("band", "block").agg(F.collect_list(F.struct("tag", "label", "text", "dfs")).alias(f"{names[0]}s")).drop("block")
+
+
+def _met(rest: DataFrame, lead: DataFrame, content: DataFrame, docs: int, least: float, size: int) -> DataFrame:
+    """Links (a, b) that join what the texts of each band and its leaders have in common, if not of one class yet: every pair is compared exactly, within a task, block by block."""
+    pairs = _blocks(rest, content, ["tag", "label"]).join(_blocks(lead, content, ["leader", "own"]), "band").select("tags", "leaders")
+
+    def side(texts: list[dict]) -> tuple[Shingles, np.ndarray]:
+        s = Shingles([t["text"] for t in texts], size)
+        return s, weights(s.counts, np.concatenate([_tally.unplanes(t["dfs"], np.uint32) for t in texts]), docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _tally.in_slices(batches, 1):
+            left, right = b.column(0)[0].as_py(), b.column(1)[0].as_py()
+            names = {x: k for k, x in enumerate({t["label"] for t in left + right})}
+            classes = [np.array([names[t["label"]] for t in texts]) for texts in (left, right)]
+            if len(names) == 1:
+                continue
+            apart = classes[0][:, None] != classes[1][None, :]
+            found = spanning(apart & (similarities(*side(left), *side(right)) >= least - 1e-12))
+            ends = [(left[i]["tag"], right[j]["tag"]) for i, j in found]
+            yield pa.RecordBatch.from_arrays([pa.array([f(e) for e in ends], pa.binary()) for f in (min, max)], names=["a", "b"])
+
+    # The joined rows are large: few to an Arrow batch, and dealt anew.
+    return pairs.repartition(F.xxhash64("tags.tag", "leaders.tag")).mapInArrow(run, "a binary, b binary").distinct()
+
+
 def _labels(edges: DataFrame, before: DataFrame | None) -> DataFrame:
     """tag, label: the smallest tag of each component; before: labels of an earlier, smaller set of edges."""
     both = written(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -239,8 +324,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leas
     # Of a pair at `least` so many samples differ with a chance of 1e-4 only.
     sampled = bands * rows
     most_apart = math.ceil(sampled * (1 - least) + 3.7 * math.sqrt(sampled * least * (1 - least)))
-    labels = edges = tested = None
-    content = None
+    labels = edges = content = None
     for k in range(1 << 30):
         live = rest.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
         rest = written(rest.join(live, "band"), "rest")
@@ -248,16 +332,20 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leas
             break
         if content is None:
             content = _content(df, found, rest.select("tag").distinct(), key, text)
-        most = MORE ** min(k, 12)
-        first = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("company"), "tag"))
-        lead = written(rest.withColumn("rank", first).where(F.col("rank") <= most).select("band", F.col("tag").alias("leader"), F.col("label").alias("own"), F.col("sketch").alias("theirs")), "leaders")
-        near = (F.col("label") != F.col("own")) & (differences("sketch", "theirs", sampled) <= most_apart)
-        met = rest.join(lead, "band").where(near).select(F.least("tag", "leader").alias("a"), F.greatest("tag", "leader").alias("b")).distinct()
-        pairs = written(met if tested is None else met.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        new = None if pairs.isEmpty() else written(_linked(pairs, content, many, least, size), "links")
+        # At first those with the most company lead; later those of the smallest classes, as each must meet all the others.
+        order = [F.desc("company")] if k < 2 else ["others", F.desc("company")]
+        sized = rest if k < 2 else rest.join(rest.groupBy("band", "label").agg(F.count(F.lit(1)).alias("others")), ["band", "label"])
+        first = F.row_number().over(Window.partitionBy("band").orderBy(*order, "tag"))
+        lead = written(sized.withColumn("rank", first).where(F.col("rank") <= MORE ** min(k, 4)).select("band", "rank", F.col("tag").alias("leader"), F.col("label").alias("own"), F.col("sketch").alias("theirs")), "leaders")
+        if k == 0:
+            near = (F.col("label") != F.col("own")) & (differences("sketch", "theirs", sampled) <= most_apart)
+            met = rest.join(lead, "band").where(near).select(F.least("tag", "leader").alias("a"), F.greatest("tag", "leader").alias("b")).distinct()
+            links = _linked(written(met, "pairs"), content, many, least, size)
+        else:
+            links = _met(rest, lead, content, many, least, size)
+        new = written(links, "links")
         rest = rest.join(lead.select("band", F.col("leader").alias("tag")), ["band", "tag"], "left_anti")
-        if new is not None and not new.isEmpty():
+        if not new.isEmpty():
             edges = new if edges is None else edges.union(new)
             labels = _labels(edges, labels)
             rest = rest.drop("label").join(labels, "tag", "left").withColumn("label", F.coalesce("label", "tag")).select("band", "tag", "sketch", "company", "label")

@@ -359,3 +359,48 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF).collect()
     assert [k for k, _ in corpus_pipeline.STAGES][0] == "quality_rules" and len(corpus_pipeline.STAGES) == 5
     assert {r["doc_id"] for r in out} <= {r["doc_id"] for r in source.collect()} and len(out) > 0.5 * source.count()
+
+
+def test_similarities_of_blocks_are_those_of_pairs():
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(40)]
+    texts = [" ".join(base[k] if rng.random() < 0.95 else f"x{rng.integers(9)}" for k in range(40)) for _ in range(12)] + ["a " * 30, "a " * 11 + "b", "one", "a a a a a a"]
+    s = near_dup.Shingles(texts)
+    df = s.keys % np.uint64(7) + np.uint64(1)
+    w = near_dup.weights(s.counts, df, 50)
+    parts = list(zip(np.split(s.keys, s.ends[:-1]), np.split(w, s.ends[:-1])))
+    got = near_dup.similarities(s, w, s, w)
+    assert got == pytest.approx(np.array([[near_dup.similarity(a, b) for b in parts] for a in parts]))
+
+
+def test_spanning_links_join_what_all_links_join():
+    def classes(links, rows, columns):
+        label = list(range(rows + columns))
+        for _ in label:
+            for r, c in links:
+                label[r] = label[rows + c] = min(label[r], label[rows + c])
+        return label
+
+    rng = np.random.default_rng(6)
+    for k in range(30):
+        m = rng.random((rng.integers(1, 9), rng.integers(1, 9))) < 0.1 * (k % 5)
+        found = near_dup.spanning(m)
+        assert all(m[i, j] for i, j in found) and len(found) < max(1, sum(m.shape))
+        assert classes(found, *m.shape) == classes(list(zip(*np.nonzero(m))), *m.shape)
+
+
+def test_texts_of_a_large_band_meet_in_blocks(spark):
+    # Texts far enough from the first leader, so that classes are told apart and joined by later rounds.
+    rng = np.random.default_rng(8)
+    base, rows = [f"w{k}" for k in range(120)], []
+    for i in range(150):
+        rows.append((i, " ".join(f"y{rng.integers(10**6)}" if k in set(rng.integers(0, 120, i % 6)) else x for k, x in enumerate(base))))
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    s = near_dup.Shingles([t for _, t in rows])
+    df = np.unique(s.keys, return_inverse=True, return_counts=True)
+    w = near_dup.weights(s.counts, df[2][df[1]], len(rows))
+    linked = near_dup.similarities(s, w, s, w) >= near_dup.LEAST
+    label = np.arange(len(rows))
+    for _ in rows:
+        label = np.where(linked, label[None, :], len(rows)).min(axis=1)
+    assert {r["doc_id"]: r["class_id"] for r in got} == dict(enumerate(label.tolist()))
