@@ -35,8 +35,23 @@ _WORD = regex.compile(r"\p{L}+")
 
 
 def grams(word: str, longest: int = LONGEST) -> list[str]:
-    w = f"_{word}_"
-    return [w[i : i + n] for n in range(1, longest + 1) for i in range(len(w) - n + 1) if w[i : i + n] != "_"]
+    w, out = f"_{word}_", list(word)
+    for n in range(2, longest + 1):
+        out += [w[i : i + n] for i in range(len(w) - n + 1)]
+    return out
+
+
+class _Ids(dict):
+    """n-gram -> number; one not met before gets the next, and its name is kept."""
+
+    def __init__(self, names: list[str]):
+        super().__init__((g, i) for i, g in enumerate(names))
+        self.names = names
+
+    def __missing__(self, gram: str) -> int:
+        i = self[gram] = len(self.names)
+        self.names.append(gram)
+        return i
 
 
 def learned_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", ranks: int = LANG_RANKS) -> dict[str, dict[str, int]]:
@@ -75,21 +90,15 @@ class Profiles:
         self.reset()
 
     def reset(self) -> None:
-        self.ids: dict[str, int] = {g: i for i, g in enumerate(self.known)}
         self.names = list(self.known)
+        self.ids = _Ids(self.names)
         self.words: dict[str, np.ndarray] = {}
 
     def word(self, w: str) -> np.ndarray:
         found = self.words.get(w)
         if found is None:
-            ids, out = self.ids, []
-            for g in grams(w):
-                i = ids.get(g)
-                if i is None:
-                    i = ids[g] = len(self.names)
-                    self.names.append(g)
-                out.append(i)
-            found = self.words[w] = np.array(out, np.int64)
+            ids = self.ids
+            found = self.words[w] = np.array([ids[g] for g in grams(w)], np.int64)
         return found
 
     def predict(self, text: str | None) -> tuple[str, float]:
