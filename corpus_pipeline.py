@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import language_id, line_dedup, near_dup, packing, quality_rules
+from lexloom.llm._work import free_name
 from lexloom.llm.queries import word_tokens
 
 #: No SQL expresses language profiles, weighted sampling and packing.
@@ -32,10 +33,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class."""
-    found = near_dup.near_duplicates(docs)
-    gone = found.where(F.col("class_id") != F.col("doc_id")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each class: the one with the smallest id, null ids last, then by a hash of the row. Texts without a word stay."""
+    row = free_name(docs, "row_id")
+    # Rows that share it are equal, so any of them may stay.
+    named = docs.withColumn(row, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*docs.columns).alias("h")))
+    found = near_dup.near_duplicates(named.select(row, "text"), key=row)
+    kept = found.where(F.col("class_id") == F.col(row)).select(row)
+    worded = F.coalesce(F.col("text").rlike(near_dup.WORD), F.lit(False))
+    # Equal rows meet before the shuffle.
+    once = named.where(worded).dropDuplicates([row]).join(kept, row, "left_semi").select(*docs.columns)
+    return once.unionByName(docs.where(~worded))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

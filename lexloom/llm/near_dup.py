@@ -44,6 +44,8 @@ TOGETHER, BROADCAST_ROWS, MORE, KNOWN = 16_384, 300_000, 16, 3000
 BLOCK_TEXTS, BLOCK_CHARS, PLACES = 256, 128_000, 8192
 #: Bytes of UTF-8: what parts words becomes a space.
 _WORD_BYTES = bytes(c if c >= 128 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
+#: What a text with a word has, as a regular expression of Spark.
+WORD = r"[A-Za-z0-9_]|[^\x00-\x7F]"
 _STEP = 0x9E3779B97F4A7C15
 
 

@@ -404,3 +404,17 @@ def test_texts_of_a_large_band_meet_in_blocks(spark):
     for _ in rows:
         label = np.where(linked, label[None, :], len(rows)).min(axis=1)
     assert {r["doc_id"]: r["class_id"] for r in got} == dict(enumerate(label.tolist()))
+
+
+def test_the_near_duplicate_stage_keeps_one_row_of_each_class(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    a, b, c, d = (" ".join(rnd_words(rng, 90)) for _ in range(4))
+    # Key 1 repeats with other texts, one a copy of key 0's; a row that repeats whole; null keys beside and without a key; texts without a word.
+    rows = [(0, a), (1, a), (1, b), (1, c), (5, d), (5, d), (5, d), (None, d), (None, c + " end"), (None, "x " + d), (None, b[:200]), (None, b[:200]), (7, None), (7, None), (8, "..."), (None, "...")]
+    df = spark.createDataFrame([(k, t, "en", "a", 5, "t") for k, t in rows], DOCS)
+    out = corpus_pipeline.near_duplicates(spark, df, SF)
+    assert out.columns == df.columns
+    want = [(0, a), (1, b), (1, c), (5, d), (None, b[:200]), (7, None), (7, None), (8, "..."), (None, "...")]
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in out.collect()))) == sorted(map(repr, want))
