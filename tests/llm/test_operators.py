@@ -337,6 +337,39 @@ def test_licences(spark, odd):
     assert license_scan.license_scan(df, templates={}).collect() == []
 
 
+def test_wrapped_and_embedded_notices(spark):
+    import textwrap
+
+    rng = random.Random(9)
+    prose = lambda n: "\n".join(" ".join(rnd_words(rng, 15)) for _ in range(n))
+    mit, apache, gpl = (license_scan.TEMPLATES[x][1] for x in ("MIT", "Apache-2.0", "GPL-3.0"))
+    texts = [
+        prose(6) + "\n" + textwrap.fill(mit, 72) + "\n" + prose(6),
+        "Copyright 2020 the authors of this package. " + license_scan.TEMPLATES["Apache-2.0"][0] + " All rights reserved.",
+        prose(2) + "\n// " + textwrap.fill(gpl, 60).replace("\n", "\n// ") + " and so on\n" + prose(40) + " " + apache + " " + prose(3),
+        prose(3) + "\n" + " ".join(mit.split()[:20]) + "\n" + prose(3),
+        prose(30),
+    ]
+    got = license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+
+    def brute(text, name):
+        words = re.sub(r"[\W_]+", " ", text.lower()).split()
+        two, best = list(zip(words, words[1:])), 0
+        for t in license_scan.TEMPLATES[name]:
+            w = re.sub(r"[\W_]+", " ", t.lower()).split()
+            have = set(zip(w, w[1:]))
+            for at in range(len(two)):
+                for n in range(1, min(int(1.5 * len(have) + 1e-9), len(two) - at) + 1):
+                    own = set(two[at : at + n])
+                    best = max(best, 2 * len(own & have) / (len(own) + len(have)))
+        return best
+
+    want = {(i, name): d for i, t in enumerate(texts) for name in license_scan.TEMPLATES if (d := brute(t, name)) >= 0.8}
+    assert want.keys() == {(0, "MIT"), (1, "Apache-2.0"), (2, "GPL-3.0"), (2, "Apache-2.0")}
+    assert {(r["doc_id"], r["license"]): r["dice"] for r in got} == pytest.approx(want)
+    assert next((r["kind"], r["at"]) for r in got if r["doc_id"] == 0) == ("window", 90)
+
+
 # -- the registered SQL
 
 def test_queries_equal_their_sql(spark):
