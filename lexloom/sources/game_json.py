@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from lexloom.functions import text as X
 
 #: Codes of commands that show text, and how their parameters hold it.
-TEXT_CODES = {401: "dialog", 405: "scroll text", 402: "choice branch", 108: "comment", 408: "comment", 320: "actor name", 324: "nickname", 355: "script", 655: "script"}
+TEXT_CODES = {401: "dialog", 405: "scroll text", 402: "choice branch", 108: "comment", 408: "comment", 320: "actor name", 324: "nickname"}
 CHOICES = 102
+SCRIPT = (355, 655)
+#: A comment of a script, or (group 1) a string literal; what a literal of text doesn't begin with; levels of an unknown parameter.
+JS_STRING = r"""//[^\n]*+|/\*[\s\S]*?(?:\*/|\z)|("[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"|'[^'\\]*+(?:\\[\s\S][^'\\]*+)*+')"""
+NOT_BEGUN, LEVELS = "^(?:http|www\\.|[=:<])", 5
+_TYPED = "array<struct<code:int,parameters:array<variant>>>"
 _COMMANDS = "array<struct<code:int,indent:int,parameters:array<string>>>"
 
 
@@ -31,7 +36,54 @@ def command_texts(files: DataFrame, base: str = "", file: str = "file", body: st
     plain = plain.withColumn("json_path", F.when(F.col("code").isin(402, 320, 324), F.regexp_replace("json_path", r"\[0\]$", "[1]")).otherwise(F.col("json_path"))).drop("code")
     listed = rows.where(F.col("code") == CHOICES).select(file, at.alias("at"), F.posexplode(F.from_json(F.get("parameters", F.lit(0)), "array<string>")).alias("k", "original"))
     choices = listed.select(file, F.concat("at", F.lit("["), "k", F.lit("]")).alias("json_path"), F.lit("choice").alias("context"), "original")
-    return plain.unionByName(choices).where(~X.is_blank(F.col("original")))
+    return plain.unionByName(choices).unionByName(_typed_texts(files, base, file, body)).where(~X.is_blank(F.col("original")))
+
+
+def js_text(s: Column) -> Column:
+    """Whether a literal is text, not a key or a path."""
+    cjk = s.rlike(r"[\x{3040}-\x{30ff}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}]")
+    return F.length(s).between(2, 400) & X.has_letter(s) & (cjk | (s.rlike(r"\s") & ~s.rlike(r"[\\/]") & ~s.rlike(NOT_BEGUN)))
+
+
+def _string(v: Column) -> Column:
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+
+def _members(v: Column) -> Column:
+    """array(struct(step, v)): of a list or an object what it holds, else null."""
+    kind = F.schema_of_variant(v)
+    listed = F.transform(F.when(kind.startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")), lambda x, j: F.struct(F.concat(F.lit("["), j.cast("string"), F.lit("]")).alias("step"), x.alias("v")))
+    named = F.transform(F.map_entries(F.when(kind.startswith("OBJECT"), F.try_variant_get(v, "$", "map<string,variant>"))), lambda e: F.struct(F.concat(F.lit("."), e["key"]).alias("step"), e["value"].alias("v")))
+    return F.coalesce(listed, named)
+
+
+def _typed_texts(files: DataFrame, base: str, file: str, body: str) -> DataFrame:
+    """Speaker names, plugin texts, string literals of scripts, and texts at any place in the parameters of other commands."""
+    rows = files.select(file, F.posexplode(F.from_json(body, _TYPED)).alias("i", "c")).select(file, "i", "c.*")
+    code, many = F.col("code"), F.size(F.coalesce("parameters", F.array().cast("array<variant>")))
+    rows = rows.withColumn("at", F.concat(F.lit(base), F.lit("["), "i", F.lit("].parameters")))
+    param = lambda k: F.get("parameters", F.lit(k))
+
+    def one(of: int, k: int, context: str) -> DataFrame:
+        return rows.where((code == of) & (many > k)).select(file, F.concat("at", F.lit(f"[{k}]")).alias("json_path"), F.lit(context).alias("context"), _string(param(k)).alias("original"))
+
+    plugin = rows.where((code == 357) & (many > 3)).select(file, "at", F.explode(_members(param(3))).alias("m"))
+    plugin = plugin.select(file, F.concat("at", F.lit("[3]"), "m.step").alias("json_path"), F.lit("plugin").alias("context"), _string(F.col("m.v")).alias("original"))
+    each = rows.select(file, "at", "code", "parameters", F.posexplode("parameters").alias("j", "v")).withColumn("path", F.concat("at", F.lit("["), "j", F.lit("]")))
+    more = each.where(code == 657).select(file, F.col("path").alias("json_path"), F.lit("plugin").alias("context"), _string(F.col("v")).alias("original"))
+    found = F.filter(F.regexp_extract_all(_string(param(0)), F.lit(JS_STRING), F.lit(1)), lambda x: x != "")
+    literals = F.filter(F.transform(found, lambda x: F.substring(x, F.lit(2), F.length(x) - 2)), js_text)
+    script = rows.where(code.isin(*SCRIPT)).select(file, "at", F.posexplode(literals).alias("k", "original"))
+    script = script.select(file, F.concat("at", F.lit("[0]#script:"), "k").alias("json_path"), F.lit("script").alias("context"), "original")
+    # A known command that lacks the parameter in question counts as unknown.
+    known = code.isin(401, 405, 108, 408, 657) | ((code == CHOICES) & F.schema_of_variant(param(0)).startswith("ARRAY")) | (code.isin(402, 320, 324) & (many > 1)) | ((code == 101) & (many > 4)) | ((code == 357) & (many > 3)) | code.isin(356, *SCRIPT)
+    level = each.where(~F.coalesce(known, F.lit(False))).select(file, "path", "code", "v")
+    out = one(101, 4, "speaker name").unionByName(one(356, 0, "plugin (MV)")).unionByName(plugin).unionByName(more).unionByName(script)
+    for _ in range(LEVELS):
+        texts = level.withColumn("original", _string(F.col("v"))).where(js_text(F.trim("original")) | (F.length(F.trim("original")) <= 600) & F.trim("original").rlike(r"[\x{3040}-\x{30ff}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}]"))
+        out = out.unionByName(texts.select(file, F.col("path").alias("json_path"), F.concat_ws(" ", F.lit("param"), F.col("code").cast("string")).alias("context"), "original"))
+        level = level.select(file, "path", "code", F.explode(_members(F.col("v"))).alias("m")).select(file, F.concat("path", "m.step").alias("path"), "code", F.col("m.v").alias("v"))
+    return out
 
 
 def path_keys(path: Column) -> Column:

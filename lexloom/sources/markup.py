@@ -10,6 +10,8 @@ from lexloom.functions import text as X
 #: What isn't text of a page, and a tag of a scenario line (quotes may hold a closing bracket).
 NO_TEXT = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
 SCENARIO_TAG = r"""\[(?:[^\]"']|"[^"]*"|'[^']*')*\]"""
+#: Tags whose attribute text is shown, and an attribute's name and value.
+TEXT_TAG, ATTRIBUTE = r"^\[/?(?:link|button|ruby)(?![\w-])", r"""([A-Za-z_:][\w:.-]*)\s*=\s*("[^"]*"|'[^']*')"""
 
 
 def html_segments(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -28,15 +30,24 @@ def scenario_segments(line: Column) -> Column:
     return F.transform(kept, lambda p, i: F.struct(i.alias("seg"), p["kind"].alias("kind"), p["raw"].alias("raw")))
 
 
+def tag_text(tag: Column) -> Column:
+    """The attribute text (the last, if several) of a tag that shows it, else null."""
+    names, values = (F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(k)) for k in (1, 2))
+    own = F.filter(F.arrays_zip(names.alias("name"), values.alias("value")), lambda a: a["name"] == "text")
+    value = F.get(F.reverse(own), F.lit(0))["value"]
+    return F.when(tag.rlike(TEXT_TAG), F.substring(value, F.lit(2), F.length(value) - 2))
+
+
 def scenario_entries(files: DataFrame, file: str = "file", body: str = "body") -> DataFrame:
-    """file, line, seg, original: texts of scenario files; blank lines, comments (;), labels (*) and script blocks are skipped.
+    """file, line, seg, original: texts of scenario files, and those that link, button and ruby tags show; blank lines, comments (;), labels (*) and script blocks are skipped.
 
     A block is found by counting its openings and closings up to each line, within the file's row.
     """
     lines = F.transform(F.split(F.regexp_replace(F.col(body), r"(?s)\[iscript\].*?(?:\[endscript\]|$)", ""), r"\r?\n"), lambda x, i: F.struct(i.alias("line"), x.alias("raw")))
     good = F.filter(lines, lambda z: ~X.is_blank(z["raw"]) & ~X.stripped(z["raw"]).rlike("^[;*]"))
     out = files.select(file, F.explode(good).alias("l")).select(file, "l.line", F.inline(scenario_segments(F.col("l.raw"))))
-    return out.where(F.col("kind") == "text").select(file, "line", "seg", X.stripped(F.col("raw")).alias("original")).where(X.has_letter(F.col("original")))
+    shown = F.when(F.col("kind") == "text", F.col("raw")).otherwise(tag_text(F.col("raw")))
+    return out.select(file, "line", "seg", X.stripped(shown).alias("original")).where(X.has_letter(F.col("original")))
 
 
 def read_csv(spark, path: str) -> DataFrame:

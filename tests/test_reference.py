@@ -78,6 +78,22 @@ def test_game_databases(spark):
     assert one(spark, game_json.path_keys(F.col("p")), p="events[3].pages[0].x") == ["events", "3", "pages", "0", "x"]
 
 
+def test_tags_that_show_text(spark):
+    body = "[link text=\"Go on\" target=*a]\n[button alt=\"text='no'\" text='Start']Hi[ruby text=\"kana\"]x[wait text=\"never\"][links text=\"nor\"]"
+    rows = markup.scenario_entries(spark.createDataFrame([("a.ks", body)], "file string, body string")).orderBy("line", "seg").collect()
+    assert [(r["line"], r["original"]) for r in rows] == [(0, "Go on"), (1, "Start"), (1, "Hi"), (1, "kana"), (1, "x")]
+
+
+def test_typed_commands(spark):
+    import json
+
+    commands = [(101, ["face", 0, 0, 2, "Ann"]), (356, ["Say hello"]), (357, ["P", "c", "", {"msg": "Hey", "n": 3}]), (357, ["P", "c", "", ["one", 2]]), (657, ["msg = Hey", 4]), (355, ["a('Some text'); // 'not this'\nb(\"key\"); c(\"More \\'text\"); d('Last one')"]), (999, [1, {"deep": [["Two words", "key"]]}, "\u3042"]), (101, ["face", "Old style"])]
+    body = json.dumps([{"code": c, "indent": 0, "parameters": p} for c, p in commands])
+    got = {(r["json_path"], r["context"], r["original"]) for r in game_json.command_texts(spark.createDataFrame([("m", body), ("bad", "{")], "file string, body string")).collect()}
+    want = {(0, "[4]", "speaker name", "Ann"), (1, "[0]", "plugin (MV)", "Say hello"), (2, "[3].msg", "plugin", "Hey"), (3, "[3][0]", "plugin", "one"), (4, "[0]", "plugin", "msg = Hey"), (5, "[0]#script:0", "script", "Some text"), (5, "[0]#script:1", "script", "Last one"), (6, "[1].deep[0][0]", "param 999", "Two words"), (7, "[1]", "param 101", "Old style")}
+    assert got == {(f"[{i}].parameters{p}", c, t) for i, p, c, t in want} | {("[6].parameters[2]", "param 999", "\u3042")}
+
+
 def test_csv_round_trip(spark, tmp_path):
     rows = [(1, "f", "p", "c", 'a;"b"\nc', "t", "new"), (2, "f", "p", "c", "x", "y", "manual")]
     df = spark.createDataFrame(rows, "id long, file string, json_path string, context string, original string, translation string, status string")
