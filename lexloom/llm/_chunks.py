@@ -1,47 +1,80 @@
-"""A bounded memo of the ids of text chunks, kept in flat arrays."""
+"""A memo of the ids of text chunks, bounded in bytes and kept in flat arrays."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+
+#: Bytes of a memo; characters of a chunk that may be kept; bytes that a kept chunk takes beside its characters and ids.
+MOST_BYTES, LONGEST_KEPT, EACH = 96 << 20, 64, 200
+
+
+class _Lists:
+    """Lists of ids end to end, in arrays that double when full."""
+
+    def __init__(self) -> None:
+        self.ids, self.ends, self.n = np.zeros(1024, np.uint32), np.zeros(1025, np.int64), 0
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        used = int(self.ends[self.n])
+        self.ids, self.ends = self._room(self.ids, used + len(ids)), self._room(self.ends, self.n + len(sizes) + 1)
+        self.ids[used : used + len(ids)] = ids
+        self.ends[self.n + 1 : self.n + 1 + len(sizes)] = used + np.cumsum(sizes)
+        self.n += len(sizes)
+
+    @staticmethod
+    def _room(a: np.ndarray, need: int) -> np.ndarray:
+        if need <= len(a):
+            return a
+        out = np.zeros(max(need, 2 * len(a)), a.dtype)
+        out[: len(a)] = a
+        return out
+
+    def joined(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the lists at these places, and each one's size."""
+        n = self.ends[at + 1] - self.ends[at]
+        return self.ids[np.repeat(self.ends[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
 
 
 class ChunkMemo:
-    """Joins the ids of chunks; ``fresh`` encodes chunks not met before and gives their flat ids and sizes. What comes after ``most`` chunks is forgotten after its batch."""
+    """Joins the ids of chunks; ``fresh`` encodes chunks not met before and gives their flat ids and sizes, one pair for each of its ways to encode.
+
+    Long chunks, and all new ones once the memo is full, are forgotten after their batch.
+    """
 
-    def __init__(self, fresh: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int):
-        self.fresh, self.most = fresh, most
+    def __init__(self, fresh: Callable[[list[str]], list[tuple[np.ndarray, np.ndarray]]], most_bytes: int = MOST_BYTES, ways: int = 1):
+        self.fresh, self.most, self.bytes = fresh, most_bytes, 0
         self.at: dict[str, int] = {}
-        self.ids, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def encode(self, texts: list[list[str]]) -> list[np.ndarray]:
-        at, new, places = self.at, [], []
-        for chunks in texts:
-            try:
-                places.append([at[c] for c in chunks])
-            except KeyError:
-                for c in chunks:
-                    if c not in at:
-                        at[c] = len(at)
-                        new.append(c)
-                places.append([at[c] for c in chunks])
-        known = len(self.sizes)
-        if new:
-            ids, sizes = self.fresh(new)
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.ids = np.concatenate([self.ids, ids])
-        out = [self._joined(np.array(p, np.int64)) for p in places]
-        if len(at) > self.most:
-            keep = max(known, self.most)
-            for c in new[keep - known :]:
-                del at[c]
-            self.ids = self.ids[: self.starts[keep] if keep < len(self.starts) else len(self.ids)]
-            self.starts, self.sizes = self.starts[:keep], self.sizes[:keep]
-        return out
+        self.lists = [_Lists() for _ in range(ways)]
 
-    def _joined(self, places: np.ndarray) -> np.ndarray:
-        n = self.sizes[places]
-        shift = self.starts[places] - (np.cumsum(n) - n)
-        return self.ids[np.repeat(shift, n) + np.arange(n.sum())]
+    def encode(self, texts: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each way, the ids of all texts end to end, and each text's size."""
+        many = np.fromiter(map(len, texts), np.int64, len(texts))
+        coded = pa.array([c for chunks in texts for c in chunks], pa.large_string()).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        slot = np.fromiter((self.at.get(c, -1) for c in distinct), np.int64, len(distinct))
+        new = np.flatnonzero(slot < 0)
+        kept = self.lists[0].n
+        if len(new):
+            keep, rest = [], []
+            for k in new.tolist():
+                c = distinct[k]
+                if len(c) <= LONGEST_KEPT and self.bytes < self.most:
+                    self.at[c] = kept + len(keep)
+                    self.bytes += EACH + 4 * len(c)
+                    keep.append(k)
+                else:
+                    rest.append(k)
+            slot[keep + rest] = kept + np.arange(len(new))
+            for lists, (ids, sizes) in zip(self.lists, self.fresh([distinct[k] for k in keep + rest])):
+                lists.add(ids, sizes)
+            kept += len(keep)
+        places, ends, out = slot[coded.indices.to_numpy()], np.cumsum(many), []
+        for lists in self.lists:
+            ids, n = lists.joined(places)
+            total = np.concatenate([[0], np.cumsum(n)])
+            out.append((ids, np.diff(total[ends], prepend=0)))
+            lists.n = kept
+        return out

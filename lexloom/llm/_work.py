@@ -6,16 +6,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no checkpoint folder, as in tests.
+#: Used only by a local session that names no checkpoint folder, as in tests.
 LOCAL_DEFAULT = "/tmp/lexloom-checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset, a folder of our own."""
+    """The cluster's spark.checkpoint.dir; where it is unset, a folder of our own, which only a local session may have."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = LOCAL_DEFAULT
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 

@@ -8,8 +8,10 @@ Only hashes and places are shuffled, never texts: sums by hash are combined befo
 of all documents is one row for each task; the join back to the places is an ordinary skewed join, which Spark splits.
 
 Defined results: a null text stays null and an empty one empty; a document that loses every line keeps its row with an
-empty text. Rows with a null
-key stay as they are. Rows with the same key are told apart by their texts; equal rows (key and text) are treated alike. Other columns pass through; those named like a result are replaced.
+empty text. Rows with a null key come after all others, in order of a hash of the text. Rows with the same key are told
+apart by their texts; rows equal in key and text are one document: what it loses to others it loses in every row, and they
+lose nothing to each other. An empty table gives an empty result. Other columns pass through; those named like a result are
+replaced.
 """
 
 from __future__ import annotations
@@ -41,8 +43,8 @@ def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", size: int
         raise ValueError("a window has two lines at least")
     base = without_clash(df, ["n_lines", "n_removed", "removed"])
     doc, lines, cut, left = (free_name(base, x) for x in ("doc__", "lines__", "cut__", "left__"))
-    base = base.withColumn(doc, F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("t"))))
-    hashed = base.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(F.col(doc).alias("doc"), line_hashes(F.col(text)).alias("lines"))
+    base = base.withColumn(doc, F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.xxhash64(text).alias("t")))
+    hashed = base.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), line_hashes(F.col(text)).alias("lines"))
     at = hashed.select("doc", F.inline(windows(F.col("lines"), size)))
     first = at.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "at")).alias("first")).where("n > 1")
     later = at.join(first, ["h", "g"]).where(F.struct("doc", "at") != F.col("first"))

@@ -1,19 +1,22 @@
-"""Near-duplicates by improved consistent weighted sampling.
-
-A document's shingles (five words in a row) weigh their count in it times 1 + log((D + 1) / (df + 1)) / (2 * log(D + 1)),
-where D documents are compared and df hold the shingle. Improved consistent weighted sampling draws (shingle, level) samples, two
-documents sharing each with the probability of their weighted Jaccard similarity; samples are joined to bands, and
-documents that share a band and about half of all samples (by four bits of each) are candidates, verified by their exact weighted Jaccard similarity. Linked documents, and
-those linked through others, are one class.
-
-Documents of the same words are one text from the start, so copies cost nothing further. Of a band that many texts share,
-no pairs are listed: its texts meet a leader (the text with the most company in all its bands); texts that thereby join
-one class are done, and what is left in several classes meets the next leaders, more each time and those of the smallest
-classes first, until each text of the band has met, or is of one class with, every other. From the second round on blocks
-of texts meet blocks of leaders: a task compares all of them exactly and returns only the links that join classes. Classes are found by passing on the smallest label. Nothing of
-this comes to the driver but row counts.
-
-Words are runs of ASCII letters, digits and underscores and of any characters beyond ASCII, in lower case. Texts of one to four words are one shingle.
+"""Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
+
+A document's shingles (five words in a row) weigh their count in it times 1 + log((D + 1) / (df + 1)), where D documents are
+compared and df hold the shingle. Improved consistent weighted sampling draws (shingle, level) samples, two documents
+sharing each with the probability of their weighted Jaccard similarity; samples are joined to bands, and documents that
+share a band and about half of all samples (by four bits of each) are candidates, verified by their exact weighted Jaccard
+similarity. Linked documents, and those linked through others, are one class. `damping` divides the logarithm: 1 is TF-IDF,
+infinity the bare counts.
+
+Documents of the same words are one text from the start, so copies cost nothing further; D and df count them all. Of a band
+that many texts share, no pairs are listed: its texts meet a leader (the text with the most company in all its bands); texts
+that thereby join one class are done, and what is left in several classes meets the next leaders, more each time and those
+of the smallest classes first, until each text of the band has met, or is of one class with, every other. From the second
+round on a band's texts and its leaders are dealt into parts of bounded size, each pair of parts is one group, and its task
+compares all of them exactly and returns only the links that join classes. Classes are found by passing on the smallest
+label. Nothing of this comes to the driver but row counts.
+
+Words are runs of ASCII letters, digits and underscores and of any characters beyond ASCII, in lower case. Texts of one to
+four words are one shingle.
 
 Defined results: a null text, or one without a word, is a class of its own. Null keys take part; a class is named by its
 smallest key that isn't null. Rows with the same key are documents of their own. An empty table gives an empty result.
@@ -28,6 +31,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,10 +42,12 @@ from lexloom.llm._work import written
 
 #: Words in a shingle, least similarity; bands, and samples in each: a pair at 0.8 shares no band with a chance of 0.2 %, one at 0.9 of 1e-6.
 WORDS, LEAST, BANDS, ROWS = 5, 0.8, 12, 4
-#: Shingles sampled together, texts whose keys may be broadcast, times as many leaders of a band in each round, texts kept by a task.
+#: Divides the logarithm of the inverse document frequency.
+DAMPING = 1.0
+#: Shingles sampled together, texts whose digests and tags (32 bytes each) may be broadcast, times as many leaders of a band in each round, texts kept by a task.
 TOGETHER, BROADCAST_ROWS, MORE, KNOWN = 16_384, 300_000, 16, 3000
-#: Texts and characters in a block of a band; places of a matrix of comparisons.
-BLOCK_TEXTS, BLOCK_CHARS, PLACES = 256, 128_000, 8192
+#: Texts and characters in a part of a band and in a block of a part; places of a matrix of comparisons.
+PART_TEXTS, PART_CHARS, BLOCK_TEXTS, BLOCK_CHARS, PLACES = 2048, 2_000_000, 256, 128_000, 8192
 #: Bytes of UTF-8: what parts words becomes a space.
 _WORD_BYTES = bytes(c if c >= 128 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
 #: What a text with a word has, as a regular expression of Spark.
@@ -84,8 +90,8 @@ class Shingles:
         self.ends = np.cumsum(self.sizes)
 
 
-def weights(counts: np.ndarray, df: np.ndarray, docs: int) -> np.ndarray:
-    return counts * (1 + np.log((docs + 1) / (df.astype(np.float64) + 1)) / (2 * np.log(docs + 1.0))) if docs else counts * 1.0
+def weights(counts: np.ndarray, df: np.ndarray, docs: int, damping: float = DAMPING) -> np.ndarray:
+    return counts * (1 + np.log((docs + 1) / (df.astype(np.float64) + 1)) / damping)
 
 
 @cache
@@ -172,12 +178,16 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return both / (float(a[1].sum()) + float(b[1].sum()) - both)
 
 
-def _sketched(df: DataFrame, key: str, text: str, size: int, bands: int, rows: int) -> tuple[DataFrame, int]:
-    """Written: key, t (hash of the text), tag, bands, dfs of each row; the number of rows compared."""
+def _digest(text: str) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def _sketched(df: DataFrame, key: str, text: str, size: int, bands: int, rows: int, damping: float) -> tuple[DataFrame, int]:
+    """Written: key, t (digest of the text), tag, bands, dfs of each row; the number of rows compared."""
     chunks, buckets = _tally.plan(df, text)
-    docs = df.select(_tally.chunk_of(key, text, chunks).alias("chunk"), F.col(key).alias("key"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
+    docs = df.select(_tally.chunk_of(key, text, chunks).alias("chunk"), F.col(key).alias("key"), _digest(text).alias("t"), F.col(text).alias("text"))
     many = df.where(F.col(text).isNotNull()).count()
-    schema = T.StructType([T.StructField("key", docs.schema["key"].dataType), *T._parse_datatype_string("t bigint, tag binary, bands array<bigint>, sketch array<bigint>, dfs binary").fields])
+    schema = T.StructType([T.StructField("key", docs.schema["key"].dataType), *T._parse_datatype_string("t binary, tag binary, bands array<bigint>, sketch array<bigint>, dfs binary").fields])
 
     def request(table: pa.Table) -> pa.Table:
         keys, n = np.unique(Shingles(table["text"].to_pylist(), size).keys, return_counts=True)
@@ -187,7 +197,7 @@ def _sketched(df: DataFrame, key: str, text: str, size: int, bands: int, rows: i
         s = Shingles(left["text"].to_pylist(), size)
         df_ = _tally.totals(right, 1, buckets)[0][np.unique(s.keys, return_inverse=True)[1]] if len(s.keys) else np.zeros(0, np.uint64)
         full = s.sizes > 0
-        sampled = samples(s.keys, weights(s.counts, df_, many), s.sizes[full], bands * rows)
+        sampled = samples(s.keys, weights(s.counts, df_, many, damping), s.sizes[full], bands * rows)
         lists = [iter(x.tolist()) for x in (band_keys(sampled, bands, rows), sketches(sampled))]
         held = [_tally.planes(x.astype(np.uint32)) if len(x) else None for x in np.split(df_, s.ends[:-1])]
         return pa.table([left["key"].combine_chunks(), left["t"].combine_chunks(), pa.array(s.tags, pa.binary()), *(pa.array([next(x) if f else None for f in full.tolist()], pa.list_(pa.int64())) for x in lists), pa.array(held, pa.binary())], names=schema.names)
@@ -195,7 +205,7 @@ def _sketched(df: DataFrame, key: str, text: str, size: int, bands: int, rows: i
     return written(_tally.resolved(docs, request, resolve, schema), "sketches"), many
 
 
-def _linked(pairs: DataFrame, content: DataFrame, docs: int, least: float, size: int) -> DataFrame:
+def _linked(pairs: DataFrame, content: DataFrame, docs: int, least: float, size: int, damping: float) -> DataFrame:
     """The pairs (a, b) of tags that are as similar as asked. Spark splits the joins if a leader has many pairs."""
     side = lambda n: content.select(F.col("tag").alias(n), F.col("text").alias(f"{n}_text"), F.col("dfs").alias(f"{n}_dfs"))
     rows = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_text", "a_dfs", "b_text", "b_dfs")
@@ -208,7 +218,7 @@ def _linked(pairs: DataFrame, content: DataFrame, docs: int, least: float, size:
                 s = Shingles([text], size)
                 if len(known) >= KNOWN:
                     known.clear()
-                known[tag] = s.keys, weights(s.counts, _tally.unplanes(dfs, np.uint32), docs)
+                known[tag] = s.keys, weights(s.counts, _tally.unplanes(dfs, np.uint32), docs, damping)
             return known[tag]
 
         for b in _tally.in_slices(batches, 256):
@@ -268,36 +278,57 @@ def similarities(a: Shingles, a_weights: np.ndarray, b: Shingles, b_weights: np.
     return both / np.maximum(a_all[:, None] + b_all[None, :] - both, 1e-300)
 
 
-def _blocks(rows: DataFrame, content: DataFrame, names: list[str]) -> DataFrame:
-    """band and lists of tags, labels, texts and dfs: a band's texts dealt into blocks of bounded size by a hash."""
-    rows = rows.select("band", F.col(names[0]).alias("tag"), F.col(names[1]).alias("label")).join(content.withColumn("chars", F.length("text")), "tag")
-    many = rows.groupBy("band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("chars") / BLOCK_CHARS)).alias("blocks"))
-    dealt = rows.join(many, "band").withColumn("block", F.pmod(F.xxhash64("tag"), F.col("blocks")))
-    return dealt.groupBy("band", "block").agg(F.collect_list(F.struct("tag", "label", "text", "dfs")).alias(f"{names[0]}s")).drop("block")
+def _parts(rows: DataFrame, content: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (band, tag, label) with text and dfs; and how many parts each band's rows make."""
+    rows = rows.join(content.withColumn("chars", F.length("text")), "tag")
+    return rows, rows.groupBy("band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / PART_TEXTS), F.ceil(F.sum("chars") / PART_CHARS)).alias("parts"))
 
 
-def _met(rest: DataFrame, lead: DataFrame, content: DataFrame, docs: int, least: float, size: int) -> DataFrame:
-    """Links (a, b) that join what the texts of each band and its leaders have in common, if not of one class yet: every pair is compared exactly, within a task, block by block."""
-    pairs = _blocks(rest, content, ["tag", "label"]).join(_blocks(lead, content, ["leader", "own"]), "band").select("tags", "leaders")
+def _in_blocks(table: pa.Table) -> Iterator[list[dict]]:
+    block, chars = [], 0
+    for row in table.to_pylist():
+        block.append(row)
+        chars += len(row["text"])
+        if len(block) >= BLOCK_TEXTS or chars >= BLOCK_CHARS:
+            yield block
+            block, chars = [], 0
+    if block:
+        yield block
+
+
+def _met(rest: DataFrame, lead: DataFrame, content: DataFrame, docs: int, least: float, size: int, damping: float) -> DataFrame:
+    """Links (a, b) that join what the texts of each band and its leaders have in common, if not of one class yet: every pair is compared exactly.
+
+    A band's texts and leaders are dealt into parts of bounded size by a hash; each pair of parts is a group of its own, so
+    that neither a hot band nor its texts lie in one task.
+    """
+    left, left_parts = _parts(rest.select("band", "tag", "label"), content)
+    right, right_parts = _parts(lead.select("band", F.col("leader").alias("tag"), F.col("own").alias("label")), content)
+    parts = left_parts.select("band", F.col("parts").alias("l")).join(right_parts.select("band", F.col("parts").alias("r")), "band")
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        rows = rows.join(parts, "band").withColumn(f"{own}_part", F.pmod(F.xxhash64("tag"), F.col(own)))
+        return rows.withColumn(f"{other}_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))).select("band", "l_part", "r_part", F.lit(own == "r").alias("leads"), "tag", "label", "text", "dfs")
 
     def side(texts: list[dict]) -> tuple[Shingles, np.ndarray]:
         s = Shingles([t["text"] for t in texts], size)
-        return s, weights(s.counts, np.concatenate([_tally.unplanes(t["dfs"], np.uint32) for t in texts]), docs)
+        return s, weights(s.counts, np.concatenate([_tally.unplanes(t["dfs"], np.uint32) for t in texts]), docs, damping)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _tally.in_slices(batches, 1):
-            left, right = b.column(0)[0].as_py(), b.column(1)[0].as_py()
-            names = {x: k for k, x in enumerate({t["label"] for t in left + right})}
-            classes = [np.array([names[t["label"]] for t in texts]) for texts in (left, right)]
-            if len(names) == 1:
-                continue
-            apart = classes[0][:, None] != classes[1][None, :]
-            found = spanning(apart & (similarities(*side(left), *side(right)) >= least - 1e-12))
-            ends = [(left[i]["tag"], right[j]["tag"]) for i, j in found]
-            yield pa.RecordBatch.from_arrays([pa.array([f(e) for e in ends], pa.binary()) for f in (min, max)], names=["a", "b"])
+    def compared(table: pa.Table) -> pa.Table:
+        leads, ends = table["leads"].combine_chunks(), []
+        lefts, rights = table.filter(pc.invert(leads)), table.filter(leads)
+        blocks = [(b, side(b)) for b in _in_blocks(rights)] if lefts.num_rows else []
+        for a in _in_blocks(lefts) if blocks else []:
+            own = side(a)
+            for b, theirs in blocks:
+                names = {x: k for k, x in enumerate({t["label"] for t in a + b})}
+                classes = [np.array([names[t["label"]] for t in texts]) for texts in (a, b)]
+                apart = classes[0][:, None] != classes[1][None, :]
+                if apart.any():
+                    ends += [(a[i]["tag"], b[j]["tag"]) for i, j in spanning(apart & (similarities(*own, *theirs) >= least - 1e-12))]
+        return pa.table([pa.array([f(e) for e in ends], pa.binary()) for f in (min, max)], names=["a", "b"])
 
-    # The joined rows are large: few to an Arrow batch, and dealt anew.
-    return pairs.repartition(F.xxhash64("tags.tag", "leaders.tag")).mapInArrow(run, "a binary, b binary").distinct()
+    return dealt(left, "l", "r").unionByName(dealt(right, "r", "l")).groupBy("band", "l_part", "r_part").applyInArrow(compared, "a binary, b binary").distinct()
 
 
 def _labels(edges: DataFrame, before: DataFrame | None) -> DataFrame:
@@ -316,9 +347,9 @@ def _labels(edges: DataFrame, before: DataFrame | None) -> DataFrame:
             return now
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST, size: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST, size: int = WORDS, bands: int = BANDS, rows: int = ROWS, damping: float = DAMPING) -> DataFrame:
     """key, class_id (the smallest key of its class), class_size, and copies, the rows with the same words: one row for each row of df."""
-    found, many = _sketched(df, key, text, size, bands, rows)
+    found, many = _sketched(df, key, text, size, bands, rows, damping)
     members = found.where(F.col("tag").isNotNull()).select("tag", "sketch", F.explode("bands").alias("band")).distinct()
     shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(members.join(shared, "band"), "members")
@@ -333,7 +364,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leas
         if rest.isEmpty():
             break
         if content is None:
-            content = _content(df, found, rest.select("tag").distinct(), key, text)
+            content = _content(df, found, rest.select("tag").distinct(), text)
         # At first those with the most company lead; later those of the smallest classes, as each must meet all the others.
         order = [F.desc("company")] if k < 2 else ["others", F.desc("company")]
         sized = rest if k < 2 else rest.join(rest.groupBy("band", "label").agg(F.count(F.lit(1)).alias("others")), ["band", "label"])
@@ -342,9 +373,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leas
         if k == 0:
             near = (F.col("label") != F.col("own")) & (differences("sketch", "theirs", sampled) <= most_apart)
             met = rest.join(lead, "band").where(near).select(F.least("tag", "leader").alias("a"), F.greatest("tag", "leader").alias("b")).distinct()
-            links = _linked(written(met, "pairs"), content, many, least, size)
+            links = _linked(written(met, "pairs"), content, many, least, size, damping)
         else:
-            links = _met(rest, lead, content, many, least, size)
+            links = _met(rest, lead, content, many, least, size, damping)
         new = written(links, "links")
         rest = rest.join(lead.select("band", F.col("leader").alias("tag")), ["band", "tag"], "left_anti")
         if not new.isEmpty():
@@ -369,13 +400,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leas
     )
 
 
-def _content(df: DataFrame, found: DataFrame, tags: DataFrame, key: str, text: str) -> DataFrame:
+def _content(df: DataFrame, found: DataFrame, tags: DataFrame, text: str) -> DataFrame:
     """Written: tag, text and dfs, once for each of the tags."""
-    source = found.join(tags, "tag", "left_semi").groupBy("tag").agg(F.min(F.struct("key", "t", "dfs")).alias("x")).select("tag", "x.*")
-    source = written(source, "sources")
-    ids = source.select("tag", "key", "t", "dfs")
-    # So few that they may go to every task; else both sides are shuffled.
+    source = written(found.join(tags, "tag", "left_semi").groupBy("tag").agg(F.min(F.struct("t", "dfs")).alias("x")).select("tag", "x.*"), "sources")
+    ids = source.select("t", "tag")
+    # So few that they may go to every task; else both sides are shuffled, and Spark splits the copies of a frequent text.
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    texts = df.select(F.col(key).alias("own"), F.xxhash64(text).alias("own_t"), F.col(text).alias("text"))
-    out = texts.join(ids, F.col("own_t").eqNullSafe(F.col("t")) & F.col("own").eqNullSafe(F.col("key"))).select("tag", "text", "dfs")
-    return written(out.dropDuplicates(["tag"]), "content")
+    texts = df.select(_digest(text).alias("t"), F.col(text).alias("text"))
+    return written(texts.join(ids, "t").select("tag", "text").dropDuplicates(["tag"]).join(source.select("tag", "dfs"), "tag"), "content")

@@ -91,7 +91,8 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     out = sentencepiece_codec.sp_round_trip(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
-    return out.select("doc_id", "n_ids", F.crc32(F.array_join("ids", " ").cast("binary")).alias("ids_crc32"), "same")
+    digest = lambda ids: F.crc32(F.array_join(ids, " ").cast("binary"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), digest("ids").alias("ids_crc32"), "same", F.size("path").cast("long").alias("n_path"), digest("path").alias("path_crc32"), "path_same")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +125,7 @@ def _fold(n: int) -> Column:
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     profiles = language_id.learned_profiles(docs.where(_fold(4) != 2).select("text", "lang"))
-    out = language_id.predict_language(docs.select("doc_id", "text"), profiles)
+    out = language_id.predict_language(docs.select("doc_id", "text"), profiles, carry=["doc_id"])
     return out.select("doc_id", (F.coalesce(_fold(4), F.lit(0)) == 2).alias("held_out"), "lang_pred", "score")
 
 

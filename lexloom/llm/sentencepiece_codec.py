@@ -4,15 +4,19 @@ A text becomes words (a run of space marks and what follows up to the next mark;
 which is checked), and the distinct words of equal length advance together. Substring hashes probe the sorted keys of the
 pieces, and vectorised maxima store what was best:
 
-* unigram models: Viterbi. For each end place the best of all pieces that end there is kept with a back-pointer.
-* BPE models: a Viterbi path of best total score isn't their segmentation (they merge the best pair first, and their
-  scores are merge ranks), so the words' best pairs are merged round by round instead, leftmost first in ties.
+* Viterbi: for each end place the best of all pieces that end there is kept with a back-pointer. This is the segmentation
+  of a unigram model. For a BPE model, whose scores are merge ranks and no probabilities, its pieces are taken as a
+  unigram model with log-probability -log(2 + rank) (Zipf's law; nothing is trained).
+* BPE models' own segmentation merges the best pair first, so the words' best pairs are merged round by round, leftmost
+  first in ties.
 
-Both give the ids of the sentencepiece library. Characters without a piece fall back to bytes where the model has them,
-else to the unknown id.
+The ids of a model are those of the sentencepiece library (unigram: Viterbi, BPE: merges); sp_round_trip gives the Viterbi
+path, too. Characters without a piece fall back to bytes where the model has them, else to the unknown id.
 
 Defined results: null is taken as empty and gives no ids. A literal space mark (U+2581) decodes to a space, as in the
-library. Very long words are merged with a heap. Columns named like a result are replaced; others pass through.
+library. Very long words are merged with a heap, and their Viterbi runs over the pieces found at any place. Repeated rows and
+null keys are encoded each on their own; an empty table gives an empty result. Columns named like a result are replaced;
+others pass through.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,8 +37,8 @@ from lexloom.llm._chunks import ChunkMemo
 from lexloom.llm._work import without_clash
 
 MARK = "▁"
-#: Words kept in memory; words longer than this go by the heap; words encoded together.
-MEMO, LONG, TOGETHER = 500_000, 48, 20_000
+#: Words longer than this go one by one; words encoded together; documents and characters in a slice; places probed together.
+LONG, TOGETHER, SLICE, SLICE_CHARS, PLACES = 48, 20_000, 512, 1_000_000, 1 << 15
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -99,7 +104,12 @@ class Model:
             raise ValueError("two pieces share a hash")
         self.key_ids = np.array([i for _, _, i in normal], np.int64)[order]
         self.key_scores = np.array([s for _, s, _ in normal], np.float32)[order]
-        self.least = min((s for _, s, _ in normal), default=0.0)
+        # The scores of paths: the model's own, or Zipf's law over the merge ranks.
+        best_first = np.argsort(-self.key_scores, kind="stable")
+        self.path_scores = self.key_scores.copy()
+        if self.bpe:
+            self.path_scores[best_first] = -np.log(2.0 + np.arange(len(best_first)))
+        self.least = float(self.path_scores.min(initial=0.0))
         text = [bytes([int(p[3:-1], 16)]) if kind == 6 else b" \xe2\x81\x87 " if kind == 2 else b"" if kind == 3 else p.replace(MARK, " ").encode() for p, _, kind in pieces]
         self.out = np.frombuffer(b"".join(text), np.uint8)
         self.out_sizes = np.fromiter(map(len, text), np.int64, len(text))
@@ -168,7 +178,7 @@ def best_paths(model: Model, chars: np.ndarray) -> np.ndarray:
         i = j - sizes
         with np.errstate(over="ignore"):
             at = model.probe(h[:, [j]] - h[:, i] * power[sizes])
-        score = np.where(at >= 0, model.key_scores[at], -np.inf).astype(np.float32)
+        score = np.where(at >= 0, model.path_scores[at], -np.inf).astype(np.float32)
         score[:, -1] = np.where(at[:, -1] >= 0, score[:, -1], unknown)
         path = total[:, i] + score
         best = np.argmax(path, axis=1)
@@ -206,64 +216,143 @@ def _long_word(model: Model, word: str) -> list[str]:
     return [word[k : end[k]] for k in range(n) if not gone[k]]
 
 
+def _long_path(model: Model, word: str) -> list[str]:
+    """The pieces of one long word's best path."""
+    codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n, unknown = len(codes), model.least - 10
+    total, back = [0.0] + [-np.inf] * n, [0] * (n + 1)
+    for lo in range(0, n, PLACES):
+        # Pieces that end in this part may begin before it.
+        begin, hi = max(0, lo - model.longest), min(n, lo + PLACES)
+        h, power = _prefixes(codes[None, begin:hi])
+        ends = np.arange(lo + 1, hi + 1) - begin
+        found: list[list[tuple[int, float]]] = [[] for _ in ends]
+        for size in range(min(model.longest, hi - begin), 0, -1):
+            own = np.flatnonzero(ends >= size)
+            e = ends[own]
+            with np.errstate(over="ignore"):
+                at = model.probe(h[0, e] - h[0, e - size] * power[size])
+            hit = at >= 0
+            for k, s in zip(own[hit].tolist(), model.path_scores[at[hit]].tolist()):
+                found[k].append((size, s))
+        for k, pieces in enumerate(found):
+            j = lo + 1 + k
+            if not pieces or pieces[-1][0] > 1:
+                pieces.append((1, unknown))
+            for size, s in pieces:
+                if total[j - size] + s > total[j]:
+                    total[j], back[j] = total[j - size] + s, j - size
+    out, j = [], n
+    while j:
+        out.append(word[back[j] : j])
+        j = back[j]
+    return out[::-1]
+
+
 class Codec:
-    def __init__(self, data: bytes, memo: int = MEMO):
+    """Encodes by the model's own segmentation; with both, by the Viterbi path, too."""
+
+    def __init__(self, data: bytes, both: bool = False):
         self.model = Model(data)
-        self.memo = ChunkMemo(self._fresh, memo)
-
-    def _fresh(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        model, found = self.model, [None] * len(words)
-        by_length: dict[int, list[int]] = {}
-        for k, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(k)
-        for length, own in by_length.items():
-            if model.bpe and length > LONG:
-                for k in own:
-                    found[k] = _long_word(model, words[k])
+        self.ways = [self.model.bpe, False] if both else [self.model.bpe]
+        self.memo = ChunkMemo(self._fresh, ways=len(self.ways))
+
+    def _fresh(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [self._pieces(words, bpe) for bpe in self.ways]
+
+    def _pieces(self, words: list[str], bpe: bool) -> tuple[np.ndarray, np.ndarray]:
+        model, length = self.model, np.fromiter(map(len, words), np.int64, len(words))
+        # Of each group of words: which, how many ids each has, and the ids end to end.
+        groups = []
+        for n in np.unique(length).tolist():
+            own = np.flatnonzero(length == n)
+            if n > LONG:
+                lists = [self._spelled((_long_word if bpe else _long_path)(model, words[k])) for k in own.tolist()]
+                groups.append((own, np.fromiter(map(len, lists), np.int64, len(lists)), np.array([i for x in lists for i in x], np.int64)))
                 continue
-            step = max(1, TOGETHER * 8 // length)
+            step = max(1, TOGETHER * 8 // n)
             for j in range(0, len(own), step):
                 part = own[j : j + step]
-                chars = np.frombuffer("".join(words[k] for k in part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, length).astype(np.uint64)
-                begins = (merged if model.bpe else best_paths)(model, chars)
-                rows, cols = np.nonzero(begins)
-                ends = np.append(cols[1:], 0)
-                ends[np.append(rows[1:] != rows[:-1], True)] = length
-                for r, a, b in zip(rows.tolist(), cols.tolist(), ends.tolist()):
-                    k = part[r]
-                    if found[k] is None:
-                        found[k] = []
-                    found[k].append(words[k][a:b])
-        flat, sizes = [], np.zeros(len(words), np.int64)
-        for k, pieces in enumerate(found):
-            before = len(flat)
-            for p in pieces:
-                i = model.ids.get(p)
-                if i is not None:
-                    flat.append(i)
-                elif model.bytes[0] >= 0:
-                    flat += model.bytes[np.frombuffer(p.encode("utf-8", "replace"), np.uint8)].tolist()
-                else:
-                    flat.append(model.unknown)
-            sizes[k] = len(flat) - before
-        return np.array(flat, np.uint32), sizes
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+                chars = np.frombuffer("".join([words[k] for k in part.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n).astype(np.uint64)
+                groups.append((part, *self._named(chars, (merged if bpe else best_paths)(model, chars))))
+        sizes = np.zeros(len(words), np.int64)
+        for own, n, _ in groups:
+            sizes[own] = n
+        start, flat = np.cumsum(sizes) - sizes, np.zeros(int(sizes.sum()), np.uint32)
+        for own, n, ids in groups:
+            flat[np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = ids
+        return flat, sizes
+
+    def _spelled(self, pieces: list[str]) -> list[int]:
+        model, out = self.model, []
+        for p in pieces:
+            i = model.ids.get(p)
+            if i is not None:
+                out.append(i)
+            elif model.bytes[0] >= 0:
+                out += model.bytes[np.frombuffer(p.encode("utf-8", "replace"), np.uint8)].tolist()
+            else:
+                out.append(model.unknown)
+        return out
+
+    def _named(self, chars: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of equally long words has, and the ids of the pieces that begin where begins says."""
+        model, length = self.model, chars.shape[1]
+        rows, cols = np.nonzero(begins)
+        ends = np.append(cols[1:], 0)
+        ends[np.append(rows[1:] != rows[:-1], True)] = length
+        h, power = _prefixes(chars)
+        with np.errstate(over="ignore"):
+            at = model.probe(h[rows, ends] - h[rows, cols] * power[ends - cols])
+        ids, many = model.key_ids[at], np.ones(len(at), np.int64)
+        lacks = np.flatnonzero(at < 0)  # single characters
+        codes = chars[rows[lacks], cols[lacks]]
+        spelled = {c: self._spelled([chr(c)]) for c in np.unique(codes).tolist()}
+        many[lacks] = [len(spelled[c]) for c in codes.tolist()]
+        out = np.repeat(ids, many)
+        first = (np.cumsum(many) - many)[lacks]
+        for c, x in spelled.items():
+            for j, i in enumerate(x):
+                out[first[codes == c] + j] = i
+        return np.bincount(rows, many, len(chars)).astype(np.int64), out
+
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each way, the ids of all texts end to end, and each text's size."""
         mark = MARK if self.model.prefix else ""
         return self.memo.encode([_WORDS.findall(mark + t.replace(" ", MARK)) if t else [] for t in texts])
 
-    def decode(self, ids: np.ndarray) -> str:
+    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+        """The texts of ids that lie end to end."""
         m, n = self.model, self.model.out_sizes[ids]
-        shift = m.out_starts[ids] - (np.cumsum(n) - n)
-        text = m.out[np.repeat(shift, n) + np.arange(n.sum())].tobytes().decode("utf-8", "replace")
-        return text[1:] if m.prefix and text.startswith(" ") else text
+        at = np.concatenate([[0], np.cumsum(n)])
+        data = m.out[np.repeat(m.out_starts[ids] - at[:-1], n) + np.arange(at[-1])].tobytes()
+        ends = at[np.cumsum(sizes)].tolist()
+        out = [data[a:b].decode("utf-8", "replace") for a, b in zip([0, *ends[:-1]], ends)]
+        return [t[1:] if m.prefix and t.startswith(" ") else t for t in out]
 
 
 @lru_cache(2)
-def codec(path: str) -> Codec:
+def codec(path: str, both: bool = False) -> Codec:
     """One codec for all tasks of a worker."""
     with open(path, "rb") as f:
-        return Codec(f.read())
+        return Codec(f.read(), both)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Slices bounded in documents and characters (a longer document is one of its own)."""
+    for b in batches:
+        sizes, lo = pc.fill_null(pc.binary_length(b.column(text)), 0).to_pylist(), 0
+        while lo < b.num_rows:
+            hi, chars = lo, 0
+            while hi < b.num_rows and hi - lo < SLICE and (hi == lo or chars + sizes[hi] <= SLICE_CHARS):
+                chars += sizes[hi]
+                hi += 1
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
+def _lists(ids: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), ids.astype(np.int32))
 
 
 def sp_encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -273,13 +362,8 @@ def sp_encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path)
-        for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                b = whole.slice(k, 512)
-                got = own.encode([t or "" for t in b.column(at).to_pylist()])
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int32)
-                flat = np.concatenate(got).astype(np.int32) if got else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(ends, flat)], names=schema.names)
+        for b in _slices(batches, at):
+            yield pa.RecordBatch.from_arrays([*b.columns, _lists(*own.encode(b.column(at).to_pylist())[0])], names=schema.names)
 
     return base.mapInArrow(run, schema)
 
@@ -293,13 +377,25 @@ def sp_decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "dec
         own = codec(model_path)
         for b in batches:
             lists = b.column(at)
-            texts = [own.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid and len(x) else "" for x in lists]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=schema.names)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.decode(lists.flatten().to_numpy(zero_copy_only=False), sizes), pa.string())], names=schema.names)
 
     return base.mapInArrow(run, schema)
 
 
 def sp_round_trip(df: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_ids, ids, same (the ids decode to the text)."""
-    coded = sp_decode(sp_encode(df.select(key, text), model_path, text, "ids"), model_path, "ids", "decoded")
-    return coded.select(key, F.size("ids").cast("long").alias("n_ids"), "ids", (F.col("decoded") == F.coalesce(F.col(text), F.lit(""))).alias("same"))
+    """key; ids, the model's own segmentation; path, the Viterbi path; same and path_same, whether each decodes to the text. A slice is encoded and decoded in one pass of one worker."""
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    kind = rows.schema["key"].dataType
+    schema = T.StructType([T.StructField("key", kind), *T._parse_datatype_string("ids array<int>, same boolean, path array<int>, path_same boolean").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(model_path, both=True)
+        for b in _slices(batches, 1):
+            texts, cols = b.column(1).to_pylist(), []
+            for ids, sizes in own.encode(texts):
+                same = [t == (want or "") for t, want in zip(own.decode(ids, sizes), texts)]
+                cols += [_lists(ids, sizes), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=schema.names)
+
+    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)

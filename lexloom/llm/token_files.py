@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from lexloom.llm._chunks import ChunkMemo
 from lexloom.llm._work import new_path, written
 
-#: Ids in a sequence, sequences in a record batch, chunks in an encoder's memory.
-SEQUENCE, BATCH, MEMO = 2048, 128, 800_000
+#: Ids in a sequence, sequences in a record batch, texts encoded together, bytes of text in a file.
+SEQUENCE, BATCH, SLICE, FILE_BYTES = 2048, 128, 512, 64 << 20
 #: A space that something other than a word follows: there a chunk would not stand for itself.
 _UNSAFE = re.compile(r" (?:\s|\Z)|\x00")
 
@@ -44,24 +44,25 @@ class Encoder:
     its chunks encoded apart, with equal ids. Texts with other runs of white space are encoded whole.
     """
 
-    def __init__(self, path: str, memo: int = MEMO):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.memo = ChunkMemo(self._fresh, memo)
+        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text, as the tokenizers' README has it
+        self.memo = ChunkMemo(self._fresh)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _fresh(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _fresh(self, chunks: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         got = self._ids(chunks)
         sizes = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes
+        return [(np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         odd = {k for k, t in enumerate(texts) if _UNSAFE.search(t)}
-        out = self.memo.encode([t.replace(" ", "\x00 ").split("\x00") if t and k not in odd else [] for k, t in enumerate(texts)])
+        ids, sizes = self.memo.encode([t.replace(" ", "\x00 ").split("\x00") if t and k not in odd else [] for k, t in enumerate(texts)])[0]
+        out = np.split(ids, np.cumsum(sizes)[:-1])
         for k in odd:
             out[k] = np.array(self._ids([texts[k]])[0], np.uint32)
         return out
@@ -170,8 +171,8 @@ def write_token_files(df: DataFrame, tokenizer: str, end_id: int, key: str = "do
                 system.create_dir(path.rpartition("/")[0], recursive=True)
                 sink, index = system.open_output_stream(f"{path}.arrow"), system.open_output_stream(f"{path}.docs.arrow")
                 writer, docs, n_docs = SequenceWriter(sink, dtype, length), pa.ipc.new_stream(index, _DOCS), 0
-            for k in range(0, b.num_rows, 512):
-                piece = b.slice(k, 512)
+            for k in range(0, b.num_rows, SLICE):
+                piece = b.slice(k, SLICE)
                 at, sizes = writer.total, []
                 for ids in coder.encode(piece.column(1).to_pylist()):
                     writer.add(ids)

@@ -6,8 +6,10 @@ best score, and the next pass refines that bin, until bins are single scores. A
 score and, of those equal to it, the smallest ids that are still wanted. Blocks report their best k entries only, since a
 query's kth best score can't lie below the kth best of any block; so ties of any number and repeated vectors cost nothing.
 
-Queries are split by a hash into groups of a fixed size; each candidate block meets each group once, by an equi-join on
-the group. Nothing but the bounds of the norms and the number of queries comes to the driver.
+Queries are split by a hash into groups of a fixed size. Groups are broadcast, as many at a time as fit BROADCAST_BYTES, and
+the candidate blocks meet them where they lie: blocks are scanned once for each such lot in a pass and never shuffled. (One
+group is GROUP queries, so a lot is bounded by the length of a vector alone.) Nothing but the bounds of the norms, the
+longest vector and the number of queries comes to the driver.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor do null ids.
 Vectors meet those of the same length only. Of query rows with the same id the smallest vector counts; candidates with the
@@ -19,6 +21,7 @@ empty table gives an empty result. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +30,8 @@ from pyspark.sql import functions as F
 
 from lexloom.llm._work import written
 
-#: Bins of a pass, candidates in a block, queries in a group.
-BINS, BLOCK, GROUP = 1024, 4096, 1024
+#: Bins of a pass, candidates in a block, queries in a group, bytes of queries sent to all tasks at a time.
+BINS, BLOCK, GROUP, BROADCAST_BYTES = 1024, 4096, 1024, 64 << 20
 _LISTS = pa.list_(pa.int64())
 
 
@@ -79,11 +82,22 @@ def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return q @ c.T
 
 
-def _met(blocks: DataFrame, state: DataFrame, groups: int) -> DataFrame:
-    """Each candidate block with each group of queries of its length."""
+def _met(blocks: DataFrame, state: DataFrame) -> DataFrame:
+    """Each candidate block with each group of queries of its length; state: so many groups as may be broadcast."""
     packed = state.groupBy("g", "dim").agg(F.collect_list(F.struct("id", "v", "lo", "need")).alias("q"))
-    packed = packed.select("g", "dim", F.col("q.id").alias("q_ids"), F.flatten("q.v").alias("q_data"), F.col("q.lo").alias("q_lo"), F.col("q.need").alias("q_need"))
-    return blocks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(packed, ["g", "dim"]).drop("g")
+    packed = packed.select("dim", F.col("q.id").alias("q_ids"), F.flatten("q.v").alias("q_data"), F.col("q.lo").alias("q_lo"), F.col("q.need").alias("q_need"))
+    return blocks.join(F.broadcast(packed), "dim")
+
+
+def _lots(blocks: DataFrame, state: DataFrame, groups: int, together: int) -> Iterator[DataFrame]:
+    for lo in range(0, groups, together):
+        yield _met(blocks, state.where(F.col("g").between(lo, lo + together - 1)) if together < groups else state)
+
+
+def _all(parts: Iterator[DataFrame], name: str) -> DataFrame:
+    """The parts' rows; of several, each is written as it is made."""
+    parts = list(parts)
+    return parts[0] if len(parts) == 1 else reduce(DataFrame.unionByName, [written(p, name) for p in parts])
 
 
 _COLUMNS = ["dim", "ids", "data", "q_ids", "q_data", "q_lo", "q_need"]
@@ -162,16 +176,19 @@ def exact_topk(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_
     if bound >= 1 << 62:
         raise ValueError("scores don't fit in 64 bits")
     groups = max(1, -(-many // GROUP))
+    longest = asked.agg(F.max("dim")).first()[0] or 1
+    together = max(1, BROADCAST_BYTES // (8 * GROUP * longest))
     g = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")
     state = asked.select(g.alias("g"), "dim", "id", "v", F.lit(-bound).cast("long").alias("lo"), F.lit(k).cast("long").alias("need"))
     width = 1
     while width * bins < 2 * bound + 1:
         width *= bins
     while True:
-        state = written(_refined(state, _histogram(_met(blocks, state, groups), width, bins), width), "state")
+        hist = _all((_histogram(met, width, bins) for met in _lots(blocks, state, groups, together)), "histogram")
+        state = written(_refined(state, hist, width), "state")
         if width == 1:
             break
         width //= bins
-    found = _chosen(_met(blocks, state, groups))
+    found = _all((_chosen(met) for met in _lots(blocks, state, groups, together)), "chosen")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
