@@ -36,6 +36,7 @@ from lexloom.llm._work import free_name, without_clash
 
 #: Ranks in a language's profile and in a document's, letters in an n-gram, languages at most.
 LANG_RANKS, DOC_RANKS, LONGEST, MOST_LANGS = 400, 300, 4, 1000
+PIECE = 32
 #: Documents and characters in a slice, n-grams of words remembered.
 SLICE_DOCS, SLICE_CHARS, MEMO = 512, 400_000, 2_000_000
 UNKNOWN, PAD = "und", ord("_")
@@ -46,8 +47,10 @@ def learned_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang"
     """n-gram -> rank (from 0) by language. Rows with a null text or lang teach nothing."""
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}]+")).alias("word"))
     words = rows.where(F.col("word") != "").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    made = F.concat(*[_grams_of(F.concat(F.lit("_"), "word", F.lit("_")), n) for n in range(1, LONGEST + 1)])
-    counts = words.select("lang", "n", F.explode(made).alias("gram")).where(F.col("gram") != "_").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # Long words in pieces that overlap, as a substring costs its place: n-grams begin in a piece's first PIECE letters.
+    piece = F.regexp_extract_all(F.concat(F.lit("_"), "word", F.lit("_")), F.lit(f"(?=(.{{1,{PIECE + LONGEST - 1}}})).{{1,{PIECE}}}"), F.lit(1))
+    made = F.concat(*[_grams_of(F.col("piece"), n) for n in range(1, LONGEST + 1)])
+    counts = words.select("lang", "n", F.explode(piece).alias("piece")).select("lang", "n", F.explode(made).alias("gram")).where(F.col("gram") != "_").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # Per language the best ranks of each part first, then of all parts: no task sees all n-grams of a language.
     part = counts.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(64)))
     best = lambda keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "gram"))
@@ -60,9 +63,9 @@ def learned_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang"
     return dict(sorted(found.items()))
 
 
-def _grams_of(padded: Column, n: int) -> Column:
-    last = F.length(padded) - n + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+def _grams_of(piece: Column, n: int) -> Column:
+    last = F.least(F.length(piece) - n + 1, F.lit(PIECE))
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(piece, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
 def _codes(text: str) -> np.ndarray:

@@ -360,9 +360,10 @@ def brute_language(text, profiles, ranks=language_id.DOC_RANKS):
 
 def test_language_id_against_brute_force(spark):
     rng = random.Random(15)
-    profiles = language_id.learned_profiles(docs(spark))
+    learned = docs(spark).select("text", "lang").union(spark.createDataFrame([("q\u00fcz" * 30 + " " + "ab" * 17, "en")], "text string, lang string"))
+    profiles = language_id.learned_profiles(learned)
     counts = defaultdict(Counter)
-    for r in docs(spark).collect():
+    for r in learned.collect():
         for w in re.findall(r"[^\W\d_]+", r["text"].lower()) if r["text"] and r["lang"] else []:
             counts[r["lang"]].update(w)
             for n in (2, 3, 4):
