@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Character classes of scripts, and the codes of game texts.
+#: Character classes of scripts, the codes of game texts, the characters of a path.
 KANA, HAN, HANGUL, CYRILLIC, LATIN = "[\u3040-\u30ff\u31f0-\u31ff]", "[\u4e00-\u9fff\u3400-\u4dbf]", "[\uac00-\ud7a3]", "[\u0400-\u04ff]", "[A-Za-z]"
 WIDE = "[\u3000-\u9fff\uf900-\ufaff\uac00-\ud7af]"
 CODES = r"\\[A-Za-z]?\[[^\]]*\]|\\[{}<>|.!^_]?|\\[A-Za-z]+|%[0-9]+"
 TOKEN = r"</?x(\d+)\s*/?>"
+LETTERS = "[\u3040-\u30ff\u31f0-\u31ff\uff65-\uff9f\u0400-\u04ffA-Za-z]"
+PATH = r"^[\w.\\/\-@!#$%^&*()\[\]{}<>:;,?+=~`|']+$"
+LOW_SCORE, MANY_REPEATS, LITTLE_FIT = -1.0, 0.25, 0.5
 #: White space that stripping removes.
 SPACES = r"^[\s\x{3000}\x{a0}]+|[\s\x{3000}\x{a0}]+$"
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once for all places that f uses it in (branches and lambdas would each compute it again)."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def stripped(text: Column) -> Column:
     return F.regexp_replace(text, SPACES, "")
 
@@ -24,14 +34,14 @@ def is_blank(text: Column) -> Column:
 
 def detect_lang(text: Column) -> Column:
     """ja, zh, ko, ru or en by the first script found in that order, codes left out; null if none."""
-    bare = F.regexp_replace(text, CODES, "")
-    return F.when(bare.rlike(KANA), "ja").when(bare.rlike(HAN), "zh").when(bare.rlike(HANGUL), "ko").when(bare.rlike(CYRILLIC), "ru").when(bare.rlike(LATIN), "en")
+    first = lambda bare: F.when(bare.rlike(KANA), "ja").when(bare.rlike(HAN), "zh").when(bare.rlike(HANGUL), "ko").when(bare.rlike(CYRILLIC), "ru").when(bare.rlike(LATIN), "en")
+    return once(F.regexp_replace(text, CODES, ""), first)
 
 
 def resolve_source(text: Column, declared: str, target: str) -> Column:
     """The language to translate from: what is detected, else what is declared; null if that is the target."""
-    found = F.coalesce(detect_lang(text), F.lit(None if declared == "auto" else declared))
-    return F.when(found != target, found)
+    found = F.coalesce(detect_lang(text), F.lit(None if declared == "auto" else declared).cast("string"))
+    return once(found, lambda lang: F.when(lang != target, lang))
 
 
 def estimate_tokens(text: Column) -> Column:
@@ -44,13 +54,14 @@ def has_letter(text: Column) -> Column:
 
 
 def is_single_letter(text: Column) -> Column:
-    return stripped(text).rlike(r"^\p{L}$")
+    """One letter of kana (half-width too), Cyrillic or Latin."""
+    return stripped(text).rlike(f"^{LETTERS}$")
 
 
 def is_code_token(text: Column) -> Column:
     """A web address, a hex colour, or an ASCII path with an extension; one token."""
     s = stripped(text)
-    path = s.rlike(r"[\\/]") & s.rlike(r"\.[A-Za-z0-9]{1,5}$") & s.rlike(r"^[\w.\\/\-@!#$%^&*()\[\]{}<>:;,?+=~`|']+$")
+    path = s.rlike(r"[\\/]") & s.rlike(r"\.[A-Za-z0-9]{1,5}$") & s.rlike(PATH)
     return (s != "") & ~s.rlike(r"\s") & (s.rlike("^https?://") | s.rlike("^#[0-9a-fA-F]{3,8}$") | path)
 
 
@@ -95,8 +106,17 @@ def groups_in_order(source: Column, target: Column, pattern: str) -> Column:
     return F.aggregate(found, F.lit(1), step) > 0
 
 
+#: Groups in brackets or braces, four levels deep.
+GROUP = r"[\[{][^\[\]{}]*[\]}]"
+for _ in range(3):
+    GROUP = r"[\[{](?:[^\[\]{}]|" + GROUP + r")*[\]}]"
+#: A variable of scenario scripts.
+SCENARIO_VARIABLE = r"%[A-Za-z_]\w*|&[A-Za-z_][\w.]*|\b(?:f|sf|tf|mp)\.[A-Za-z_]\w*"
+
+
 def variables_safe(source: Column, target: Column) -> Column:
-    return groups_in_order(source, target, r"\[[^\[\]]*\]|\{[^{}]*\}")
+    """Each outermost group of source stands verbatim in target, in order."""
+    return groups_in_order(source, target, GROUP)
 
 
 def fix_escape(source: Column, target: Column) -> Column:
@@ -128,13 +148,19 @@ def script_fit(text: Column, target: str) -> Column:
 def repeated_stems(text: Column, size: int = 5) -> Column:
     """The share of words whose first letters another word has too; 0 for under four words. Sorted stems need one pass."""
     stems = F.array_sort(F.transform(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: F.substring(F.lower(w), 1, size)))
-    near = F.arrays_zip(stems.alias("a"), F.concat(F.array(F.lit(None).cast("string")), stems).alias("b"), F.slice(stems, 2, 1 << 30).alias("c"))
-    again = F.size(F.filter(near, lambda z: z["a"].isNotNull() & (z["a"].eqNullSafe(z["b"]) | z["a"].eqNullSafe(z["c"]))))
-    return F.when(F.size(stems) < 4, 0.0).otherwise(again / F.size(stems))
 
+    def share(s: Column) -> Column:
+        near = F.arrays_zip(s.alias("a"), F.concat(F.array(F.lit(None).cast("string")), s).alias("b"), F.slice(s, 2, 1 << 30).alias("c"))
+        again = F.size(F.filter(near, lambda z: z["a"].isNotNull() & (z["a"].eqNullSafe(z["b"]) | z["a"].eqNullSafe(z["c"]))))
+        return F.when(F.size(s) < 4, 0.0).otherwise(again / F.size(s))
+
+    return once(stems, share)
 
-def suspicious(text: Column, target: str, most_repeats: float = 0.5, least_fit: float = 0.5) -> Column:
-    return (repeated_stems(text) > most_repeats) | (script_fit(text, target) < least_fit)
+
+def suspicious(text: Column, target: str, score: Column) -> Column:
+    """Whether a translation is likely made up: a low mean score, repeated stems, or letters of another script."""
+    n = F.length(text)
+    return (n > 0) & (((n > 6) & (score < LOW_SCORE)) | ((n > 3) & (repeated_stems(text) > MANY_REPEATS)) | (script_fit(text, target) < LITTLE_FIT))
 
 
 def short_hash(text: Column) -> Column:
@@ -143,19 +169,3 @@ def short_hash(text: Column) -> Column:
 
 def spaced_number(n: Column) -> Column:
     return F.replace(F.format_number(n, 0), F.lit(","), F.lit(" "))
-
-
-def mask_codes(text: Column) -> Column:
-    """struct(masked, codes): each code replaced by a numbered token; regular, so no Python is needed."""
-    pattern = r"\\[A-Za-z]*\[[^\]]*\]|\\[A-Za-z]+|\\[{}<>|.!^_]|\\|%[0-9]+|</?[A-Za-z][^>]{0,30}>"
-    codes, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    tokens = F.transform(codes, lambda c, i: F.concat(F.lit("<x"), i.cast("string"), F.lit("/>")))
-    masked = F.array_join(F.zip_with(parts, tokens, lambda p, t: F.concat(F.coalesce(p, F.lit("")), F.coalesce(t, F.lit("")))), "")
-    return F.struct(masked.alias("masked"), codes.alias("codes"))
-
-
-def unmask_codes(masked: Column, codes: Column) -> Column:
-    """Tokens replaced by their codes, in one pass; a token without a code goes."""
-    ids, parts = tokens_of(masked), F.split(masked, TOKEN, -1)
-    back = F.transform(ids, lambda i: F.coalesce(F.get(codes, i.cast("int")), F.lit("")))
-    return F.array_join(F.zip_with(parts, back, lambda p, t: F.concat(F.coalesce(p, F.lit("")), F.coalesce(t, F.lit("")))), "")

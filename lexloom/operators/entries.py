@@ -154,9 +154,55 @@ def term_sample(entries: DataFrame, chars: int = 12_000, most: int = 80, longest
 
 
 def glossary_matches(rows: DataFrame, terms: DataFrame, key: str, text: str, gram: int = 4) -> DataFrame:
-    """key, term for every term within the text, by an equi-join on the term's first characters and a check of what it brings; no cross join."""
+    """key, term for every term within the text, by an equi-join on the term's first characters and a check of what it brings; no cross join.
+
+    Only beginnings as long as some term's are looked up (their lengths, gram at most, come to the driver).
+    """
     keyed = terms.select("term", F.substring("term", 1, gram).alias("g")).where(F.col("term") != "").distinct()
+    lengths = sorted(r["n"] for r in keyed.select(F.length("g").alias("n")).distinct().collect())
     t = F.col(text)
     cut = lambda n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    grams = rows.select(key, text, F.explode(F.array_distinct(F.concat(*[cut(n) for n in range(1, gram + 1)]))).alias("g"))
+    none = F.array().cast("array<string>")
+    grams = rows.select(key, text, F.explode(F.array_distinct(F.concat(none, *[cut(n) for n in lengths]))).alias("g"))
     return grams.join(keyed, "g").where(t.contains(F.col("term"))).select(key, "term")
+
+
+def dashboard(entries: DataFrame) -> DataFrame:
+    """done (skipped rows with a translation count, too), remaining, total."""
+    done = F.count_if(~X.is_blank(F.col("translation")))
+    return entries.agg(done.alias("done"), (F.count(F.lit(1)) - done).alias("remaining"), F.count(F.lit(1)).alias("total"))
+
+
+def worker_counters(entries: DataFrame) -> DataFrame:
+    """translated, and skipped: rows set to skip without a translation."""
+    return entries.agg(F.count_if(F.col("status") == "translated").alias("translated"), F.count_if((F.col("status") == "skip") & X.is_blank(F.col("translation"))).alias("skipped"))
+
+
+def file_order(entries: DataFrame, target: str) -> DataFrame:
+    """file, place (from 1): by name, files in the target language last."""
+    files = entries.select("file").distinct().join(target_language_files(entries, target), "file", "left")
+    # One row for each file.
+    place = F.row_number().over(Window.orderBy(F.coalesce("is_target", F.lit(False)), "file"))
+    return files.select("file", place.alias("place"))
+
+
+def table_page(entries: DataFrame, most: int = 10_000) -> DataFrame:
+    """The rows that a table shows."""
+    return entries.orderBy("id").limit(most)
+
+
+def sizes(entries: DataFrame) -> DataFrame:
+    """file, rows, chars of the originals and of the translations."""
+    return entries.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("original")).alias("chars"), F.sum(F.length("translation")).alias("translated_chars"))
+
+
+def not_among(rows: DataFrame, known: DataFrame, column: str) -> DataFrame:
+    """rows whose value isn't among known's: literals that aren't parameter keys, texts that a file lacks."""
+    return rows.join(known.select(column).distinct(), column, "left_anti").select(*rows.columns)
+
+
+def holder_rows(entries: DataFrame, target: str, declared: str = "auto") -> DataFrame:
+    """id, first_id: each row to translate and the one that stands for its text."""
+    rows = work_set(entries).withColumn("lang", X.resolve_source(F.col("original"), declared, target)).where("lang IS NOT NULL")
+    first = rows.groupBy("lang", "original").agg(F.min("id").alias("first_id"))
+    return rows.join(first, ["lang", "original"]).select("id", "first_id")

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.functions import codes as C
 from lexloom.functions import text as X
 from lexloom.operators import entries as E
 from lexloom.operators import snapshots as S
@@ -152,8 +153,8 @@ def fix_leading_case(spark, d):
 def mask_roundtrip(spark, d):
     """Codes set into each line, masked and put back: `same` must be true everywhere."""
     rows = entries(spark, d).select("id", F.concat(F.lit("\\C[8]"), "original", F.lit(" %1 <b>\\V[2]</b>")).alias("t"))
-    m = rows.withColumn("m", X.mask_codes(F.col("t")))
-    return m.select("id", F.size("m.codes").alias("n"), X.tokens_valid(F.col("m.masked"), F.size("m.codes")).alias("valid"), (X.unmask_codes(F.col("m.masked"), F.col("m.codes")) == F.col("t")).alias("same"))
+    m = rows.withColumn("m", C.mask_codes(F.col("t")))
+    return m.select("id", F.size("m.codes").alias("n"), X.tokens_valid(F.col("m.masked"), F.size("m.codes")).alias("valid"), (C.unmask_codes(F.col("m.masked"), F.col("m.codes")) == F.col("t")).alias("same"))
 
 
 @query("project_stats", f"{_ENTRIES} SELECT count(*) FILTER (NOT {_blank('translation')} AND status <> 'skip') AS done, count(*) FILTER (NOT {_blank('translation')} AND status = 'skip') AS draft, count(*) FILTER ({_blank('translation')}) AS empty, count(*) AS total FROM e")
@@ -201,10 +202,11 @@ def merge_extracted(spark, d):
     return E.merge_previous(old.withColumn("translation", F.lit("")).withColumn("status", F.lit("new")), old)
 
 
-@query("update_by_id", f"{_ENTRIES} SELECT id, file, json_path, context, original, CASE WHEN id % 7 = 0 THEN 'second' ELSE translation END AS translation, CASE WHEN id % 7 = 0 THEN 'manual' ELSE status END AS status FROM e")
+@query("update_by_id", f"{_ENTRIES} SELECT id, file, json_path, context, original, 'second' AS translation, 'manual' AS status FROM e WHERE NOT {_blank('translation')} UNION ALL SELECT {_COLS} FROM e WHERE {_blank('translation')}")
 def update_by_id(spark, d):
+    """Two changes of each translated entry, the later one counts, and a blank one of every entry, which doesn't."""
     e = entries(spark, d)
-    rows = e.where("id % 7 = 0").select("id")
+    rows = e.where(~X.is_blank(F.col("translation"))).select("id")
     changes = rows.select("id", F.lit(1).alias("ord"), F.lit("first").alias("translation")).union(rows.select("id", F.lit(2), F.lit("second"))).union(e.select("id", F.lit(3), F.lit("  ")))
     return E.update_by_id(e, changes)
 
@@ -233,6 +235,11 @@ def glossary_match(spark, d):
     return E.glossary_matches(part, part.select(F.explode(F.split("p_name", " ")).alias("term")), "p_partkey", "p_name").distinct()
 
 
+@query("glossary_match_lines", f"{_ENTRIES} SELECT DISTINCT id, term FROM e, (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS term FROM part) WHERE contains(original, term) AND term <> ''")
+def glossary_match_lines(spark, d):
+    return E.glossary_matches(entries(spark, d), table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("term")), "id", "original").distinct()
+
+
 @query("context_window", "SELECT conv_id, turn, coalesce(list(text) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), []) AS before, coalesce(list(text) OVER (w ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), []) AS after FROM conversations WHERE text IS NOT NULL WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
 def context_window(spark, d):
     return E.context_window(table(spark, d, "conversations").where("text IS NOT NULL"), ["conv_id"], "turn", "text").select("conv_id", "turn", "before", "after")

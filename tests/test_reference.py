@@ -4,14 +4,17 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from lexloom.functions import codes as C
 from lexloom.functions import text as X
 from lexloom.operators import entries as E
-from lexloom.plans import catalog
+from lexloom.operators import game_state as G
+from lexloom.operators import translate as T
+from lexloom.plans import catalog, translation  # noqa: F401
 from lexloom.sources import game_json, markup
 from lexloom.streaming import live
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["documents", "labels", "pages", "benchmark", "part", "conversations", "events", "customer"]
+TABLES = ["documents", "labels", "pages", "benchmark", "part", "conversations", "events", "customer", "supplier", "nation", "lineitem", "orders"]
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +40,7 @@ def one(spark, column, **values):
 
 def test_round_trip_of_codes(spark):
     assert all(r["same"] and r["valid"] for r in catalog.QUERIES["mask_roundtrip"](spark, SF).collect())
-    got = one(spark, X.mask_codes(F.col("t")), t="\\C[8]Hi %1 <b>x</b>\\!")
+    got = one(spark, C.mask_codes(F.col("t")), t="\\C[8]Hi %1 <b>x</b>\\!")
     assert got["masked"] == "<x0/>Hi <x1/> <x2/>x<x3/><x4/>" and got["codes"] == ["\\C[8]", "%1", "<b>", "</b>", "\\!"]
 
 
@@ -52,7 +55,8 @@ def test_fixers_and_guards(spark):
     assert one(spark, X.guard_tokens(F.col("s"), F.col("t")), s="<x0/>a", t="b <x0/>") == "b <x0/>"
     assert one(spark, X.guard_tokens(F.col("s"), F.col("t")), s="<x0/>a", t="b") == "<x0/>a"
     assert one(spark, X.guard_length(F.col("s"), F.col("t")), s="abc", t="x" * 25) == "abc"
-    assert one(spark, X.suspicious(F.col("t"), "ru"), t="word word word word") is True
+    assert one(spark, X.suspicious(F.col("t"), "ru", F.lit(0.0)), t="word word word word") is True
+    assert one(spark, X.suspicious(F.col("t"), "ru", F.lit(-2.0)), t="да да") is False and one(spark, X.suspicious(F.col("t"), "ru", F.lit(-2.0)), t="да да нет") is True and one(spark, X.suspicious(F.col("t"), "ru", F.lit(-2.0)), t="") is False
     assert one(spark, X.is_code_token(F.col("t")), t="img/pic.png") is True
     assert one(spark, X.resolve_source(F.col("t"), "ja", "en"), t="...") == "ja"
 
@@ -117,3 +121,80 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_messages(spark):
     lines = spark.createDataFrame([('{"type":"vars","n":1}',), ('{"type":"state"}',), ("{bad",)], "value string")
     assert [r["n"] for r in live.messages(lines, "vars", "n int").collect()] == [1]
+
+
+@pytest.mark.parametrize(
+    "text, masked, codes",
+    [
+        ("テ\\V[1]と\\N[2]、\\C[3]赤 \\{大\\} 100\\%1", "テ<x0/>と<x1/>、<x2/>赤 <x3/>大<x4/> 100<x5/><x6/>", ["\\V[1]", "\\N[2]", "\\C[3]", "\\{", "\\}", "\\", "%1"]),
+        ("Hello [name]! {w} [gold] a\\\\b", "Hello <x0/>! {w} <x1/> a<x2/>b", ["[name]", "[gold]", "\\\\"]),
+        ("Misc [[Requires Restart]", "Misc <x0/>Requires Restart]", ["[["]),
+        ("[Сохр %1] text in brackets", "[Сохр %1] text in brackets", []),
+    ],
+)
+def test_masks(spark, text, masked, codes):
+    m = C.mask_codes(F.col("t"))
+    got = one(spark, m, t=text)
+    assert (got["masked"], got["codes"]) == (masked, codes)
+    assert one(spark, C.unmask_codes(m["masked"], m["codes"]), t=text) == text
+
+
+def test_tokens_without_a_code_stay(spark):
+    assert one(spark, C.unmask_codes(F.col("t"), F.array(F.lit("a"))), t="<x0/> <x3/> <x99999999999/>") == "a <x3/> <x99999999999/>"
+
+
+def test_codes_at_the_edges(spark):
+    edges = lambda t: tuple(one(spark, C.split_edges(F.col("t")), t=t))
+    assert edges("\\V[1]привет\\c[8]") == (["\\V[1]"], "привет", ["\\c[8]"])
+    assert edges("{i}[name] hi [Текст]") == (["{i}", "[name]"], " hi [Текст]", [])
+    back = lambda t: one(spark, C.reattach(F.col("t"), F.array(F.lit("A"), F.lit("B")), F.array(F.lit("C"), F.lit("D"))), t=t)
+    assert [back(t) for t in ("x", "Ax", "ABxCD", "xD")] == ["ABxCD"] * 4
+    only = lambda t: one(spark, C.is_code_only(C.mask_codes(F.col("t"))["masked"]), t=t)
+    assert only("\\V[1] ...") and not only("text \\V[1]")
+
+
+def test_fixers(spark):
+    fixed = lambda f, s, t: one(spark, f(F.col("s"), F.col("t")), s=s, t=t)
+    assert fixed(C.fix_codes, "hi [name]", "[name] yo [name] \\V[1]") == " yo [name] "
+    assert fixed(C.fix_circled, "Собрано ① ②", "Собрано 1 2 [a1] 3") == "Собрано ① ② [a1] 3"
+    assert fixed(C.fix_signs, "Visible Day: -1", "Видимый день: 1") == "Видимый день: -1"
+    assert fixed(C.fix_signs, "-1 2", "1") == "1"
+    mark = lambda t, to="ru": one(spark, C.fix_punctuation(F.col("t"), to), t=t)
+    assert mark("Да。Нет、a！") == "Да. Нет, a!" and mark("Да.Нет") == "Да. Нет" and mark("。", "ja") == "。"
+    assert one(spark, C.apply_fixers(F.col("s"), F.col("t"), "ru"), s="v[config.version]", t="V[config.version]") == "v[config.version]"
+
+
+def test_glossary_segments_and_single_letters(spark):
+    terms = F.array(*[F.struct(F.lit(a).alias("term"), F.lit(b).alias("tr")) for a, b in (("Aira", "1"), ("Memory Orb", "2"), ("Memory", "3"), ("(x)", "4"))])
+    got = one(spark, C.glossary_segments(F.col("t"), terms), t="Aira used the Memory Orb (x)!")
+    assert [tuple(r) for r in got] == [("Aira", "1"), (" used the ", None), ("Memory Orb", "2"), (" ", None), ("(x)", "4"), ("!", None)]
+    assert [one(spark, X.is_single_letter(F.col("t")), t=t) for t in ("ホ", " ホ ", "Я", "c", "私", "ab", "")] == [True] * 4 + [False] * 3
+
+
+def test_translating_entries(spark):
+    rows = [(1, "こんにちは", "new"), (2, "Hello there", "new"), (3, "Уже русский", "new"), (4, "こんにちは", "new"), (5, "img/a.png", "new"), (6, "A", "new"), (7, "\\V[1]", "new"), (8, "skipped", "skip"), (9, "Hi Bob!", "new"), (10, "12", "new"), (11, "known", "new")]
+    entries = spark.createDataFrame([(i, "f", "p", "c", t, "", s) for i, t, s in rows], "id long, file string, json_path string, context string, original string, translation string, status string")
+    memory = spark.createDataFrame([("known", "en", "ru", "remembered")], "source string, src_lang string, tgt_lang string, target string")
+    glossary = spark.createDataFrame([("en", "ru", "Bob", "Боб"), ("en", "de", "Hi", "no")], "src string, tgt string, term string, tr string")
+    out = T.translate_entries(entries, "ru", lambda t: F.concat(F.lit("~"), t), memory=memory, glossary=glossary)
+    got = {r["id"]: (r["translation"], r["status"]) for r in out.collect()}
+    done = lambda t: (t, "translated")
+    assert got == {1: done("~こんにちは"), 2: done("~Hello there"), 3: ("", "skip"), 4: done("~こんにちは"), 5: done("img/a.png"), 6: done("A"), 7: ("", "skip"), 8: ("", "skip"), 9: done("~Hi Боб!"), 10: ("", "skip"), 11: done("remembered")}
+    learned = {(r["source"], r["src_lang"], r["target"]) for r in T.learned_pairs(entries, out, "ru").collect()}
+    assert ("Hello there", "en", "~Hello there") in learned and all(s != "A" for s, _, _ in learned)
+    # An engine that loses tokens gets the whole text; one that answers nothing leaves the original.
+    lost = T.translate_entries(entries.withColumn("original", F.lit("a [x.y] b")), "ru", lambda t: F.regexp_replace(t, "<x0/>", "")).first()
+    assert lost["translation"] == "a [x.y] b"
+    empty = T.translate_entries(entries, "ru", lambda t: F.lit(" ")).where("id = 2").first()
+    assert empty["translation"] == "Hello there"
+
+
+def test_layers_tiles_and_coercion(spark):
+    layers = lambda n: [list(x) for x in one(spark, G.map_layers(F.expr(f"CASE WHEN {n} = 0 THEN array() ELSE sequence(0, {n} - 1) END").cast("array<int>"), F.lit(4)), t="")]
+    assert layers(24) == [list(range(8)), list(range(8, 16)), [16, 17, 18, 19], [20, 21, 22, 23]]
+    assert layers(20)[2:] == [[16, 17, 18, 19], []] and layers(16)[1:] == [[8, 9, 10, 11], [12, 13, 14, 15], []] and layers(0) == [[], [], [], []]
+    tile = lambda n: one(spark, G.tile_class(F.lit(n)), t="")
+    assert tile(0) is None and tile(99999) is None
+    assert [tuple(tile(n))[1:4] for n in (1, 16, 128, 1536)] == [(5, 48, 0), (5, 0, 96), (5, 384, 0), (4, 0, 0)]
+    assert tuple(tile(2048 + 49))[4:] == (1, 1)
+    assert tuple(one(spark, G.coerced(F.lit("int"), F.col("t")), t=" 5 ")) == (True, "5") and not one(spark, G.coerced(F.lit("float"), F.col("t")), t="x")["ok"]
