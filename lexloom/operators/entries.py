@@ -161,7 +161,8 @@ def glossary_matches(rows: DataFrame, terms: DataFrame, key: str, text: str, gra
     keyed = terms.select("term", F.substring("term", 1, gram).alias("g")).where(F.col("term") != "").distinct()
     lengths = sorted(r["n"] for r in keyed.select(F.length("g").alias("n")).distinct().collect())
     t = F.col(text)
-    cut = lambda n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    # One pass over the text; a substring would cost as much as its place each time.
+    cut = lambda n: F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
     none = F.array().cast("array<string>")
     grams = rows.select(key, text, F.explode(F.array_distinct(F.concat(none, *[cut(n) for n in lengths]))).alias("g"))
     return grams.join(keyed, "g").where(t.contains(F.col("term"))).select(key, "term")
