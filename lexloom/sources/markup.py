@@ -10,6 +10,7 @@ from lexloom.functions import text as X
 #: What isn't text of a page, and a tag of a scenario line (quotes may hold a closing bracket).
 NO_TEXT = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
 SCENARIO_TAG = r"""\[(?:[^\]"']|"[^"]*"|'[^']*')*\]"""
+SCRIPT_BLOCK, LONGEST_LINE = r"(?s)\[iscript\].*?(?:\[endscript\]|\z)", 4000
 #: Tags whose attribute text is shown, and an attribute's name and value.
 TEXT_TAG, ATTRIBUTE = r"^\[/?(?:link|button|ruby)(?![\w-])", r"""([A-Za-z_:][\w:.-]*)\s*=\s*("[^"]*"|'[^']*')"""
 
@@ -39,15 +40,18 @@ def tag_text(tag: Column) -> Column:
 
 
 def scenario_entries(files: DataFrame, file: str = "file", body: str = "body") -> DataFrame:
-    """file, line, seg, original: texts of scenario files, and those that link, button and ruby tags show; blank lines, comments (;), labels (*) and script blocks are skipped.
+    """file, line (from 1), seg, original: texts of scenario files, and those that link, button and ruby tags show; blank and very long lines, comments (;), labels (*) and script blocks are skipped.
 
-    A block is found by counting its openings and closings up to each line, within the file's row.
+    A script block is replaced by its line ends, so that the lines after it keep their numbers.
     """
-    lines = F.transform(F.split(F.regexp_replace(F.col(body), r"(?s)\[iscript\].*?(?:\[endscript\]|$)", ""), r"\r?\n"), lambda x, i: F.struct(i.alias("line"), x.alias("raw")))
-    good = F.filter(lines, lambda z: ~X.is_blank(z["raw"]) & ~X.stripped(z["raw"]).rlike("^[;*]"))
+    blocks, parts = F.regexp_extract_all(F.col(body), F.lit(SCRIPT_BLOCK), F.lit(0)), F.split(F.col(body), SCRIPT_BLOCK, -1)
+    ends = F.transform(blocks, lambda b: F.regexp_replace(b, r"[^\n]", ""))
+    shown = F.array_join(F.zip_with(parts, ends, lambda p, e: F.concat(F.coalesce(p, F.lit("")), F.coalesce(e, F.lit("")))), "")
+    lines = F.transform(F.split(shown, r"\r?\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("raw")))
+    good = F.filter(lines, lambda z: ~X.is_blank(z["raw"]) & (F.length(z["raw"]) <= LONGEST_LINE) & ~X.stripped(z["raw"]).rlike("^[;*]"))
     out = files.select(file, F.explode(good).alias("l")).select(file, "l.line", F.inline(scenario_segments(F.col("l.raw"))))
-    shown = F.when(F.col("kind") == "text", F.col("raw")).otherwise(tag_text(F.col("raw")))
-    return out.select(file, "line", "seg", X.stripped(shown).alias("original")).where(X.has_letter(F.col("original")))
+    text = F.when(F.col("kind") == "text", F.col("raw")).otherwise(tag_text(F.col("raw")))
+    return out.select(file, "line", "seg", X.stripped(text).alias("original")).where(X.has_letter(F.col("original")))
 
 
 def read_csv(spark, path: str) -> DataFrame:

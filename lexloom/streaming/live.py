@@ -1,4 +1,4 @@
-"""Live variable snapshots: changed values and value scans on a stream."""
+"""Live variable snapshots: messages by type and changed values on a stream."""
 
 from __future__ import annotations
 
@@ -17,7 +17,10 @@ def messages(lines: DataFrame, kind: str, schema: str, column: str = "value") ->
 
 
 def stream_changes(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """keys, previous, current for every change; a key's last value is all its state."""
+    """keys, previous, current for every change; a key's last value is all its state. A null neither changes nor is changed from.
+
+    Rows of a key are ordered within a micro-batch; a row that comes late meets what is newest by then.
+    """
     kinds = dict(rows.dtypes)
     out = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", previous {kinds[value]}, current {kinds[value]}"
 
@@ -25,7 +28,8 @@ def stream_changes(rows: DataFrame, keys: list[str], order: list[str], value: st
         last = state.get[0] if state.exists else None
         found = []
         for r in pd.concat(list(batches)).sort_values(order)[value]:
-            if last is not None and r != last:
+            r = None if pd.isna(r) else r
+            if last is not None and r is not None and r != last:
                 found.append((*key, last, r))
             last = r
         state.update((last,))

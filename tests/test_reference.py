@@ -69,7 +69,7 @@ def test_greedy_batches(spark):
 def test_scenarios(spark):
     body = "; note\n*label\nHello [name id=\"]\"] world[p]\n[iscript]\nvar a\n[endscript]\n   \n123\nBye"
     rows = markup.scenario_entries(spark.createDataFrame([("a.ks", body), ("b.ks", None)], "file string, body string")).orderBy("line", "seg").collect()
-    assert [r["original"] for r in rows] == ["Hello", "world", "Bye"]
+    assert [(r["line"], r["original"]) for r in rows] == [(3, "Hello"), (3, "world"), (9, "Bye")]
 
 
 def test_game_databases(spark):
@@ -85,7 +85,7 @@ def test_game_databases(spark):
 def test_tags_that_show_text(spark):
     body = "[link text=\"Go on\" target=*a]\n[button alt=\"text='no'\" text='Start']Hi[ruby text=\"kana\"]x[wait text=\"never\"][links text=\"nor\"]"
     rows = markup.scenario_entries(spark.createDataFrame([("a.ks", body)], "file string, body string")).orderBy("line", "seg").collect()
-    assert [(r["line"], r["original"]) for r in rows] == [(0, "Go on"), (1, "Start"), (1, "Hi"), (1, "kana"), (1, "x")]
+    assert [(r["line"], r["original"]) for r in rows] == [(1, "Go on"), (2, "Start"), (2, "Hi"), (2, "kana"), (2, "x")]
 
 
 def test_typed_commands(spark):
@@ -107,6 +107,7 @@ def test_csv_round_trip(spark, tmp_path):
 
 def test_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet").select("user_id", "event_type", "event_id", "value")
+    events = events.union(spark.createDataFrame([(-1, "x", i, v) for i, v in enumerate((3.0, None, 3.0, 4.0))], events.schema))
     events.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
     q = live.stream_changes(stream, ["user_id", "event_type"], ["event_id"], "value").writeStream.format("memory").queryName("changes").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
