@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import suppress
+from itertools import chain
 
 import numpy as np
-import pyarrow as pa
 
 #: Bytes of a memo; characters of a chunk that may be kept; bytes that a kept chunk takes beside its characters and ids.
-MOST_BYTES, LONGEST_KEPT, EACH = 96 << 20, 64, 200
+MOST_BYTES, LONGEST_KEPT, EACH = 160 << 20, 64, 200
 
 
 class _Lists:
@@ -38,6 +39,15 @@ class _Lists:
         return self.ids[np.repeat(self.ends[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
 
 
+def _missing(found: list[int | None]) -> Iterator[int]:
+    """Places of None, looked for anew after each."""
+    i = -1
+    with suppress(ValueError):
+        while True:
+            i = found.index(None, i + 1)
+            yield i
+
+
 class ChunkMemo:
     """Joins the ids of chunks; ``fresh`` encodes chunks not met before and gives their flat ids and sizes, one pair for each of its ways to encode.
 
@@ -51,30 +61,37 @@ class ChunkMemo:
 
     def encode(self, texts: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each way, the ids of all texts end to end, and each text's size."""
-        many = np.fromiter(map(len, texts), np.int64, len(texts))
-        coded = pa.array([c for chunks in texts for c in chunks], pa.large_string()).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        slot = np.fromiter((self.at.get(c, -1) for c in distinct), np.int64, len(distinct))
-        new = np.flatnonzero(slot < 0)
-        kept = self.lists[0].n
-        if len(new):
-            keep, rest = [], []
-            for k in new.tolist():
-                c = distinct[k]
-                if len(c) <= LONGEST_KEPT and self.bytes < self.most:
-                    self.at[c] = kept + len(keep)
-                    self.bytes += EACH + 4 * len(c)
-                    keep.append(k)
-                else:
-                    rest.append(k)
-            slot[keep + rest] = kept + np.arange(len(new))
-            for lists, (ids, sizes) in zip(self.lists, self.fresh([distinct[k] for k in keep + rest])):
+        at, kept = self.at, self.lists[0].n
+        slots: list[int] = []
+        short: list[str] = []
+        long: list[str] = []
+        for chunks in texts:
+            found = list(map(at.get, chunks))
+            for i in _missing(found):
+                c = chunks[i]
+                k = at.get(c)
+                if k is None:
+                    # Places of long chunks follow those of short ones.
+                    (own := short if len(c) <= LONGEST_KEPT else long).append(c)
+                    k = at[c] = kept + len(short) - 1 if own is short else -len(long)
+                found[i] = k
+            slots += found
+        places = np.array(slots, np.int64)
+        del slots
+        places = np.where(places < 0, kept + len(short) - 1 - places, places)
+        ends, out = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))), []
+        if short or long:
+            for lists, (ids, sizes) in zip(self.lists, self.fresh(short + long)):
                 lists.add(ids, sizes)
-            kept += len(keep)
-        places, ends, out = slot[coded.indices.to_numpy()], np.cumsum(many), []
+        room = 0
+        while room < len(short) and self.bytes < self.most:
+            self.bytes += EACH + 4 * len(short[room])
+            room += 1
+        for c in chain(short[room:], long):
+            del at[c]
         for lists in self.lists:
             ids, n = lists.joined(places)
             total = np.concatenate([[0], np.cumsum(n)])
             out.append((ids, np.diff(total[ends], prepend=0)))
-            lists.n = kept
+            lists.n = kept + room
         return out
