@@ -169,3 +169,23 @@ def short_hash(text: Column) -> Column:
 
 def spaced_number(n: Column) -> Column:
     return F.replace(F.format_number(n, 0), F.lit(","), F.lit(" "))
+
+
+def escape_literal(text: Column) -> Column:
+    """text as it stands between double quotes of a script: one line, backslashes and quotes escaped."""
+    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.replace(F.regexp_replace(out, r"\r\n|\r|\n", r"\\n"), F.lit("\t"), F.lit("\\t"))
+
+
+def unescape_literal(text: Column) -> Column:
+    """The text of such a literal. Doubled backslashes are set apart first, so what follows one isn't taken for an escape."""
+    plain = lambda x: F.regexp_replace(F.replace(F.replace(x, F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit("\t")), r"(?s)\\(.)", "$1")
+    return F.array_join(F.transform(F.split(text, r"\\\\", -1), plain), "\\")
+
+
+def escape_html(text: Column) -> Column:
+    """Quotes stay."""
+    out = text
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        out = F.replace(out, F.lit(mark), F.lit(entity))
+    return out

@@ -207,3 +207,22 @@ def holder_rows(entries: DataFrame, target: str, declared: str = "auto") -> Data
     rows = work_set(entries).withColumn("lang", X.resolve_source(F.col("original"), declared, target)).where("lang IS NOT NULL")
     first = rows.groupBy("lang", "original").agg(F.min("id").alias("first_id"))
     return rows.join(first, ["lang", "original"]).select("id", "first_id")
+
+
+def string_pairs(entries: DataFrame) -> DataFrame:
+    """file, id, tag, old, new: what the string files of a script game hold. Of equal texts of the applicable rows the first has its place, in whichever file."""
+    first = first_of(applicable(entries).select("file", "id", "original", "translation"), ["original"], "id")
+    return first.select("file", "id", X.short_hash(F.col("original")).alias("tag"), X.escape_literal(F.col("original")).alias("old"), X.escape_literal(F.col("translation")).alias("new"))
+
+
+def string_counts(pairs: DataFrame, existing: DataFrame) -> DataFrame:
+    """strings, new_strings: how many pairs, and how many of those the last run's (old) lack."""
+    known = existing.select("old").distinct().withColumn("known", F.lit(True))
+    return pairs.join(known, "old", "left").agg(F.count(F.lit(1)).alias("strings"), F.count_if(F.col("known").isNull()).alias("new_strings"))
+
+
+def term_groups(terms: DataFrame) -> DataFrame:
+    """grp, place (from 1): the groups of a glossary (ord, grp) as they first appear; blank ones are left out."""
+    groups = terms.where(~X.is_blank(F.col("grp"))).groupBy("grp").agg(F.min("ord").alias("ord"))
+    # One row for each group.
+    return groups.select("grp", F.row_number().over(Window.orderBy("ord", "grp")).alias("place"))

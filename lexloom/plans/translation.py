@@ -10,7 +10,7 @@ from lexloom.operators import entries as E
 from lexloom.operators import game_state as G
 from lexloom.operators import translate as T
 from lexloom.plans.catalog import _ENTRIES, _SP, _blank, _lang, entries, query, table
-from lexloom.sources import game_json
+from lexloom.sources import game_files, game_json
 
 _strip = lambda x: f"regexp_replace({x}, '^{_SP}+|{_SP}+$', '', 'g')"
 _q = lambda s: s.replace("'", "''")
@@ -345,3 +345,68 @@ def map_layers(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", G.map_layers(F.sequence(F.lit(0), 4 * layers - 1), F.lit(4)).alias("m"))
     return rows.select("o_orderkey", *[F.array_join(f"m.{c}", " ").alias(c) for c in ("lower", "upper", "shadow", "region")])
 
+
+
+@query(
+    "game_texts",
+    "SELECT 'data/' || p_partkey || '/Items.json' AS file, '[1].' || f AS json_path, 'Items ''' || p_name || '''' AS context, t AS original FROM (SELECT p_partkey, p_name, unnest(['name', 'description']) AS f, unnest([p_name, p_type]) AS t FROM part) "
+    "UNION ALL SELECT 'data/' || s_suppkey || '/Map001.json', p, c, t FROM (SELECT s_suppkey, unnest(['displayName', 'events[1].name', 'events[1].pages[0].list[0].parameters[0]', 'events[1].pages[0].list[1].parameters[0][1]']) AS p, "
+    "unnest(['map name', 'Map001 event name', 'Map001 event ''Door'' p.1 / dialog', 'Map001 event ''Door'' p.1 / choice']) AS c, unnest([s_name, 'Door', 'I am ' || s_name, s_name || '?']) AS t FROM supplier) "
+    "UNION ALL SELECT 'data/' || c_custkey || '/Own.json', 'a.l[1].t', 'file Own.json', 'sold to ' || c_mktsegment FROM customer",
+)
+def game_texts(spark, d):
+    """Databases of the parts, maps of the suppliers, and files of another name of the customers."""
+    named = lambda key, name: F.concat(F.lit("data/"), key, F.lit(f"/{name}")).alias("file")
+    text = lambda *c: F.to_json(F.struct(*c))
+    item = text(F.col("p_name").alias("name"), F.col("p_type").alias("description"), F.lit("not looked at").alias("note"))
+    items = table(spark, d, "part").select(named("p_partkey", "Items.json"), F.concat(F.lit("[null,"), item, F.lit("]")).alias("body"))
+    name = F.col("s_name")
+    said = text(F.lit(401).alias("code"), F.array(F.concat(F.lit("I am "), name)).alias("parameters"))
+    asked = text(F.lit(102).alias("code"), F.array(F.array(F.lit(""), F.concat(name, F.lit("?")))).alias("parameters"))
+    page = F.concat(F.lit('{"displayName":"'), name, F.lit('","events":[null,{"name":"Door","pages":[{"list":['), said, F.lit(","), asked, F.lit("]}]}]}"))
+    maps = table(spark, d, "supplier").select(named("s_suppkey", "Map001.json"), page.alias("body"))
+    listed = F.array(F.struct(F.lit("k").alias("t")), F.struct(F.concat(F.lit("sold to "), "c_mktsegment").alias("t")))
+    own = table(spark, d, "customer").select(named("c_custkey", "Own.json"), text(F.struct(listed.alias("l")).alias("a"), F.struct(F.lit("not this one").alias("x")).alias("note")).alias("body"))
+    return game_files.game_texts(items.unionByName(maps).unionByName(own))
+
+
+@query("flat_paths", "SELECT c_custkey, unnest(['name', 'sub.l[0]', 'sub.l[1]', 'sub.none']) AS path, unnest([c_name, CAST(c_custkey AS VARCHAR), c_mktsegment, '[]']) AS value FROM customer")
+def flat_paths(spark, d):
+    inner = F.struct(F.array(F.col("c_custkey").cast("string"), F.col("c_mktsegment")).alias("l"), F.array().cast("array<string>").alias("none"))
+    rows = table(spark, d, "customer").select("c_custkey", F.to_json(F.struct(F.col("c_name").alias("name"), inner.alias("sub"))).alias("body"))
+    return game_json.flat_paths(rows, "c_custkey", "body")
+
+
+_ESCAPED = r"""replace(replace(replace(replace({0}, '\', '\\'), '"', '\"'), chr(13), '\n'), chr(9), '\t')"""
+
+
+@query("string_pairs", f"{_ENTRIES} SELECT file, id, sha1(original)[1:12] AS tag, {_ESCAPED.format('original')} AS old, {_ESCAPED.format('translation')} AS new FROM (SELECT *, row_number() OVER (PARTITION BY original ORDER BY id) AS k FROM e WHERE NOT {_blank('translation')} AND status <> 'skip') WHERE k = 1")
+def string_pairs(spark, d):
+    return E.string_pairs(entries(spark, d))
+
+
+@query("string_counts", f"{_ENTRIES}, o AS (SELECT DISTINCT original FROM e WHERE NOT {_blank('translation')} AND status <> 'skip'), k AS (SELECT DISTINCT original FROM e WHERE file = (SELECT min(file) FROM e)) SELECT count(*) AS strings, count(*) FILTER (k.original IS NULL) AS new_strings FROM o LEFT JOIN k ON k.original = o.original")
+def string_counts(spark, d):
+    """Against the texts of the first file as those of the last run."""
+    e = entries(spark, d)
+    least = e.agg(F.min("file").alias("file"))
+    known = e.join(F.broadcast(least), "file", "left_semi").select(X.escape_literal(F.col("original")).alias("old"))
+    return E.string_counts(E.string_pairs(e), known)
+
+
+@query("escape_round_trip", rf"""{_ENTRIES} SELECT id, '\\\"' || {_ESCAPED.format('original')} || '\n\n' AS escaped, NOT contains(original, chr(13)) AS same FROM e""")
+def escape_round_trip(spark, d):
+    """A backslash, a quote and two line ends around each line; carriage returns come back as line feeds."""
+    around = lambda ends: F.concat(F.lit('\\"'), "original", F.lit(ends))
+    escaped = X.escape_literal(around("\r\n\n"))
+    return entries(spark, d).select("id", escaped.alias("escaped"), (X.unescape_literal(escaped) == around("\n\n")).alias("same"))
+
+
+@query("escape_html", f"{_ENTRIES} SELECT id, '&lt;b&gt;' || replace(replace(replace(original, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || ' &amp;amp;' AS escaped FROM e")
+def escape_html(spark, d):
+    return entries(spark, d).select("id", X.escape_html(F.concat(F.lit("<b>"), "original", F.lit(" &amp;"))).alias("escaped"))
+
+
+@query("term_groups", "SELECT p_brand AS grp, CAST(row_number() OVER (ORDER BY min(p_partkey), p_brand) AS INTEGER) AS place FROM part GROUP BY p_brand")
+def term_groups(spark, d):
+    return E.term_groups(table(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.col("p_brand").alias("grp")))

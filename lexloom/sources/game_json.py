@@ -94,3 +94,18 @@ def path_keys(path: Column) -> Column:
 def flat_variables(rows: DataFrame, key: str, json: str) -> DataFrame:
     """key, name, value: the top-level members of a JSON object."""
     return rows.select(key, F.explode(F.from_json(json, "map<string,string>")).alias("name", "value"))
+
+
+def flat_paths(rows: DataFrame, key: str, json: str, levels: int = 12) -> DataFrame:
+    """key, path, value: every value of a nested document (`a.b`, `f[1].x`); empty lists and objects are `[]` and `{}`.
+
+    One pass: each level opens what the one before left closed. What lies deeper is given as JSON text. A document that isn't
+    JSON, or neither an object nor a list, gives nothing.
+    """
+    v = F.try_parse_json(json)
+    level = rows.select(key, F.lit("").alias("path"), v.alias("v")).where(F.schema_of_variant("v").rlike("^(?:OBJECT|ARRAY)"))
+    for _ in range(levels):
+        inside = _members(F.col("v"))
+        as_is = F.array(F.struct(F.lit("").alias("step"), F.col("v").alias("v")))
+        level = level.select(key, "path", F.explode(F.when(F.size(inside) > 0, inside).otherwise(as_is)).alias("m")).select(key, F.concat("path", "m.step").alias("path"), "m.v")
+    return level.select(key, F.regexp_replace("path", r"^\.", "").alias("path"), F.when(F.schema_of_variant("v") != "VOID", F.col("v").cast("string")).alias("value"))

@@ -1,5 +1,7 @@
 """The text operators: every registered query against its SQL, and small cases for what SQL can't express."""
 
+import json
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from lexloom.operators import entries as E
 from lexloom.operators import game_state as G
 from lexloom.operators import translate as T
 from lexloom.plans import catalog, translation  # noqa: F401
-from lexloom.sources import game_json, markup
+from lexloom.sources import game_files, game_json, markup
 from lexloom.streaming import live
 
 SF = "/root/testdata/sf0.001"
@@ -199,3 +201,62 @@ def test_layers_tiles_and_coercion(spark):
     assert [tuple(tile(n))[1:4] for n in (1, 16, 128, 1536)] == [(5, 48, 0), (5, 0, 96), (5, 384, 0), (4, 0, 0)]
     assert tuple(tile(2048 + 49))[4:] == (1, 1)
     assert tuple(one(spark, G.coerced(F.lit("int"), F.col("t")), t=" 5 ")) == (True, "5") and not one(spark, G.coerced(F.lit("float"), F.col("t")), t="x")["ok"]
+
+
+def test_game_files(spark):
+    say = lambda t: {"code": 401, "indent": 0, "parameters": [t]}
+    files = {
+        "data/Actors.json": [None, {"name": "Ann", "nickname": "", "note": "keep out of here", "extra": {"deep": ["some words here", "key"]}}],
+        "data/Map001.json": {"displayName": "Town", "events": [None, {"name": "Door", "pages": [{"list": [say("Hi"), {"code": 0, "parameters": []}]}]}]},
+        "data/CommonEvents.json": [None, {"name": "Rain", "list": [say("Drip")]}],
+        "data/Troops.json": [None, {"name": "Bats", "pages": [{"list": [say("Squeak")]}]}],
+        "data/System.json": {"gameTitle": "Quest", "elements": ["", "Fire"], "switches": ["", "Open"], "terms": {"basic": ["Level"], "commands": [None, "Fight"], "messages": {"levelUp": "Up!"}}},
+        "data/MapInfos.json": [None, {"name": "Town list"}],
+        "data/Own.json": {"title": "two words", "a": {"note": "not this one", "c": "deep text here"}, "l": [{"note": "but this one"}], "path": "img/x y.png"},
+        "data/List.json": [{"t": "in a list"}, "日本", "key", ["not looked at"]],
+    }
+    rows = [(k, json.dumps(v)) for k, v in files.items()] + [("data/Bad.json", "{"), ("data/Empty.json", None), ("js/x.js", "a b")]
+    df = spark.createDataFrame(rows, "file string, body string")
+    got = {(r["file"][5:-5], r["json_path"], r["context"], r["original"]) for r in game_files.game_texts(df).collect()}
+    page = "pages[0].list[0].parameters[0]"
+    assert got == {
+        ("Actors", "[1].name", "Actors 'Ann'", "Ann"),
+        ("Actors", "[1].extra.deep[0]", "Actors 'Ann' / extra", "some words here"),
+        ("Map001", "displayName", "map name", "Town"),
+        ("Map001", "events[1].name", "Map001 event name", "Door"),
+        ("Map001", f"events[1].{page}", "Map001 event 'Door' p.1 / dialog", "Hi"),
+        ("CommonEvents", "[1].name", "common event #1", "Rain"),
+        ("CommonEvents", "[1].list[0].parameters[0]", "common event 'Rain' / dialog", "Drip"),
+        ("Troops", "[1].name", "enemy group #1", "Bats"),
+        ("Troops", f"[1].{page}", "battle 'Bats' p.1 / dialog", "Squeak"),
+        ("System", "gameTitle", "game title", "Quest"),
+        ("System", "elements[1]", "term elements", "Fire"),
+        ("System", "switches[1]", "switch #1", "Open"),
+        ("System", "terms.basic[0]", "term basic", "Level"),
+        ("System", "terms.commands[1]", "term commands", "Fight"),
+        ("System", "terms.messages.levelUp", "system message", "Up!"),
+        ("MapInfos", "[1].name", "map name (list)", "Town list"),
+        ("Own", "title", "file Own.json", "two words"),
+        ("Own", "a.c", "file Own.json", "deep text here"),
+        ("Own", "l[0].note", "file Own.json", "but this one"),
+        ("List", "[0].t", "file List.json #0", "in a list"),
+        ("List", "[1]", "file List.json #1", "日本"),
+    }
+    assert {r["file"] for r in game_files.rejected_files(df).collect()} == {"data/Bad.json", "data/Empty.json"}
+
+
+def test_flat_paths(spark):
+    body = json.dumps({"a": {"b": [1, {"x": None}], "e": {}}, "f": [], "g": True})
+    df = spark.createDataFrame([("k", body), ("bad", "{"), ("flat", "3"), ("none", None)], "k string, body string")
+    got = {(r["k"], r["path"], r["value"]) for r in game_json.flat_paths(df, "k", "body").collect()}
+    assert got == {("k", "a.b[0]", "1"), ("k", "a.b[1].x", None), ("k", "a.e", "{}"), ("k", "f", "[]"), ("k", "g", "true")}
+
+
+@pytest.mark.parametrize("text, escaped", [('a"b', 'a\\"b'), ("a\nb\tc", "a\\nb\\tc"), ("\\n", "\\\\n"), ("\\", "\\\\"), ("", "")])
+def test_literals(spark, text, escaped):
+    assert one(spark, X.escape_literal(F.col("t")), t=text) == escaped
+    assert one(spark, X.unescape_literal(F.col("t")), t=escaped) == text
+
+
+def test_unknown_escapes(spark):
+    assert one(spark, X.unescape_literal(F.col("t")), t="\\x\\\\\\n\\") == "x\\\n\\"
