@@ -164,17 +164,16 @@ def unknown_texts(named: DataFrame) -> DataFrame:
     # A list within a list of a file isn't looked into.
     loose = loose.where(~F.col("listed") | ~F.schema_of_variant("v").startswith("ARRAY")).drop("listed")
     level = records.unionByName(loose).where(F.col("k").isNull() | ~F.col("k").isin(*NO_TEXT))
-    out = None
     for _ in range(FILE_LEVELS + RECORD_LEVELS):
-        texts = level.withColumn("original", J._string(F.col("v"))).where(_plain(F.col("original"))).select("file", "path", "context", "original")
-        out = texts if out is None else out.unionByName(texts)
-        level = level.select("file", "path", "context", "inside", "depth", F.schema_of_variant("v").startswith("ARRAY").alias("of_list"), F.explode(J._members(F.col("v"))).alias("m"))
+        level = level.select("file", "path", "context", "inside", "depth", F.schema_of_variant("v").startswith("ARRAY").alias("of_list"), F.explode(J._opened(F.col("v"))).alias("m"))
+        shut = F.col("m.step") == ""
         # Below a list the count of levels starts again.
-        inside = F.col("inside") & ~F.col("of_list")
-        depth = F.when(F.col("inside") & F.col("of_list"), 1).otherwise(F.col("depth") + 1)
-        member = F.when(~F.col("of_list"), F.substring("m.step", F.lit(2), F.length("m.step")))
+        inside = F.col("inside") & (shut | ~F.col("of_list"))
+        depth = F.when(shut, F.col("depth")).when(F.col("inside") & F.col("of_list"), 1).otherwise(F.col("depth") + 1)
+        member = F.when(~shut & ~F.col("of_list"), F.substring("m.step", F.lit(2), F.length("m.step")))
         level = level.select("file", member.alias("k"), F.concat("path", "m.step").alias("path"), "context", F.col("m.v").alias("v"), inside.alias("inside"), depth.alias("depth"))
         level = level.where((F.col("depth") <= F.when(F.col("inside"), FILE_LEVELS).otherwise(RECORD_LEVELS)) & (F.col("k").isNull() | ~F.col("inside") | ~F.col("k").isin(*NO_TEXT)))
+    out = level.withColumn("original", J._string(F.col("v"))).where(_plain(F.col("original")))
     return out.select("file", F.col("path").alias("json_path"), "context", "original")
 
 

@@ -57,6 +57,11 @@ def _members(v: Column) -> Column:
     return F.coalesce(listed, named)
 
 
+def _opened(v: Column) -> Column:
+    """What a list or an object holds, else the value itself with an empty step: levels one after another need one pass. Empty ones give nothing."""
+    return F.coalesce(_members(v), F.array(F.struct(F.lit("").alias("step"), v.alias("v"))))
+
+
 def _typed_texts(files: DataFrame, base: str, file: str, body: str) -> DataFrame:
     """Speaker names, plugin texts, string literals of scripts, and texts at any place in the parameters of other commands."""
     rows = files.select(file, F.posexplode(F.from_json(body, _TYPED)).alias("i", "c")).select(file, "i", "c.*")
@@ -79,10 +84,10 @@ def _typed_texts(files: DataFrame, base: str, file: str, body: str) -> DataFrame
     known = code.isin(401, 405, 108, 408, 657) | ((code == CHOICES) & F.schema_of_variant(param(0)).startswith("ARRAY")) | (code.isin(402, 320, 324) & (many > 1)) | ((code == 101) & (many > 4)) | ((code == 357) & (many > 3)) | code.isin(356, *SCRIPT)
     level = each.where(~F.coalesce(known, F.lit(False))).select(file, "path", "code", "v")
     out = one(101, 4, "speaker name").unionByName(one(356, 0, "plugin (MV)")).unionByName(plugin).unionByName(more).unionByName(script)
-    for _ in range(LEVELS):
-        texts = level.withColumn("original", _string(F.col("v"))).where(js_text(F.trim("original")) | (F.length(F.trim("original")) <= 600) & F.trim("original").rlike(r"[\x{3040}-\x{30ff}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}]"))
-        out = out.unionByName(texts.select(file, F.col("path").alias("json_path"), F.concat_ws(" ", F.lit("param"), F.col("code").cast("string")).alias("context"), "original"))
-        level = level.select(file, "path", "code", F.explode(_members(F.col("v"))).alias("m")).select(file, F.concat("path", "m.step").alias("path"), "code", F.col("m.v").alias("v"))
+    for _ in range(LEVELS - 1):
+        level = level.select(file, "path", "code", F.explode(_opened(F.col("v"))).alias("m")).select(file, F.concat("path", "m.step").alias("path"), "code", F.col("m.v").alias("v"))
+    texts = level.withColumn("original", _string(F.col("v"))).where(js_text(F.trim("original")) | (F.length(F.trim("original")) <= 600) & F.trim("original").rlike(r"[\x{3040}-\x{30ff}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}]"))
+    out = out.unionByName(texts.select(file, F.col("path").alias("json_path"), F.concat_ws(" ", F.lit("param"), F.col("code").cast("string")).alias("context"), "original"))
     return out
 
 
