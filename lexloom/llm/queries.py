@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import language_id, license_scan, line_dedup, lm_scoring, near_dup, packing, quality_rules, sentencepiece_codec, token_files, topk_search
+from lexloom.llm import language_id, lexical_search, license_scan, line_dedup, lm_scoring, near_dup, packing, quality_rules, sentencepiece_codec, token_files, topk_search
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +133,36 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return lexical_search.ranked_search(documents(spark, sf_dir).select("doc_id", "text"), items)
+
+
+OP13_SQL = r"""
+WITH t AS (
+  SELECT doc_id, row, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM (SELECT doc_id, text, row_number() OVER () AS row FROM documents WHERE text IS NOT NULL)
+), d AS (SELECT doc_id, row, t, CAST(len(t) AS BIGINT) AS n FROM t WHERE len(t) > 0),
+c AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d),
+p AS (SELECT doc_id, row, n, term, count(*) AS tf FROM (SELECT doc_id, row, n, unnest(t) AS term FROM d) GROUP BY ALL),
+w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM p GROUP BY term) CROSS JOIN c
+), q AS (
+  SELECT item_id, item, term, count(*) AS times FROM (
+    SELECT item_id, row_number() OVER () AS item, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark WHERE text IS NOT NULL
+  ) GROUP BY ALL
+), s AS (
+  SELECT item_id, item, doc_id, row, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN p USING (term) CROSS JOIN c GROUP BY item_id, item, doc_id, row
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0
+) WHERE rank <= 10
+"""
+
+
 def _op10_sql() -> str:
     rows = ", ".join(f"('{name}', {k}, '" + text.replace("'", "''") + "')" for name, texts in license_scan.TEMPLATES.items() for k, text in enumerate(texts))
     norm = "trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
@@ -177,5 +207,5 @@ SELECT doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len
 FROM f
 """
 
-QUERIES = {"op1_topk_search": op1_topk_search, "op3_line_dedup": op3_line_dedup, "op2_sentencepiece": op2_sentencepiece, "op4_token_files": op4_token_files, "op5_lm_scoring": op5_lm_scoring, "op6_packing": op6_packing, "op7_language_id": op7_language_id, "op8_near_duplicates": op8_near_duplicates, "op9_quality_rules": op9_quality_rules, "op10_license_scan": op10_license_scan}
-ORACLES = {"op1_topk_search": OP1_SQL, "op3_line_dedup": OP3_SQL, "op9_quality_rules": OP9_SQL, "op10_license_scan": _op10_sql()}
+QUERIES = {"op1_topk_search": op1_topk_search, "op3_line_dedup": op3_line_dedup, "op2_sentencepiece": op2_sentencepiece, "op4_token_files": op4_token_files, "op5_lm_scoring": op5_lm_scoring, "op6_packing": op6_packing, "op7_language_id": op7_language_id, "op8_near_duplicates": op8_near_duplicates, "op9_quality_rules": op9_quality_rules, "op10_license_scan": op10_license_scan, "op13_lexical_search": op13_lexical_search}
+ORACLES = {"op1_topk_search": OP1_SQL, "op3_line_dedup": OP3_SQL, "op9_quality_rules": OP9_SQL, "op10_license_scan": _op10_sql(), "op13_lexical_search": OP13_SQL}
