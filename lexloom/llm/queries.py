@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import language_id, lexical_search, license_scan, line_dedup, lm_scoring, near_dup, packing, quality_rules, sentencepiece_codec, token_files, topk_search
+from lexloom.llm import language_id, lexical_search, license_scan, line_dedup, lm_scoring, near_dup, packing, quality_rules, sentencepiece_codec, token_alignment, token_files, topk_search
+from lexloom.llm._work import written
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +134,18 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    links = written(token_alignment.align_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")), "links")
+    counts = written(token_alignment.pair_counts(links), "pairs")
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    groups = token_alignment.link_groups(links).select("row", F.col("key").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", digest)
+    sums = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_best", "count_sum")]
+    return groups.join(token_alignment.link_scores(links, counts), "row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", *sums, "groups_sha256")
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     return lexical_search.ranked_search(documents(spark, sf_dir).select("doc_id", "text"), items)
@@ -207,5 +220,5 @@ SELECT doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len
 FROM f
 """
 
-QUERIES = {"op1_topk_search": op1_topk_search, "op3_line_dedup": op3_line_dedup, "op2_sentencepiece": op2_sentencepiece, "op4_token_files": op4_token_files, "op5_lm_scoring": op5_lm_scoring, "op6_packing": op6_packing, "op7_language_id": op7_language_id, "op8_near_duplicates": op8_near_duplicates, "op9_quality_rules": op9_quality_rules, "op10_license_scan": op10_license_scan, "op13_lexical_search": op13_lexical_search}
+QUERIES = {"op1_topk_search": op1_topk_search, "op3_line_dedup": op3_line_dedup, "op2_sentencepiece": op2_sentencepiece, "op4_token_files": op4_token_files, "op5_lm_scoring": op5_lm_scoring, "op6_packing": op6_packing, "op7_language_id": op7_language_id, "op8_near_duplicates": op8_near_duplicates, "op9_quality_rules": op9_quality_rules, "op10_license_scan": op10_license_scan, "op11_token_alignment": op11_token_alignment, "op13_lexical_search": op13_lexical_search}
 ORACLES = {"op1_topk_search": OP1_SQL, "op3_line_dedup": OP3_SQL, "op9_quality_rules": OP9_SQL, "op10_license_scan": _op10_sql(), "op13_lexical_search": OP13_SQL}
