@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import language_id, lexical_search, license_scan, line_dedup, lm_scoring, near_dup, packing, quality_rules, sentencepiece_codec, token_alignment, token_files, topk_search
+from lexloom.llm import language_id, lexical_search, license_scan, line_dedup, lm_scoring, near_dup, packing, quality_rules, sentencepiece_codec, substring_dedup, token_alignment, token_files, topk_search
 from lexloom.llm._work import written
 
 
@@ -146,6 +146,12 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.join(token_alignment.link_scores(links, counts), "row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", *sums, "groups_sha256")
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.substring_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     return lexical_search.ranked_search(documents(spark, sf_dir).select("doc_id", "text"), items)
@@ -220,5 +226,5 @@ SELECT doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len
 FROM f
 """
 
-QUERIES = {"op1_topk_search": op1_topk_search, "op3_line_dedup": op3_line_dedup, "op2_sentencepiece": op2_sentencepiece, "op4_token_files": op4_token_files, "op5_lm_scoring": op5_lm_scoring, "op6_packing": op6_packing, "op7_language_id": op7_language_id, "op8_near_duplicates": op8_near_duplicates, "op9_quality_rules": op9_quality_rules, "op10_license_scan": op10_license_scan, "op11_token_alignment": op11_token_alignment, "op13_lexical_search": op13_lexical_search}
+QUERIES = {"op1_topk_search": op1_topk_search, "op3_line_dedup": op3_line_dedup, "op2_sentencepiece": op2_sentencepiece, "op4_token_files": op4_token_files, "op5_lm_scoring": op5_lm_scoring, "op6_packing": op6_packing, "op7_language_id": op7_language_id, "op8_near_duplicates": op8_near_duplicates, "op9_quality_rules": op9_quality_rules, "op10_license_scan": op10_license_scan, "op11_token_alignment": op11_token_alignment, "op12_substring_dedup": op12_substring_dedup, "op13_lexical_search": op13_lexical_search}
 ORACLES = {"op1_topk_search": OP1_SQL, "op3_line_dedup": OP3_SQL, "op9_quality_rules": OP9_SQL, "op10_license_scan": _op10_sql(), "op13_lexical_search": OP13_SQL}
