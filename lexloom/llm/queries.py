@@ -152,6 +152,29 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP12_SQL = """
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (
+  SELECT row, p, md5(b[p:p + 199]) AS h
+  FROM (SELECT row, b, unnest(range(1, octet_length(b) - 198)) AS p FROM d WHERE octet_length(b) >= 200)
+), r AS (SELECT row, p FROM (SELECT row, p, count(*) OVER (PARTITION BY h) AS n FROM w) WHERE n > 1),
+g AS (SELECT row, p, coalesce(p - lag(p) OVER (PARTITION BY row ORDER BY p) > 200, TRUE) AS new FROM r),
+i AS (
+  SELECT row, min(p) AS a, max(p) + 199 AS z
+  FROM (SELECT row, p, count(*) FILTER (new) OVER (PARTITION BY row ORDER BY p) AS k FROM g) GROUP BY row, k
+), s AS (
+  SELECT d.row, coalesce(lag(z) OVER o, 0) AS a, i.a AS z FROM i JOIN d USING (row) WINDOW o AS (PARTITION BY d.row ORDER BY i.a)
+  UNION ALL SELECT d.row, coalesce(max(z), 0), octet_length(any_value(b)) + 1 FROM d LEFT JOIN i USING (row) GROUP BY d.row
+), k AS (
+  SELECT row, sha256(unhex(array_to_string(list(hex(b[s.a + 1:s.z - 1]) ORDER BY s.a), ''))) AS kept_sha256
+  FROM s JOIN d USING (row) GROUP BY row
+), n AS (SELECT row, sum(z - a + 1) AS n_removed, count(*) AS n_spans FROM i GROUP BY row)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, kept_sha256
+FROM d JOIN k USING (row) LEFT JOIN n USING (row)
+"""
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     return lexical_search.ranked_search(documents(spark, sf_dir).select("doc_id", "text"), items)
@@ -227,4 +250,4 @@ FROM f
 """
 
 QUERIES = {"op1_topk_search": op1_topk_search, "op3_line_dedup": op3_line_dedup, "op2_sentencepiece": op2_sentencepiece, "op4_token_files": op4_token_files, "op5_lm_scoring": op5_lm_scoring, "op6_packing": op6_packing, "op7_language_id": op7_language_id, "op8_near_duplicates": op8_near_duplicates, "op9_quality_rules": op9_quality_rules, "op10_license_scan": op10_license_scan, "op11_token_alignment": op11_token_alignment, "op12_substring_dedup": op12_substring_dedup, "op13_lexical_search": op13_lexical_search}
-ORACLES = {"op1_topk_search": OP1_SQL, "op3_line_dedup": OP3_SQL, "op9_quality_rules": OP9_SQL, "op10_license_scan": _op10_sql(), "op13_lexical_search": OP13_SQL}
+ORACLES = {"op1_topk_search": OP1_SQL, "op3_line_dedup": OP3_SQL, "op9_quality_rules": OP9_SQL, "op10_license_scan": _op10_sql(), "op12_substring_dedup": OP12_SQL, "op13_lexical_search": OP13_SQL}
