@@ -31,11 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.llm._chunks import ChunkMemo
+from lexloom.llm._tally import in_slices
 from lexloom.llm.sentencepiece_codec import MARK, _slices
 from lexloom.llm.token_files import _UNSAFE
 
-#: Pairs of ids whose counts may be sent to every task; links that a task sums up at a time; bytes of the memo.
-BROADCAST_PAIRS, TOGETHER, MEMO_BYTES = 3_000_000, 8_000_000, 160 << 20
+#: Pairs of ids whose counts may be sent to every task; links that a task sums up at a time; bytes of the memo; documents taken together.
+BROADCAST_PAIRS, TOGETHER, MEMO_BYTES, SLICE = 3_000_000, 4_000_000, 96 << 20, 256
 #: A place that neither tokenizer's tokens cross, in texts with runs of white space.
 _CUT = re.compile(r"(?<=[^ ])(?= \S)")
 #: A link that goes on with the token of the link before it.
@@ -184,7 +185,7 @@ def pair_counts(links: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
-        for b in batches:
+        for b in in_slices(batches, SLICE):
             held.append(_pairs(*_flat_links(b)[:2]))
             count += len(held[-1])
             if count > TOGETHER:
@@ -206,7 +207,7 @@ def link_scores(links: DataFrame, counts: DataFrame) -> DataFrame:
     """row, n_best (links whose pair is its B id's most frequent), count_sum (of the pairs' counts, over links); rows without links are left out. counts: a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches, SLICE):
             link_a, link_b, n = _flat_links(b)
             if len(link_a):
                 pair, row = _pairs(link_a, link_b), np.repeat(np.arange(len(n)), n)
@@ -227,26 +228,24 @@ def link_groups(links: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[int, str] = {}
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                piece = b.slice(lo, 256)
-                link_a, link_b, n = _flat_links(piece)
-                doc = np.repeat(np.arange(len(n)), n)
-                new_a, new_b = link_a < SAME, link_b < SAME
-                cut = new_a & new_b
-                group = np.cumsum(cut)
-                # Tokens in the order of the text form: by group, A's before B's, each followed by its separator.
-                token = np.concatenate([link_a[new_a], link_b[new_b]])
-                place = np.concatenate([2 * group[new_a], 2 * group[new_b] + 1])
-                order = np.argsort(place, kind="stable")
-                token, place = token[order], place[order]
-                last = np.append(place[1:] != place[:-1], True)[: len(place)]
-                kind = 2 * (place & 1) + last
-                texts = _spelled(token, kind, names)
-                per = [np.bincount(doc[x], minlength=len(n)) for x in (new_a, new_b, cut)]
-                ends = np.cumsum(per[0] + per[1]).tolist()
-                groups = ["".join(texts[i:j])[:-1] for i, j in zip([0, *ends[:-1]], ends)]
-                yield pa.RecordBatch.from_arrays([piece.column("row"), piece.column("key"), *map(pa.array, per), pa.array(n), pa.array(groups, pa.string())], names=schema.names)
+        for piece in in_slices(batches, SLICE):
+            link_a, link_b, n = _flat_links(piece)
+            doc = np.repeat(np.arange(len(n)), n)
+            new_a, new_b = link_a < SAME, link_b < SAME
+            cut = new_a & new_b
+            group = np.cumsum(cut)
+            # Tokens in the order of the text form: by group, A's before B's, each followed by its separator.
+            token = np.concatenate([link_a[new_a], link_b[new_b]])
+            place = np.concatenate([2 * group[new_a], 2 * group[new_b] + 1])
+            order = np.argsort(place, kind="stable")
+            token, place = token[order], place[order]
+            last = np.append(place[1:] != place[:-1], True)[: len(place)]
+            kind = 2 * (place & 1) + last
+            texts = _spelled(token, kind, names)
+            per = [np.bincount(doc[x], minlength=len(n)) for x in (new_a, new_b, cut)]
+            ends = np.cumsum(per[0] + per[1]).tolist()
+            groups = ["".join(texts[i:j])[:-1] for i, j in zip([0, *ends[:-1]], ends)]
+            yield pa.RecordBatch.from_arrays([piece.column("row"), piece.column("key"), *map(pa.array, per), pa.array(n), pa.array(groups, pa.string())], names=schema.names)
 
     return links.mapInArrow(run, schema)
 
