@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from lexloom.llm._tally import chunk_of, mixed, plan
 
 #: Window starts hashed together (a power of two), bytes whose suffixes are sorted together, occurrences of a seed that one lot may hold.
-BLOCK, LOT_BYTES, HOT = 1 << 20, 3 << 20, 8000
+BLOCK, LOT_BYTES, HOT = 1 << 20, 1 << 20, 3000
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _PLACE = np.uint64(BLOCK * 2 - 1)
 _NULL_LAST = np.iinfo(np.int64).max
@@ -60,7 +60,7 @@ class Hashes:
 
     def __init__(self, data: np.ndarray, base: int = _BASES[0]):
         # One table of powers for all usual sizes.
-        power, self.inverse = _powers(base, max(1 << 22, 1 << len(data).bit_length()))
+        power, self.inverse = _powers(base, max(2 * BLOCK, 1 << len(data).bit_length()))
         with np.errstate(over="ignore"):
             self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)])])
 
@@ -216,18 +216,20 @@ def _sending(left: pa.Table, right: pa.Table, length: int, buckets: int, ordered
     rows = [(chunk, chunk % buckets, _JUDGED, None, _squeezed(np.stack([start[others], n[others]]).ravel()))] if len(others) else []
     doc = np.searchsorted(own.starts, start[first], side="right") - 1
     keys = own.order_keys()[doc] if ordered else np.zeros(len(first), np.int64)
-    seed, start, n, hot = seed[first], start[first], n[first], total[first] > HOT
+    seed, start, n, whole, hot = seed[first], start[first], n[first], whole[first], total[first] > HOT
     cold = ~hot
-    heads = np.stack([seed.view(np.int64), keys, start, n, more.astype(np.int64)], 1)
+    heads = np.stack([seed.view(np.int64), whole.view(np.int64), keys, start, n, more.astype(np.int64)], 1)
     size = n + length - 1
     rows += _bucket_rows(chunk, _bucket_of(seed[cold], buckets), _REGIONS, heads[cold], _gathered(own.data, start[cold], size[cold]), size[cold])
-    if hot.any():
-        text, n = _gathered(own.data, start[hot], size[hot]), n[hot]
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        place = np.repeat(np.cumsum(size[hot]) - size[hot], n) + within
-        first_hash, second = (Hashes(text, base).of(place, place + length) for base in _BASES)
-        heads = np.stack([first_hash.view(np.int64), second.view(np.int64), np.repeat(keys[hot], n), np.repeat(start[hot], n) + within, np.repeat(more[hot], n)], 1)
-        rows += _bucket_rows(chunk, _bucket_of(first_hash, buckets), _WINDOWS, heads)
+    # Windows of hot seeds, of so many regions at a time that their bytes fit a block.
+    hot = np.flatnonzero(hot)
+    for own_hot in np.split(hot, np.flatnonzero(np.diff(np.cumsum(size[hot]) // BLOCK)) + 1) if len(hot) else []:
+        count, text = n[own_hot], _gathered(own.data, start[own_hot], size[own_hot])
+        within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        place = np.repeat(np.cumsum(size[own_hot]) - size[own_hot], count) + within
+        one, two = (Hashes(text, base).of(place, place + length) for base in _BASES)
+        heads = np.stack([one.view(np.int64), two.view(np.int64), np.repeat(keys[own_hot], count), np.repeat(start[own_hot], count) + within, np.repeat(more[own_hot], count)], 1)
+        rows += _bucket_rows(chunk, _bucket_of(one, buckets), _WINDOWS, heads)
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, _SENT)], schema=_SENT)
 
 
@@ -260,9 +262,9 @@ def _judging(table: pa.Table, length: int, first: bool) -> pa.Table:
     ready = [(r["chunk"], r["body"]) for r in table.filter(pa.array(kind == _JUDGED)).select(["chunk", "body"]).to_pylist()]
     own = table.filter(pa.array(kind == _REGIONS))
     if own.num_rows:
-        heads = [_restored(h, np.int64).reshape(5, -1) for h in own["heads"].to_pylist()]
+        heads = [_restored(h, np.int64).reshape(6, -1) for h in own["heads"].to_pylist()]
         chunk = np.repeat(own["chunk"].to_numpy().astype(np.int64), [h.shape[1] for h in heads])
-        seed, key, start, n, more = np.concatenate(heads, 1)
+        seed, whole, key, start, n, more = np.concatenate(heads, 1)
         text = np.frombuffer(b"".join(map(zstandard.decompress, own["body"].to_pylist())), np.uint8)
         size = n + length - 1
         at = np.cumsum(size) - size
@@ -274,7 +276,7 @@ def _judging(table: pa.Table, length: int, first: bool) -> pa.Table:
         while lo < len(order):
             done = upto[ends.searchsorted(lo, side="right") - 1] if lo else 0
             hi = int(ends[max(ends.searchsorted(lo, side="right"), upto.searchsorted(done + LOT_BYTES, side="right") - 1)])
-            _judge_lot(runs, text, length, first, *(x[order[lo:hi]] for x in (seed, chunk, start, n, more, at)))
+            _judge_lot(runs, text, length, first, *(x[order[lo:hi]] for x in (seed, whole, chunk, start, n, more, at)))
             lo = hi
     own = table.filter(pa.array(kind == _WINDOWS))
     if own.num_rows:
@@ -289,12 +291,8 @@ def _judging(table: pa.Table, length: int, first: bool) -> pa.Table:
     return runs.table(ready)
 
 
-def _judge_lot(runs: _Runs, text: np.ndarray, length: int, first: bool, seed: np.ndarray, chunk: np.ndarray, start: np.ndarray, n: np.ndarray, more: np.ndarray, at: np.ndarray) -> None:
+def _judge_lot(runs: _Runs, text: np.ndarray, length: int, first: bool, seed: np.ndarray, whole: np.ndarray, chunk: np.ndarray, start: np.ndarray, n: np.ndarray, more: np.ndarray, at: np.ndarray) -> None:
     """Regions of whole seeds, in order of position within a seed."""
-    size = n + length - 1
-    data = _gathered(text, at, size)
-    begin = np.cumsum(size) - size
-    whole = Hashes(data).of(begin, begin + size)
     # Equal regions: the first in position stands for all, and the others go.
     order = np.lexsort((np.arange(len(seed)), n, whole, seed))
     new = np.append(True, (np.diff(seed[order]) != 0) | (np.diff(whole[order]) != 0) | (np.diff(n[order]) != 0))
@@ -311,8 +309,9 @@ def _judge_lot(runs: _Runs, text: np.ndarray, length: int, first: bool, seed: np
     kept = kept[many]
     if not len(kept):
         return
-    size, n, chunk, start = size[kept], n[kept], chunk[kept], start[kept]
-    data = _gathered(data, begin[kept], size)
+    n, chunk, start = n[kept], chunk[kept], start[kept]
+    size = n + length - 1
+    data = _gathered(text, at[kept], size)
     begin = np.cumsum(size) - size
     of = np.repeat(np.arange(len(kept)), n)
     within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)

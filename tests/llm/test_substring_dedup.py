@@ -42,7 +42,7 @@ def docs():
     return rows + [(100, rows[3][1]), (101, rows[3][1] + " x"), (102, ""), (103, None), (104, "z" * 400), (105, "ab" * 150), (106, "y" * 51), (107, "short"), (108, "z" * 49), (None, rows[5][1]), (110, "私" * 60)]
 
 
-@pytest.mark.parametrize("block, lot, hot", [(1 << 20, 3 << 20, 8000), (1 << 20, 2000, 5), (1 << 20, 500, 0), (64, 3 << 20, 8000)])
+@pytest.mark.parametrize("block, lot, hot", [(1 << 20, 1 << 20, 3000), (1 << 20, 2000, 5), (1 << 20, 500, 0), (64, 1 << 20, 3000), (64, 1000, 3)])
 def test_against_all_windows(spark, docs, monkeypatch, block, lot, hot):
     for name, value in (("BLOCK", block), ("LOT_BYTES", lot), ("HOT", hot)):
         monkeypatch.setattr(substring_dedup, name, value)
