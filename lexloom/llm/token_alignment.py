@@ -18,6 +18,7 @@ are not remembered. Other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,8 +36,8 @@ from lexloom.llm._tally import in_slices
 from lexloom.llm.sentencepiece_codec import MARK, _slices
 from lexloom.llm.token_files import _UNSAFE
 
-#: Pairs of ids whose counts may be sent to every task; links that a task sums up at a time; bytes of the memo; documents taken together.
-BROADCAST_PAIRS, TOGETHER, MEMO_BYTES, SLICE = 3_000_000, 4_000_000, 96 << 20, 256
+#: Pairs of ids whose counts may be sent to every task; links that a task sums up at a time; bytes of the memo; documents and new chunks taken together.
+BROADCAST_PAIRS, TOGETHER, MEMO_BYTES, SLICE, FRESH = 3_000_000, 2_000_000, 96 << 20, 256, 8192
 #: A place that neither tokenizer's tokens cross, in texts with runs of white space.
 _CUT = re.compile(r"(?<=[^ ])(?= \S)")
 #: A link that goes on with the token of the link before it.
@@ -72,6 +73,7 @@ class Aligner:
     """Links of texts between a byte-level tokenizer (A, a file of the tokenizers library) and a sentencepiece model (B)."""
 
     def __init__(self, a_path: str, b_path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -88,9 +90,13 @@ class Aligner:
         self.memo = ChunkMemo(self._fresh, MEMO_BYTES, ways=2)
 
     def _fresh(self, chunks: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        a, a_n = _flat([e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)])
-        b, b_n = _flat(self.b.encode([c[1:] for c in chunks], num_threads=1))
-        return aligned(self, chunks, a, a_n, b, b_n)
+        parts = []
+        for lo in range(0, len(chunks), FRESH):
+            own = chunks[lo : lo + FRESH]
+            a, a_n = _flat([e.ids for e in self.a.encode_batch_fast(own, add_special_tokens=False)])
+            b, b_n = _flat(self.b.encode([c[1:] for c in own], num_threads=1))
+            parts.append(aligned(self, own, a, a_n, b, b_n))
+        return [(np.concatenate([p[way][0] for p in parts]), np.concatenate([p[way][1] for p in parts])) for way in (0, 1)]
 
     def links(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A's and B's ids of all links end to end (with SAME where the token is that of the link before) and each text's number of links."""
