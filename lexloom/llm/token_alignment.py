@@ -190,6 +190,7 @@ def pair_counts(links: DataFrame) -> DataFrame:
     """pair (B's id in the upper, A's in the lower 32 bits), n: how many links of the corpus hold it, most: the highest n of B's id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner.cache_clear()  # a worker's memo from the stage before
         held, count = [], 0
         for b in in_slices(batches, SLICE):
             held.append(_pairs(*_flat_links(b)[:2]))
@@ -213,6 +214,7 @@ def link_scores(links: DataFrame, counts: DataFrame) -> DataFrame:
     """row, n_best (links whose pair is its B id's most frequent), count_sum (of the pairs' counts, over links); rows without links are left out. counts: a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner.cache_clear()
         for b in in_slices(batches, SLICE):
             link_a, link_b, n = _flat_links(b)
             if len(link_a):
@@ -233,6 +235,7 @@ def link_groups(links: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("row", T.LongType()), links.schema["key"], *T._parse_datatype_string("n_a long, n_b long, n_groups long, n_links long, groups string").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner.cache_clear()
         names: dict[int, str] = {}
         for piece in in_slices(batches, SLICE):
             link_a, link_b, n = _flat_links(piece)
