@@ -105,8 +105,8 @@ class Block:
         # The groups of a term are group_of[t] to group_of[t + 1].
         self.group_of = np.searchsorted(words[head], np.arange(n_terms + 1))
 
-    def search(self, words: np.ndarray, times: np.ndarray, weights: np.ndarray, k: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and complete scores of every document that may be among the k best and reaches least; weights: of all terms, zero or how often the query holds them."""
+    def search(self, words: np.ndarray, times: np.ndarray, weights: np.ndarray, k: int, least: int, stride: int, few: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and complete scores of every document that may be among the k best and reaches least; weights: of all terms, zero or how often the query holds them; stride: contributions in the first one; few: candidates completed for each wanted."""
         lo, hi = self.group_of[words], self.group_of[words + 1]
         size = hi - lo
         which = np.repeat(np.arange(len(words)), size)
@@ -115,7 +115,7 @@ class Block:
         order = np.argsort(-gain, kind="stable")
         groups, which, gain = groups[order], which[order], gain[order]
         postings = np.cumsum(self.group_at[groups + 1] - self.group_at[groups])
-        seen, sums, done, used, stride = np.zeros(self.n, bool), np.zeros(self.n, np.int64), 0, lo.copy(), STRIDE
+        seen, sums, done, used = np.zeros(self.n, bool), np.zeros(self.n, np.int64), 0, lo.copy()
         candidates = np.zeros(0, np.int64)
         while True:
             upto = max(done + 1, int(np.searchsorted(postings, (postings[done - 1] if done else 0) + stride, side="right")))
@@ -134,7 +134,7 @@ class Block:
             if len(candidates) >= k:
                 bound = max(bound, int(np.partition(sums[candidates], len(candidates) - k)[len(candidates) - k]))
             candidates = candidates[sums[candidates] + rest >= bound]
-            if done >= len(groups) or (rest < bound and len(candidates) <= FEW * k):
+            if done >= len(groups) or (rest < bound and len(candidates) <= few * k):
                 break
         scores = np.array([(weights[self.doc_words[a:b]] * self.doc_impacts[a:b]).sum() for a, b in zip(self.doc_at[candidates], self.doc_at[candidates + 1])], np.int64)
         good = scores >= bound
@@ -144,7 +144,7 @@ class Block:
 def _served(postings: DataFrame, asked: list[tuple[object, dict[int, int]]], weights: list[int], n_docs: int, n_terms: int, k: int, kind: T.DataType) -> DataFrame:
     """query, item, key, score: each task's best."""
     shared = postings.sparkSession.sparkContext.broadcast((asked, np.array(weights, np.int64)))
-    key = postings.schema["key"]
+    key, stride, few, most = postings.schema["key"], STRIDE, FEW, BLOCK
     schema = T.StructType([T.StructField("query", T.IntegerType()), T.StructField("item", kind), key, T.StructField("score", T.LongType())])
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -166,14 +166,14 @@ def _served(postings: DataFrame, asked: list[tuple[object, dict[int, int]]], wei
                 if own:
                     at, n = np.fromiter(own, np.int64, len(own)), np.fromiter(own.values(), np.int64, len(own))
                     times[at] = n
-                    found, scores = block.search(at, n, times, k, best.least(q))
+                    found, scores = block.search(at, n, times, k, best.least(q), stride, few)
                     times[at] = 0
                     best.add(q, scores, block.keys.take(found).to_pylist())
 
         for b in batches:
             held.append(b)
             count += len(b.column("terms").flatten()) + b.num_rows
-            if count >= BLOCK:
+            if count >= most:
                 serve()
                 held, count = [], 0
         if held and count:

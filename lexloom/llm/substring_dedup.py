@@ -85,15 +85,15 @@ def _window_minima(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def regions(data: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def regions(data: np.ndarray, sizes: np.ndarray, length: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of texts end to end: seed, first window's start, number of windows and hash of the bytes of each region, in order."""
     k = max(1, length // 3)
     w = length - k + 1
     own = np.maximum(sizes - length + 1, 0)
     starts_ok = np.repeat(np.tile([True, False], len(sizes)), np.stack([own, sizes - own], 1).ravel())
     out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
-    for lo in range(0, len(data) - length + 1, BLOCK):
-        hi = min(lo + BLOCK, len(data) - length + 1)
+    for lo in range(0, len(data) - length + 1, block):
+        hi = min(lo + block, len(data) - length + 1)
         ok = starts_ok[lo:hi]
         if not ok.any():
             continue
@@ -189,18 +189,18 @@ def _bucket_rows(chunk: int, bucket: np.ndarray, kind: int, heads: np.ndarray, b
     return rows
 
 
-def _asking(table: pa.Table, length: int) -> pa.Table:
+def _asking(table: pa.Table, length: int, block: int) -> pa.Table:
     own = _Chunk(table)
-    seed, n = np.unique(regions(own.data, own.sizes, length)[0], return_counts=True)
+    seed, n = np.unique(regions(own.data, own.sizes, length, block)[0], return_counts=True)
     return pa.table([pa.array(np.full(len(seed), table["chunk"][0].as_py()), pa.int32()), pa.array(seed.view(np.int64)), pa.array(n)], names=["chunk", "seed", "n"])
 
 
-def _sending(left: pa.Table, right: pa.Table, length: int, buckets: int, ordered: bool) -> pa.Table:
-    """What a chunk sends of its regions with repeated seeds. right: those seeds and how often the corpus has them."""
+def _sending(left: pa.Table, right: pa.Table, length: int, buckets: int, ordered: bool, most: int, block: int) -> pa.Table:
+    """What a chunk sends of its regions with repeated seeds. right: those seeds and how often the corpus has them; most: beyond that a seed is hot."""
     if not left.num_rows or not right.num_rows:
         return _SENT.empty_table()
     own, chunk = _Chunk(left), left["chunk"][0].as_py()
-    seed, start, n, whole = regions(own.data, own.sizes, length)
+    seed, start, n, whole = regions(own.data, own.sizes, length, block)
     asked = right["seed"].to_numpy().view(np.uint64)
     order = np.argsort(asked)
     asked, total = asked[order], right["total"].to_numpy()[order]
@@ -216,14 +216,14 @@ def _sending(left: pa.Table, right: pa.Table, length: int, buckets: int, ordered
     rows = [(chunk, chunk % buckets, _JUDGED, None, _squeezed(np.stack([start[others], n[others]]).ravel()))] if len(others) else []
     doc = np.searchsorted(own.starts, start[first], side="right") - 1
     keys = own.order_keys()[doc] if ordered else np.zeros(len(first), np.int64)
-    seed, start, n, whole, hot = seed[first], start[first], n[first], whole[first], total[first] > HOT
+    seed, start, n, whole, hot = seed[first], start[first], n[first], whole[first], total[first] > most
     cold = ~hot
     heads = np.stack([seed.view(np.int64), whole.view(np.int64), keys, start, n, more.astype(np.int64)], 1)
     size = n + length - 1
     rows += _bucket_rows(chunk, _bucket_of(seed[cold], buckets), _REGIONS, heads[cold], _gathered(own.data, start[cold], size[cold]), size[cold])
     # Windows of hot seeds, of so many regions at a time that their bytes fit a block.
     hot = np.flatnonzero(hot)
-    for own_hot in np.split(hot, np.flatnonzero(np.diff(np.cumsum(size[hot]) // BLOCK)) + 1) if len(hot) else []:
+    for own_hot in np.split(hot, np.flatnonzero(np.diff(np.cumsum(size[hot]) // block)) + 1) if len(hot) else []:
         count, text = n[own_hot], _gathered(own.data, start[own_hot], size[own_hot])
         within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         place = np.repeat(np.cumsum(size[own_hot]) - size[own_hot], count) + within
@@ -256,7 +256,7 @@ class _Runs:
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 2, _FOUND)], schema=_FOUND)
 
 
-def _judging(table: pa.Table, length: int, first: bool) -> pa.Table:
+def _judging(table: pa.Table, length: int, first: bool, lot: int) -> pa.Table:
     """Of a bucket, the runs of windows that go."""
     runs, kind = _Runs(), table["kind"].to_numpy()
     ready = [(r["chunk"], r["body"]) for r in table.filter(pa.array(kind == _JUDGED)).select(["chunk", "body"]).to_pylist()]
@@ -275,7 +275,7 @@ def _judging(table: pa.Table, length: int, first: bool) -> pa.Table:
         lo = 0
         while lo < len(order):
             done = upto[ends.searchsorted(lo, side="right") - 1] if lo else 0
-            hi = int(ends[max(ends.searchsorted(lo, side="right"), upto.searchsorted(done + LOT_BYTES, side="right") - 1)])
+            hi = int(ends[max(ends.searchsorted(lo, side="right"), upto.searchsorted(done + lot, side="right") - 1)])
             _judge_lot(runs, text, length, first, *(x[order[lo:hi]] for x in (seed, whole, chunk, start, n, more, at)))
             lo = hi
     own = table.filter(pa.array(kind == _WINDOWS))
@@ -354,15 +354,16 @@ def substring_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", leng
     if length < 2 or keep not in ("none", "first"):
         raise ValueError("length must be 2 or more, keep one of none and first")
     chunks, buckets = plan(df, text)
+    block, lot, most = BLOCK, LOT_BYTES, HOT
     first = keep == "first"
     # The order of documents: by whole numbers as they are, by other keys as Spark hashes them.
     order = F.col(key).cast("long") if df.schema[key].dataType.typeName() in ("byte", "short", "integer", "long") else F.xxhash64(key)
     docs = df.select(chunk_of(key, text, chunks).alias("chunk"), F.col(key).alias("key"), order.alias("order"), F.col(text).alias("text"))
-    seeds = docs.groupBy("chunk").applyInArrow(lambda t: _asking(t, length), "chunk int, seed long, n long")
+    seeds = docs.groupBy("chunk").applyInArrow(lambda t: _asking(t, length, block), "chunk int, seed long, n long")
     again = seeds.groupBy("seed").agg(F.sum("n").alias("total")).where("total > 1")
     asked = seeds.join(again, "seed").select("chunk", "seed", "total")
-    sent = docs.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(lambda a, b: _sending(a, b, length, buckets, first), "chunk int, bucket int, kind int, heads binary, body binary")
-    found = sent.groupBy("bucket").applyInArrow(lambda t: _judging(t, length, first), "chunk int, runs binary")
+    sent = docs.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(lambda a, b: _sending(a, b, length, buckets, first, most, block), "chunk int, bucket int, kind int, heads binary, body binary")
+    found = sent.groupBy("bucket").applyInArrow(lambda t: _judging(t, length, first, lot), "chunk int, runs binary")
     schema = T.StructType([T.StructField("key", df.schema[key].dataType), *T._parse_datatype_string("n_bytes long, removed array<struct<start: long, end: long>>, kept binary").fields])
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -69,14 +69,15 @@ def test_strides_end_early_and_change_nothing():
     docs, words = pairs // terms, pairs % terms
     impacts = rng.integers(1, 60, len(pairs)) * (1 + words)
     block = lexical_search.Block(pa.array(np.arange(n)), docs, words, impacts, terms)
-    for _ in range(20):
+    for few in [1, 16] * 10:
         own = rng.choice(terms, 5, replace=False)
         times = rng.integers(1, 3, 5)
         dense = np.zeros(terms, np.int64)
         dense[own] = times
         all_scores = np.bincount(docs, dense[words] * impacts, n).astype(np.int64)
         best = sorted(zip((-all_scores).tolist(), range(n)))[:10]
-        at, scores = block.search(own, times, dense, 10, 1)
+        at, scores = block.search(own, times, dense, 10, 1, 50, few)
+        assert len(at) < n
         assert sorted(zip((-scores).tolist(), at.tolist()))[:10] == best
 
 
