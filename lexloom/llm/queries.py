@@ -138,12 +138,12 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    links = written(token_alignment.align_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")), "links")
-    counts = written(token_alignment.pair_counts(links), "pairs")
+    made = token_alignment.align_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
-    groups = token_alignment.link_groups(links).select("row", F.col("key").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", digest)
+    made = written(made.select("row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "pairs", "times", digest), "aligned")
+    scores = token_alignment.link_scores(made, written(token_alignment.pair_counts(made), "pairs"))
     sums = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_best", "count_sum")]
-    return groups.join(token_alignment.link_scores(links, counts), "row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", *sums, "groups_sha256")
+    return made.join(scores, "row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", *sums, "groups_sha256")
 
 
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

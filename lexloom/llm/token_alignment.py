@@ -5,10 +5,10 @@ of a slice are encoded and aligned together. Each byte has an owner among A's to
 tokens' places by their sizes). Where the pair of owners changes a new link begins, the pairs in a row being all overlaps;
 where both change at once lies a cut between two groups.
 
-align_tokens gives each document's links, from which all else follows: link_groups the groups as text, pair_counts how often
-two ids are linked in the whole corpus, link_scores each document's sums of those counts. The counts are sent to all tasks
-only while they are few (BROADCAST_PAIRS); beyond that it is a shuffled join. Counts are summed in the tasks first, so a
-pair in every document is a row for each task.
+align_tokens gives each document's groups and linked ids; pair_counts tells how often two ids are linked in the whole corpus, and
+link_scores each document's sums of those counts. The counts are sent to all tasks only while they are few
+(BROADCAST_PAIRS); beyond that it is a shuffled join. Counts are summed in the tasks first, so a pair in every document is a
+row for each task.
 
 Defined results: null and empty texts, and texts whose tokens of A or B don't give back the text with a space before it
 (those with a literal U+2581), have no links. Repeated rows and null keys are documents each of its own, told apart by the
@@ -32,12 +32,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.llm._chunks import ChunkMemo
-from lexloom.llm._tally import in_slices
 from lexloom.llm.sentencepiece_codec import MARK, _slices
 from lexloom.llm.token_files import _UNSAFE
 
-#: Pairs of ids whose counts may be sent to every task; links that a task sums up at a time; bytes of the memo; documents and new chunks taken together.
-BROADCAST_PAIRS, TOGETHER, MEMO_BYTES, SLICE, FRESH = 3_000_000, 2_000_000, 96 << 20, 256, 8192
+#: Pairs of ids whose counts may be sent to every task; bytes of the memo; new chunks taken together.
+BROADCAST_PAIRS, MEMO_BYTES, FRESH = 3_000_000, 96 << 20, 8192
 #: A place that neither tokenizer's tokens cross, in texts with runs of white space.
 _CUT = re.compile(r"(?<=[^ ])(?= \S)")
 #: A link that goes on with the token of the link before it.
@@ -159,106 +158,72 @@ def aligner(a_path: str, b_path: str) -> Aligner:
 
 
 def _lists(values: np.ndarray, n: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), values.view(np.int32))
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), values)
+
+
+def _grouped(link_a: np.ndarray, link_b: np.ndarray, n: np.ndarray, names: dict[int, str]) -> list:
+    """Numbers of A's and B's tokens and of groups by text, and the groups as text."""
+    doc = np.repeat(np.arange(len(n)), n)
+    new_a, new_b = link_a < SAME, link_b < SAME
+    cut = new_a & new_b
+    group = np.cumsum(cut)
+    # Tokens in the order of the text form: by group, A's before B's, each followed by its separator.
+    token = np.concatenate([link_a[new_a], link_b[new_b]])
+    place = np.concatenate([2 * group[new_a], 2 * group[new_b] + 1])
+    order = np.argsort(place, kind="stable")
+    token, place = token[order], place[order]
+    last = np.append(place[1:] != place[:-1], True)[: len(place)]
+    texts = _spelled(token, 2 * (place & 1) + last, names)
+    per = [np.bincount(doc[x], minlength=len(n)) for x in (new_a, new_b, cut)]
+    ends = np.cumsum(per[0] + per[1]).tolist()
+    return [*map(pa.array, per), pa.array(["".join(texts[i:j])[:-1] for i, j in zip([0, *ends[:-1]], ends)], pa.string())]
+
+
+def _paired(link_a: np.ndarray, link_b: np.ndarray, n: np.ndarray) -> list:
+    """Each text's distinct pairs of linked ids and how often it has them."""
+    known, at = np.unique((link_b & ~SAME).astype(np.int64) << 32 | (link_a & ~SAME), return_inverse=True)
+    own, times = np.unique(np.repeat(np.arange(len(n)), n) * max(len(known), 1) + at, return_counts=True)
+    many = np.bincount(own // max(len(known), 1), minlength=len(n))
+    return [_lists(known[own % max(len(known), 1)], many), _lists(times.astype(np.int32), many)]
 
 
 def align_tokens(df: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """row (its number), key, link_a, link_b: ids of each text's links in order, with the sign bit set where the token is that of the link before. Write the result before using it twice: rows are numbered as they come."""
+    """row, key, n_a, n_b, n_groups, n_links (long), groups (the ids of each group as `a1,a2|b1;a3|b2`, empty without links), pairs and times (the distinct linked ids, B's in the upper and A's in the lower 32 bits, and how often).
+
+    row numbers the texts as they come, so write what is kept of the result before using it twice.
+    """
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    schema = T.StructType([T.StructField("row", T.LongType()), rows.schema["key"], *T._parse_datatype_string("link_a array<int>, link_b array<int>").fields])
+    schema = T.StructType([T.StructField("row", T.LongType()), rows.schema["key"], *T._parse_datatype_string("n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<int>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, row = aligner(a_path, b_path), TaskContext.get().partitionId() << 33
+        own, row, names = aligner(a_path, b_path), TaskContext.get().partitionId() << 33, {}
         for b in _slices(batches, 1):
             link_a, link_b, n = own.links(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(n))), b.column(0), _lists(link_a, n), _lists(link_b, n)], names=schema.names)
+            n_a, n_b, n_groups, groups = _grouped(link_a, link_b, n, names)
+            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(n))), b.column(0), n_a, n_b, n_groups, pa.array(n), groups, *_paired(link_a, link_b, n)], names=schema.names)
             row += len(n)
 
-    return rows.mapInArrow(run, schema)
-
-
-def _flat_links(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    link_a, link_b = (b.column(c).flatten().to_numpy(zero_copy_only=False).view(np.uint32) for c in ("link_a", "link_b"))
-    return link_a, link_b, b.column("link_a").value_lengths().to_numpy().astype(np.int64)
+    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
-def _pairs(link_a: np.ndarray, link_b: np.ndarray) -> np.ndarray:
-    return (link_b & ~SAME).astype(np.int64) << 32 | (link_a & ~SAME)
+def _each_pair(aligned_texts: DataFrame) -> DataFrame:
+    return aligned_texts.select("row", F.inline(F.arrays_zip("pairs", "times"))).withColumnRenamed("pairs", "pair")
 
 
-def pair_counts(links: DataFrame) -> DataFrame:
-    """pair (B's id in the upper, A's in the lower 32 bits), n: how many links of the corpus hold it, most: the highest n of B's id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner.cache_clear()  # a worker's memo from the stage before
-        held, count = [], 0
-        for b in in_slices(batches, SLICE):
-            held.append(_pairs(*_flat_links(b)[:2]))
-            count += len(held[-1])
-            if count > TOGETHER:
-                yield summed(held)
-                held, count = [], 0
-        if count:
-            yield summed(held)
-
-    def summed(held: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.record_batch(list(map(pa.array, np.unique(np.concatenate(held), return_counts=True))), names=["pair", "n"])
-
-    counts = links.select("link_a", "link_b").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+def pair_counts(aligned_texts: DataFrame) -> DataFrame:
+    """pair, n: how many links of the corpus hold it, most: the highest n of B's id."""
+    counts = _each_pair(aligned_texts).groupBy("pair").agg(F.sum("times").alias("n"))
     of_b = counts.groupBy(F.shiftright("pair", 32).alias("b")).agg(F.max("n").alias("most"))
-    # As many rows as B has ids, of three numbers.
-    return counts.join(F.broadcast(of_b) if of_b.count() <= BROADCAST_PAIRS else of_b, F.shiftright("pair", 32) == F.col("b")).select("pair", "n", "most")
+    return counts.join(of_b, F.shiftright("pair", 32) == F.col("b")).select("pair", "n", "most")
 
 
-def link_scores(links: DataFrame, counts: DataFrame) -> DataFrame:
+def link_scores(aligned_texts: DataFrame, counts: DataFrame) -> DataFrame:
     """row, n_best (links whose pair is its B id's most frequent), count_sum (of the pairs' counts, over links); rows without links are left out. counts: a written table."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner.cache_clear()
-        for b in in_slices(batches, SLICE):
-            link_a, link_b, n = _flat_links(b)
-            if len(link_a):
-                pair, row = _pairs(link_a, link_b), np.repeat(np.arange(len(n)), n)
-                order = np.lexsort((pair, row))
-                pair, row = pair[order], row[order]
-                head = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (row[1:] != row[:-1])))
-                yield pa.record_batch([b.column("row").take(pa.array(row[head])), pa.array(pair[head]), pa.array(np.diff(np.append(head, len(pair))))], names=["row", "pair", "times"])
-
-    own = links.select("row", "link_a", "link_b").mapInArrow(run, "row long, pair long, times long")
     few = counts.count() <= BROADCAST_PAIRS
-    met = own.join(F.broadcast(counts) if few else counts, "pair")
+    met = _each_pair(aligned_texts).join(F.broadcast(counts) if few else counts, "pair")
     return met.groupBy("row").agg(F.sum(F.when(F.col("n") == F.col("most"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("times")).alias("count_sum"))
 
 
-def link_groups(links: DataFrame) -> DataFrame:
-    """row, key, n_a, n_b, n_groups, n_links (long) and groups, the ids of each group as `a1,a2|b1;a3|b2`; an empty text without links."""
-    schema = T.StructType([T.StructField("row", T.LongType()), links.schema["key"], *T._parse_datatype_string("n_a long, n_b long, n_groups long, n_links long, groups string").fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner.cache_clear()
-        names: dict[int, str] = {}
-        for piece in in_slices(batches, SLICE):
-            link_a, link_b, n = _flat_links(piece)
-            doc = np.repeat(np.arange(len(n)), n)
-            new_a, new_b = link_a < SAME, link_b < SAME
-            cut = new_a & new_b
-            group = np.cumsum(cut)
-            # Tokens in the order of the text form: by group, A's before B's, each followed by its separator.
-            token = np.concatenate([link_a[new_a], link_b[new_b]])
-            place = np.concatenate([2 * group[new_a], 2 * group[new_b] + 1])
-            order = np.argsort(place, kind="stable")
-            token, place = token[order], place[order]
-            last = np.append(place[1:] != place[:-1], True)[: len(place)]
-            kind = 2 * (place & 1) + last
-            texts = _spelled(token, kind, names)
-            per = [np.bincount(doc[x], minlength=len(n)) for x in (new_a, new_b, cut)]
-            ends = np.cumsum(per[0] + per[1]).tolist()
-            groups = ["".join(texts[i:j])[:-1] for i, j in zip([0, *ends[:-1]], ends)]
-            yield pa.RecordBatch.from_arrays([piece.column("row"), piece.column("key"), *map(pa.array, per), pa.array(n), pa.array(groups, pa.string())], names=schema.names)
-
-    return links.mapInArrow(run, schema)
-
-
 #: After a token of A within and at the end of its side of a group, and the same of B.
 SEPARATORS = (",", "|", ",", ";")
 

@@ -58,12 +58,12 @@ ODD = ["Hello world", "", None, " ", "  ", " lead", "trail ", "a  b   c", "tab\t
 
 
 def spark_rows(spark, docs):
-    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS row", "2 AS link_a", "3 AS `KEY`", "4 AS n").repartition(3)
-    links = queries.written(token_alignment.align_tokens(df, A, B), "links")
-    counts = queries.written(token_alignment.pair_counts(links), "pairs")
-    out = token_alignment.link_groups(links).join(token_alignment.link_scores(links, counts), "row", "left").fillna(0, ["n_best", "count_sum"])
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS row", "2 AS pairs", "3 AS `KEY`", "4 AS n").repartition(3)
+    made = queries.written(token_alignment.align_tokens(df, A, B), "aligned")
+    counts = queries.written(token_alignment.pair_counts(made), "pairs")
+    out = made.join(token_alignment.link_scores(made, counts), "row", "left").fillna(0, ["n_best", "count_sum"])
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
-    return sorted(map(tuple, out.select("key", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest).collect()), key=repr)
+    return sorted(map(tuple, out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest).collect()), key=repr)
 
 
 @pytest.mark.parametrize("few", [3_000_000, 0])
