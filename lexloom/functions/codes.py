@@ -38,8 +38,9 @@ def mask_codes(text: Column) -> Column:
     found = F.struct(F.regexp_extract_all(text, F.lit(CODE), F.lit(0)).alias("all"), F.split(text, CODE, -1).alias("parts"))
 
     def numbered(z: Column, flags: Column) -> Column:
-        number = lambda i: F.aggregate(F.slice(flags, F.lit(1), i), F.lit(0), lambda a, b: a + b)
-        tokens = F.transform(z["all"], lambda c, i: F.when(F.get(flags, i) == 1, F.concat(F.lit("<x"), number(i).cast("string"), F.lit("/>"))).otherwise(c))
+        own = F.filter(F.sequence(F.lit(0), F.size(flags) - 1), lambda i: F.get(flags, i) == 1)
+        token = lambda own, c, i: F.when(F.get(flags, i) == 1, F.concat(F.lit("<x"), (F.array_position(own, i) - 1).cast("string"), F.lit("/>"))).otherwise(c)
+        tokens = F.when(F.size(flags) > 0, once(own, lambda own: F.transform(z["all"], lambda c, i: token(own, c, i)))).otherwise(z["all"])
         return F.struct(_woven(z["parts"], tokens).alias("masked"), F.filter(z["all"], lambda c, i: F.get(flags, i) == 1).alias("codes"))
 
     return once(found, lambda z: once(F.transform(z["all"], lambda c: is_code(c).cast("int")), lambda flags: numbered(z, flags)))
@@ -59,11 +60,11 @@ def is_code_only(masked: Column) -> Column:
 
 def split_edges(text: Column) -> Column:
     """struct(lead, middle, trail): the codes and {tags} at the text's begin and end, and what is between."""
-    lead = F.regexp_extract(text, f"^((?>{_EDGE})*)", 1)
+    lead = F.regexp_extract(text, f"^((?:{_EDGE})*+)", 1)
 
     def rest(led: Column) -> Column:
         after = F.substring(text, F.length(led) + 1, F.length(text))
-        return once(after, lambda a: once(F.regexp_extract(a, f"((?>{_EDGE})+)$", 1), lambda t: F.struct(
+        return once(after, lambda a: once(F.regexp_extract(a, f"((?:{_EDGE})++)$", 1), lambda t: F.struct(
             F.regexp_extract_all(led, F.lit(_EDGE), F.lit(0)).alias("lead"),
             F.substring(a, F.lit(1), F.length(a) - F.length(t)).alias("middle"),
             F.regexp_extract_all(t, F.lit(_EDGE), F.lit(0)).alias("trail"),
@@ -89,12 +90,11 @@ def reattach(text: Column, lead: Column, trail: Column) -> Column:
 
 def fix_codes(source: Column, target: Column) -> Column:
     """Codes that target has more often than source go, the first ones first."""
-    mark = F.lit("\u0001")
     times = lambda t, c: (F.length(t) - F.length(F.replace(t, c, F.lit("")))) / F.length(c)
 
     def without(t: Column, c: Column) -> Column:
         surplus = (times(t, c) - times(source, c)).cast("int")
-        parts = F.split(F.replace(t, c, mark), "\u0001", -1)
+        parts = F.call_function("split", t, F.concat(F.lit("\\Q"), c, F.lit("\\E")), F.lit(-1))
         fewer = F.concat(F.array_join(F.slice(parts, F.lit(1), surplus + 1), ""), F.when(F.size(parts) > surplus + 1, F.concat(c, F.call_function("array_join", F.slice(parts, surplus + 2, F.size(parts)), c))).otherwise(F.lit("")))
         return F.when(surplus > 0, fewer).otherwise(t)
 

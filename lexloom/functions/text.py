@@ -95,10 +95,41 @@ def guard_tokens(source: Column, target: Column) -> Column:
     return F.when(tokens_of(source) == tokens_of(target), target).otherwise(source)
 
 
-def groups_in_order(source: Column, target: Column, pattern: str) -> Column:
-    """Each match of pattern in source occurs verbatim in target, after the one before."""
-    found = F.regexp_extract_all(source, F.lit(pattern), F.lit(0))
+#: Groups in brackets or braces, four levels deep, by runs that give nothing back (so a long one needs no stack).
+GROUP = r"[\[{][^\[\]{}]*+[\]}]"
+for _ in range(3):
+    GROUP = r"[\[{](?:[^\[\]{}]++|" + GROUP + r")*+[\]}]"
+#: A variable of scenario scripts.
+SCENARIO_VARIABLE = r"%[A-Za-z_]\w*|&[A-Za-z_][\w.]*|\b(?:f|sf|tf|mp)\.[A-Za-z_]\w*"
+
+
+def _folded_groups(text: Column) -> Column:
+    """The outermost groups by a count of open brackets; one that isn't closed goes to the end."""
+    pieces = F.regexp_extract_all(text, F.lit(r"[^\[\]{}]*+[\[\]{}]"), F.lit(0))
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("pos"), F.lit(0).alias("start"), F.array().cast("array<struct<a:int,n:int>>").alias("out"))
+
+    def step(s: Column, piece: Column) -> Column:
+        pos, opens = s["pos"] + F.length(piece), F.right(piece, F.lit(1)).isin("[", "{")
+        depth = F.when(opens, s["depth"] + 1).otherwise(F.greatest(s["depth"] - 1, F.lit(0)))
+        start = F.when(opens & (s["depth"] == 0), pos).otherwise(s["start"])
+        done = ~opens & (s["depth"] == 1)
+        return F.struct(depth.alias("depth"), pos.alias("pos"), start.alias("start"), F.when(done, F.concat(s["out"], F.array(F.struct(s["start"].alias("a"), (pos - s["start"] + 1).alias("n"))))).otherwise(s["out"]).alias("out"))
+
+    def closed(s: Column) -> Column:
+        rest = F.array(F.struct(s["start"].alias("a"), (F.length(text) - s["start"] + 1).alias("n")))
+        return F.when(s["depth"] > 0, F.concat(s["out"], rest)).otherwise(s["out"])
+
+    return F.transform(F.aggregate(pieces, zero, step, closed), lambda g: F.substring(text, g["a"], g["n"]))
 
+
+def outer_groups(text: Column) -> Column:
+    """The outermost groups in brackets or braces, of any depth; one that isn't closed goes to the end."""
+    plain = F.regexp_extract_all(text, F.lit(GROUP), F.lit(0))
+    left = F.regexp_replace(text, GROUP, "")
+    return F.when(left.rlike(r"[\[{]"), _folded_groups(text)).otherwise(plain)
+
+
+def _in_order(found: Column, target: Column) -> Column:
     def step(at: Column, group: Column) -> Column:
         hit = F.call_function("locate", group, target, at)
         return F.when((at > 0) & (hit > 0), hit + F.length(group)).otherwise(F.lit(0))
@@ -106,17 +137,19 @@ def groups_in_order(source: Column, target: Column, pattern: str) -> Column:
     return F.aggregate(found, F.lit(1), step) > 0
 
 
-#: Groups in brackets or braces, four levels deep.
-GROUP = r"[\[{][^\[\]{}]*[\]}]"
-for _ in range(3):
-    GROUP = r"[\[{](?:[^\[\]{}]|" + GROUP + r")*[\]}]"
-#: A variable of scenario scripts.
-SCENARIO_VARIABLE = r"%[A-Za-z_]\w*|&[A-Za-z_][\w.]*|\b(?:f|sf|tf|mp)\.[A-Za-z_]\w*"
+def groups_in_order(source: Column, target: Column, pattern: str) -> Column:
+    """Each match of pattern in source occurs verbatim in target, after the one before."""
+    return _in_order(F.regexp_extract_all(source, F.lit(pattern), F.lit(0)), target)
 
 
 def variables_safe(source: Column, target: Column) -> Column:
     """Each outermost group of source stands verbatim in target, in order."""
-    return groups_in_order(source, target, GROUP)
+    return _in_order(outer_groups(source), target)
+
+
+def scenario_variables_safe(source: Column, target: Column) -> Column:
+    """The same of a scenario's variables."""
+    return groups_in_order(source, target, SCENARIO_VARIABLE)
 
 
 def fix_escape(source: Column, target: Column) -> Column:

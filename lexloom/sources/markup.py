@@ -9,7 +9,7 @@ from lexloom.functions import text as X
 
 #: What isn't text of a page, and a tag of a scenario line (quotes may hold a closing bracket).
 NO_TEXT = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
-SCENARIO_TAG = r"""\[(?:[^\]"']|"[^"]*"|'[^']*')*\]"""
+SCENARIO_TAG = r"""\[(?:[^\]"']++|"[^"]*+"|'[^']*+')*+\]"""
 SCRIPT_BLOCK, LONGEST_LINE = r"(?s)\[iscript\].*?(?:\[endscript\]|\z)", 4000
 #: Tags whose attribute text is shown, and an attribute's name and value.
 TEXT_TAG, ATTRIBUTE = r"^\[/?(?:link|button|ruby)(?![\w-])", r"""([A-Za-z_:][\w:.-]*)\s*=\s*("[^"]*"|'[^']*')"""
