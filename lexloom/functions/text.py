@@ -34,8 +34,9 @@ def is_blank(text: Column) -> Column:
 
 def detect_lang(text: Column) -> Column:
     """ja, zh, ko, ru or en by the first script found in that order, codes left out; null if none."""
-    first = lambda bare: F.when(bare.rlike(KANA), "ja").when(bare.rlike(HAN), "zh").when(bare.rlike(HANGUL), "ko").when(bare.rlike(CYRILLIC), "ru").when(bare.rlike(LATIN), "en")
-    return once(F.regexp_replace(text, CODES, ""), first)
+    # Few texts hold a code, so taking codes out again for each test costs less than a function that keeps the result.
+    bare = F.when(text.contains("\\") | text.contains("%"), F.regexp_replace(text, CODES, "")).otherwise(text)
+    return F.when(bare.rlike(KANA), "ja").when(bare.rlike(HAN), "zh").when(bare.rlike(HANGUL), "ko").when(bare.rlike(CYRILLIC), "ru").when(bare.rlike(LATIN), "en")
 
 
 def resolve_source(text: Column, declared: str, target: str) -> Column:

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexloom.functions import text as X
 
 ENTRY = ["id", "file", "json_path", "context", "original", "translation", "status"]
+#: Bytes of terms that may go to every task.
+TERM_BYTES = 4 << 20
 #: View modes, in the order of their numbers.
 VIEWS = ("new", "all", "untranslated", "draft", "done", "skip")
 
@@ -111,9 +119,16 @@ def holders(entries: DataFrame, target: str, declared: str = "auto") -> DataFram
     return rows.groupBy("lang", "original").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
 
 
+def memory_texts(memory: DataFrame, target: str) -> DataFrame:
+    """original, lang, text of a translation memory; of a key that is there several times the last (by ord, if there is one, else by text) counts."""
+    own = memory.where((F.col("tgt_lang") == target) & (F.col("target") != ""))
+    order = F.struct("ord", "target") if "ord" in memory.columns else F.col("target")
+    return own.groupBy(F.col("source").alias("original"), F.col("src_lang").alias("lang")).agg(F.max_by("target", order).alias("text"))
+
+
 def tm_lookup(entries: DataFrame, memory: DataFrame, source: str, target: str) -> DataFrame:
     """entries with tm_target, the translation memory's text for them (null: none)."""
-    own = memory.where((F.col("src_lang") == source) & (F.col("tgt_lang") == target)).select(F.col("source").alias("original"), F.col("target").alias("tm_target"))
+    own = memory_texts(memory, target).where(F.col("lang") == source).select("original", F.col("text").alias("tm_target"))
     return entries.join(own, "original", "left")
 
 
@@ -154,18 +169,49 @@ def term_sample(entries: DataFrame, chars: int = 12_000, most: int = 80, longest
 
 
 def glossary_matches(rows: DataFrame, terms: DataFrame, key: str, text: str, gram: int = 4) -> DataFrame:
-    """key, term for every term within the text, by an equi-join on the term's first characters and a check of what it brings; no cross join.
+    """key, term for every term within the text, once for each row; no cross join.
 
-    Only beginnings as long as some term's are looked up (their lengths, gram at most, come to the driver).
+    Terms of up to TERM_BYTES together go to all tasks, and one automaton of them reads each text once. Beyond that an equi-join on
+    the terms' first characters finds candidates, by key alone, and the text is joined back to check what it brings; keys are unique then.
     """
-    keyed = terms.select("term", F.substring("term", 1, gram).alias("g")).where(F.col("term") != "").distinct()
+    keyed = terms.select("term").where(F.col("term") != "").distinct()
+    if (keyed.agg(F.sum(F.octet_length("term"))).first()[0] or 0) <= TERM_BYTES:
+        return _automaton_matches(rows.select(key, text), [r["term"] for r in keyed.collect()])
+    keyed = keyed.withColumn("g", F.substring("term", 1, gram))
     lengths = sorted(r["n"] for r in keyed.select(F.length("g").alias("n")).distinct().collect())
     t = F.col(text)
     # One pass over the text; a substring would cost as much as its place each time.
     cut = lambda n: F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
     none = F.array().cast("array<string>")
-    grams = rows.select(key, text, F.explode(F.array_distinct(F.concat(none, *[cut(n) for n in lengths]))).alias("g"))
-    return grams.join(keyed, "g").where(t.contains(F.col("term"))).select(key, "term")
+    begins = F.array_distinct(F.concat(none, *[cut(n) for n in lengths]))
+    # Only the key and a beginning are exploded, never the text.
+    near = rows.select(key, begins.alias("gs")).select(key, F.explode("gs").alias("g")).join(keyed, "g").select(key, "term")
+    return near.join(rows.select(key, text), key).where(t.contains(F.col("term"))).select(key, "term")
+
+
+@lru_cache(2)
+def _automaton(terms: tuple[str, ...]):
+    import ahocorasick
+
+    made = ahocorasick.Automaton()
+    for term in terms:
+        made.add_word(term, term)
+    made.make_automaton()
+    return made
+
+
+def _automaton_matches(rows: DataFrame, terms: list[str]) -> DataFrame:
+    key, shared = rows.schema.fields[0], rows.sparkSession.sparkContext.broadcast(tuple(sorted(terms)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = _automaton(shared.value)
+        for b in batches:
+            if len(made):
+                found = [list(dict.fromkeys(term for _, term in made.iter(t))) if t else [] for t in b.column(1).to_pylist()]
+                at = np.repeat(np.arange(len(found)), list(map(len, found)))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array([x for f in found for x in f], pa.string())], names=[key.name, "term"])
+
+    return rows.mapInArrow(run, T.StructType([key, T.StructField("term", T.StringType())]))
 
 
 def dashboard(entries: DataFrame) -> DataFrame:
