@@ -75,6 +75,28 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_LATIN, _CYRILLIC_LETTERS = "abcdefghijklmnoprstuvyz", "абцдефгхийклмнопрстуваз"
+#: Every third file is in Cyrillic letters; each document is a file of its own; every fifth line is known from before.
+_SPOKEN = f"{_ENTRIES}, s AS (SELECT * REPLACE (CASE WHEN right(file, 1) IN ('1', '4', '7') THEN translate(lower(original), '{_LATIN}', '{_CYRILLIC_LETTERS}') ELSE original END AS original) FROM e)"
+_BY_DOCUMENT = f"{_ENTRIES}, f AS (SELECT * REPLACE (file || '/' || (id >> 24) AS file) FROM e)"
+_KNOWN_LINES = "SELECT original AS source, 'm' || max(id) AS target FROM e WHERE id % 5 = 0 GROUP BY original"
+
+
+def spoken(e: DataFrame) -> DataFrame:
+    own = F.right("file", F.lit(1)).isin("1", "4", "7")
+    return e.withColumn("original", F.when(own, F.translate(F.lower("original"), _LATIN, _CYRILLIC_LETTERS)).otherwise(F.col("original")))
+
+
+def by_document(e: DataFrame) -> DataFrame:
+    return e.withColumn("file", F.concat("file", F.lit("/"), F.shiftright("id", 24)))
+
+
+def known_lines(e: DataFrame) -> DataFrame:
+    """A translation memory of lines met before."""
+    rows = e.where("id % 5 = 0").groupBy("original").agg(F.max("id").alias("ord"))
+    return rows.select(F.col("original").alias("source"), F.lit("en").alias("src_lang"), F.lit("ru").alias("tgt_lang"), F.concat(F.lit("m"), "ord").alias("target"), "ord")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["file_stats"](spark, sf_dir)
 
@@ -111,9 +133,10 @@ def entry_search(spark, d):
     return E.view(entries(spark, d), "done", "TION").select("id")
 
 
-@query("file_search_semi", f"{_ENTRIES} SELECT DISTINCT file FROM e WHERE contains(lower(file), 'src1') OR contains(lower(original), 'license') OR contains(lower(translation), 'license')")
+@query("file_search_semi", f"{_BY_DOCUMENT} SELECT DISTINCT file FROM f WHERE contains(lower(file), 'src1') OR contains(lower(original), 'license') OR contains(lower(translation), 'license')")
 def file_search_semi(spark, d):
-    return E.file_search(entries(spark, d), "src1").union(E.file_search(entries(spark, d), "license")).distinct()
+    e = by_document(entries(spark, d))
+    return E.file_search(e, "src1").union(E.file_search(e, "license")).distinct()
 
 
 @query("state_of", f"{_ENTRIES} SELECT id, CASE WHEN status = 'skip' THEN 'skip' WHEN status IN ('translated', 'corrected') THEN 'done' WHEN status = 'manual' THEN 'draft' ELSE 'empty' END AS state FROM e")
@@ -121,9 +144,15 @@ def state_of(spark, d):
     return entries(spark, d).select("id", X.state_of(F.col("status")).alias("state"))
 
 
-@query("code_token", r"SELECT page_id, NOT regexp_matches(url, '\s') AND (regexp_matches(url, '^https?://') OR regexp_matches(url, '^#[0-9a-fA-F]{3,8}$') OR (regexp_matches(url, '[\\/]') AND regexp_matches(url, '\.[A-Za-z0-9]{1,5}$'))) AS code FROM pages WHERE url <> ''")
+_TOKEN_SQL = r"SELECT page_id, CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN 'see ' || url WHEN 2 THEN 'img/' || page_id || '.png' WHEN 3 THEN '#ff00' || page_id ELSE replace(url, 'http', 'ftp') END AS t FROM pages WHERE url <> ''"
+
+
+@query("code_token", rf"SELECT page_id, NOT regexp_matches(t, '\s') AND (regexp_matches(t, '^https?://') OR regexp_matches(t, '^#[0-9a-fA-F]{{3,8}}$') OR (regexp_matches(t, '[\\/]') AND regexp_matches(t, '\.[A-Za-z0-9]{{1,5}}$'))) AS code FROM ({_TOKEN_SQL})")
 def code_token(spark, d):
-    return table(spark, d, "pages").where("url <> ''").select("page_id", X.is_code_token(F.col("url")).alias("code"))
+    """Addresses, the same within words, paths, colours and what looks like none of them."""
+    k = F.col("page_id") % 5
+    t = F.when(k == 0, F.col("url")).when(k == 1, F.concat(F.lit("see "), "url")).when(k == 2, F.concat(F.lit("img/"), "page_id", F.lit(".png"))).when(k == 3, F.concat(F.lit("#ff00"), "page_id")).otherwise(F.replace("url", F.lit("http"), F.lit("ftp")))
+    return table(spark, d, "pages").where("url <> ''").select("page_id", X.is_code_token(t).alias("code"))
 
 
 @query("script_fit", f"{_ENTRIES} SELECT id, CASE WHEN length(regexp_replace(original, '[^\\p{{L}}]', '', 'g')) = 0 THEN 1.0 ELSE CAST(length(regexp_replace(original, '[^A-Za-z]', '', 'g')) AS DOUBLE) / length(regexp_replace(original, '[^\\p{{L}}]', '', 'g')) END AS fit FROM e")
@@ -167,14 +196,14 @@ def file_stats(spark, d):
     return E.file_stats(entries(spark, d))
 
 
-@query("completed_files", f"{_ENTRIES} SELECT count(*) FILTER (a) AS completed, count(*) AS files FROM (SELECT file, bool_and(NOT {_blank('translation')} AND status <> 'skip') AS a FROM e GROUP BY file)")
+@query("completed_files", f"{_BY_DOCUMENT} SELECT count(*) FILTER (a) AS completed, count(*) AS files FROM (SELECT file, bool_and(NOT {_blank('translation')} AND status <> 'skip') AS a FROM f GROUP BY file)")
 def completed_files(spark, d):
-    return E.completed_files(entries(spark, d))
+    return E.completed_files(by_document(entries(spark, d)))
 
 
-@query("file_is_target_lang", f"{_ENTRIES} SELECT file, coalesce(bool_and(lang = 'en'), false) AS is_target FROM (SELECT file, {_lang('original')} AS lang, row_number() OVER (PARTITION BY file ORDER BY id) AS r FROM e) WHERE r <= 40 GROUP BY file")
+@query("file_is_target_lang", f"{_SPOKEN} SELECT file, coalesce(bool_and(lang = 'en'), false) AS is_target FROM (SELECT file, {_lang('original')} AS lang, row_number() OVER (PARTITION BY file ORDER BY id) AS r FROM s) WHERE r <= 40 GROUP BY file")
 def file_is_target_lang(spark, d):
-    return E.target_language_files(entries(spark, d), "en")
+    return E.target_language_files(spoken(entries(spark, d)), "en")
 
 
 @query("overlay_dict", f"{_ENTRIES} SELECT original, max_by(translation, id) AS translation FROM e WHERE NOT {_blank('translation')} AND status <> 'skip' GROUP BY original")
@@ -224,9 +253,10 @@ def tm_upsert(spark, d):
     return memory(spark, d)
 
 
-@query("tm_lookup", f"{_ENTRIES}, tm AS ({_TM}) SELECT id, original, target AS tm_target FROM e LEFT JOIN tm ON tm.source = original")
+@query("tm_lookup", f"{_ENTRIES}, tm AS ({_KNOWN_LINES}) SELECT id, original, target AS tm_target FROM e LEFT JOIN tm ON tm.source = original")
 def tm_lookup(spark, d):
-    return E.tm_lookup(entries(spark, d).select("id", "original"), memory(spark, d), "en", "ru")
+    e = entries(spark, d)
+    return E.tm_lookup(e.select("id", "original"), known_lines(e), "en", "ru")
 
 
 @query("glossary_match", "SELECT DISTINCT p_partkey, term FROM part, (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS term FROM part) WHERE contains(p_name, term) AND term <> ''")

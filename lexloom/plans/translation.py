@@ -9,7 +9,7 @@ from lexloom.functions import text as X
 from lexloom.operators import entries as E
 from lexloom.operators import game_state as G
 from lexloom.operators import translate as T
-from lexloom.plans.catalog import _ENTRIES, _SP, _blank, _lang, entries, query, table
+from lexloom.plans.catalog import _ENTRIES, _KNOWN_LINES, _SP, _SPOKEN, _blank, _lang, entries, known_lines, query, spoken, table
 from lexloom.sources import game_files, game_json
 
 _strip = lambda x: f"regexp_replace({x}, '^{_SP}+|{_SP}+$', '', 'g')"
@@ -40,18 +40,22 @@ def tokens_valid(spark, d):
     return m.select("id", valid(masked).alias("whole"), valid(F.replace(masked, F.lit("<x0/>"), F.lit(""))).alias("lost"), valid(F.concat(masked, F.lit("<x0/>"))).alias("twice"))
 
 
-@query("token_guard", f"{_ENTRIES} SELECT id, '<x1/>' || lower(original) || '<x0/>' AS kept, '<x0/>' || original || '<x1/>' AS guarded FROM e")
+@query("token_guard", f"{_ENTRIES} SELECT id, CASE WHEN id % 3 = 0 THEN '<x1/>' || original || '<x0/>' ELSE CASE id % 3 WHEN 1 THEN '<x1/>' ELSE '</x1 >' END || lower(original) || '<x0/>' END AS guarded FROM e")
 def token_guard(spark, d):
-    source = lambda a, b: F.concat(F.lit(a), "original", F.lit(b))
-    low = F.concat(F.lit("<x1/>"), F.lower("original"), F.lit("<x0/>"))
-    return entries(spark, d).select("id", X.guard_tokens(source("<x1/>", "<x0/>"), low).alias("kept"), X.guard_tokens(source("<x0/>", "<x1/>"), low).alias("guarded"))
+    """Of targets with the tokens swapped, the same, and the same in another form."""
+    k, low = F.col("id") % 3, F.lower("original")
+    target = F.when(k == 0, F.concat(F.lit("<x0/>"), low, F.lit("<x1/>"))).when(k == 1, F.concat(F.lit("<x1/>"), low, F.lit("<x0/>"))).otherwise(F.concat(F.lit("</x1 >"), low, F.lit("<x0/>")))
+    return entries(spark, d).select("id", X.guard_tokens(F.concat(F.lit("<x1/>"), "original", F.lit("<x0/>")), target).alias("guarded"))
 
 
-@query("var_safe", f"{_ENTRIES} SELECT id, true AS kept, false AS swapped, false AS changed FROM e")
+@query("var_safe", f"{_ENTRIES} SELECT id, id % 4 IN (0, 3) AS safe FROM e WHERE NOT regexp_matches(original, '[\\[\\]{{}}]')")
 def var_safe(spark, d):
-    s = F.concat(F.lit("[f(x['t'])] "), "original", F.lit(" {a}"))
-    swapped, changed = F.concat(F.lit("{a} "), "original", F.lit(" [f(x['t'])]")), F.concat(F.lit("[f(x ['t'])] "), "original", F.lit(" {a}"))
-    return entries(spark, d).select("id", X.variables_safe(s, F.concat(F.lit("> "), s)).alias("kept"), X.variables_safe(s, swapped).alias("swapped"), X.variables_safe(s, changed).alias("changed"))
+    """Groups kept, swapped, changed, and kept within others."""
+    e, k = entries(spark, d).where(~F.col("original").rlike(r"[\[\]{}]")), F.col("id") % 4
+    deep = "[1[2[3[4[5[6]]]]]]"
+    source = F.concat(F.lit("[f(x['t'])] "), "original", F.lit(f" {{a}} {deep}"))
+    target = F.when(k == 0, F.concat(F.lit("> "), source)).when(k == 1, F.concat(F.lit("{a} "), "original", F.lit(f" [f(x['t'])] {deep}"))).when(k == 2, F.replace(source, F.lit("6]"), F.lit("7]"))).otherwise(F.concat(F.lit("[f(x['t'])] {"), source, F.lit("}")))
+    return e.select("id", X.variables_safe(source, target).alias("safe"))
 
 
 _FIRST = "(original[1])"
@@ -64,9 +68,9 @@ def single_letter(spark, d):
     return rows.select("id", "t", X.is_single_letter(F.col("t")).alias("single"))
 
 
-@query("resolve_src", f"{_ENTRIES} SELECT id, CASE WHEN {_lang('original')} IS DISTINCT FROM 'en' THEN coalesce({_lang('original')}, 'ja') END AS lang FROM e")
+@query("resolve_src", f"{_SPOKEN} SELECT id, CASE WHEN {_lang('original')} IS DISTINCT FROM 'en' THEN coalesce({_lang('original')}, 'ja') END AS lang FROM s")
 def resolve_src(spark, d):
-    return entries(spark, d).select("id", X.resolve_source(F.col("original"), "ja", "en").alias("lang"))
+    return spoken(entries(spark, d)).select("id", X.resolve_source(F.col("original"), "ja", "en").alias("lang"))
 
 
 @query("fix_escape", rf"{_ENTRIES} SELECT id, '\C ' || original AS fixed, '\\C ' || original AS kept FROM e")
@@ -81,12 +85,13 @@ def fix_codes(spark, d):
     return entries(spark, d).select("id", C.fix_codes(s, t).alias("fixed"))
 
 
-@query("fix_numbers", f"{_ENTRIES} SELECT id, '② [3] ' || lower(original) AS circled, '-5 ' || lower(original) AS signed FROM e")
+@query("fix_numbers", f"{_ENTRIES} SELECT id, CASE id % 3 WHEN 0 THEN '② [3] ' WHEN 1 THEN '2 [3] ' ELSE '[3] ② 9 ' END || lower(original) AS circled, CASE id % 3 WHEN 0 THEN '-5 ' WHEN 1 THEN '5 7 ' ELSE '6 ' END || lower(original) AS signed FROM e WHERE NOT regexp_matches(original, '[0-9①-⑳\\[\\]{{}}]')")
 def fix_numbers(spark, d):
-    line, low = "original", F.lower("original")
-    circled = C.fix_circled(F.concat(F.lit("② "), line), F.concat(F.lit("2 [3] "), low))
-    signed = C.fix_signs(F.concat(F.lit("-5 "), line), F.concat(F.lit("5 "), low))
-    return entries(spark, d).select("id", circled.alias("circled"), signed.alias("signed"))
+    """A circled number lost, none in the source, one after a group; a lost sign, another count of numbers, another number."""
+    e, k, low = entries(spark, d).where(~F.col("original").rlike(r"[0-9①-⑳\[\]{}]")), F.col("id") % 3, F.lower("original")
+    circled = C.fix_circled(F.concat(F.when(k == 1, "2 ").otherwise("② "), "original"), F.concat(F.when(k == 2, "[3] 2 9 ").otherwise("2 [3] "), low))
+    signed = C.fix_signs(F.concat(F.lit("-5 "), "original"), F.concat(F.when(k == 0, "5 ").when(k == 1, "5 7 ").otherwise("6 "), low))
+    return e.select("id", circled.alias("circled"), signed.alias("signed"))
 
 
 @query("fix_punctuation", rf"{_ENTRIES} SELECT id, regexp_replace(replace(replace(original, '. ', '.'), ', ', ','), '([.,])([^{_q(C.NO_GAP)}])', '\1 \2', 'g') AS fixed FROM e")
@@ -117,10 +122,16 @@ def suspicious(spark, d):
     return rows.select("id", (X.suspicious(t, "xx", F.lit(-2.0)) & (F.length(t) > 6)).alias("low"), "odd")
 
 
-@query("js_text_candidate", r"SELECT page_id, length(url) BETWEEN 2 AND 400 AND regexp_matches(url, '\p{L}') AND regexp_matches(url, '\s') AND NOT regexp_matches(url, '[\\/]') AS slashes, length(u) BETWEEN 2 AND 400 AND regexp_matches(u, '\p{L}') AND regexp_matches(u, '\s') AND NOT regexp_matches(u, '^(http|www\.|[=:<])') AS words FROM (SELECT *, replace(url, '/', ' ') AS u FROM pages)")
+_JS = r"length({0}) BETWEEN 2 AND 400 AND regexp_matches({0}, '\p{{L}}') AND (regexp_matches({0}, '[\x{{3040}}-\x{{30ff}}\x{{4e00}}-\x{{9fff}}\x{{ac00}}-\x{{d7af}}]') OR (regexp_matches({0}, '\s') AND NOT regexp_matches({0}, '[\\/]') AND NOT regexp_matches({0}, '^(http|www\.|[=:<])')))"
+_JS_FORM = "(CASE id % 4 WHEN 0 THEN original WHEN 1 THEN replace(original, ' ', '/') WHEN 2 THEN '=' || original ELSE 'ツ' || replace(original, ' ', '/') END)"
+
+
+@query("js_text_candidate", f"{_ENTRIES} SELECT id, {_JS.format('original')} AS line_is, {_JS.format(_JS_FORM)} AS form_is FROM e")
 def js_text_candidate(spark, d):
-    rows = table(spark, d, "pages")
-    return rows.select("page_id", game_json.js_text(F.col("url")).alias("slashes"), game_json.js_text(F.replace("url", F.lit("/"), F.lit(" "))).alias("words"))
+    """Of lines, and of lines in turn as they are, as paths, as expressions and as paths with a kana."""
+    k, slashed = F.col("id") % 4, F.replace("original", F.lit(" "), F.lit("/"))
+    form = F.when(k == 0, F.col("original")).when(k == 1, slashed).when(k == 2, F.concat(F.lit("="), "original")).otherwise(F.concat(F.lit("ツ"), slashed))
+    return entries(spark, d).select("id", game_json.js_text(F.col("original")).alias("line_is"), game_json.js_text(form).alias("form_is"))
 
 
 def term_table(spark, d):
@@ -191,23 +202,23 @@ def term_filter(spark, d):
 
 
 def coded_entries(spark, d):
-    return entries(spark, d).withColumn("original", F.concat(F.lit(r"\C[8]"), "original", F.lit(" [name] %1")))
+    """Lines with codes around them, and every seventh a path."""
+    line = F.concat(F.lit(r"\C[8]"), "original", F.lit(" [name] %1"))
+    return entries(spark, d).withColumn("original", F.when(F.col("id") % 7 == 0, F.concat(F.lit("img/a"), "id", F.lit(".png"))).otherwise(line))
 
 
-_CODED_ENTRIES = _ENTRIES + r", x AS (SELECT id, file, json_path, context, '\C[8]' || original || ' [name] %1' AS original, translation, status FROM e)"
+_CODED_ENTRIES = _ENTRIES + r", x AS (SELECT id, file, json_path, context, CASE WHEN id % 7 = 0 THEN 'img/a' || id || '.png' ELSE '\C[8]' || original || ' [name] %1' END AS original, translation, status FROM e)"
 
 
 @query(
     "translate_pipeline",
-    rf"{_CODED_ENTRIES}, tm AS (SELECT '\C[8]' || text || ' [name] %1' AS source, 'b' || max(item_id) AS target FROM benchmark WHERE text IS NOT NULL GROUP BY text), y AS (SELECT x.*, {_blank('translation')} AND status <> 'skip' AS mine, coalesce(target, '\C[8]~' || substr(original, 6)) AS new FROM x LEFT JOIN tm ON source = original) "
+    rf"{_CODED_ENTRIES}, tm AS ({_KNOWN_LINES.replace('FROM e', 'FROM x')}), y AS (SELECT x.*, {_blank('translation')} AND status <> 'skip' AS mine, CASE WHEN target IS NOT NULL THEN target WHEN id % 7 = 0 THEN original ELSE '\C[8]~' || substr(original, 6) END AS new FROM x LEFT JOIN tm ON source = original) "
     "SELECT id, file, json_path, context, original, CASE WHEN mine THEN new ELSE translation END AS translation, CASE WHEN mine THEN 'translated' ELSE status END AS status FROM y",
 )
 def translate_pipeline(spark, d):
-    """The engine sets a mark before each text; codes at the edges, masks and the translation memory stand in its way."""
-    coded = lambda c: F.concat(F.lit(r"\C[8]"), c, F.lit(" [name] %1"))
-    b = table(spark, d, "benchmark").where("text IS NOT NULL").select(coded("text").alias("source"), F.lit("en").alias("src_lang"), F.lit("ru").alias("tgt_lang"), F.concat(F.lit("b"), "item_id").alias("target"), F.col("item_id").alias("ord"))
-    memory = E.tm_upsert(b.where("1 = 0").drop("ord"), b)
-    return T.translate_entries(coded_entries(spark, d), "ru", lambda t: F.concat(F.lit("~"), t), memory=memory)
+    """The engine sets a mark before each text; codes at the edges, masks, paths and the translation memory stand in its way."""
+    e = coded_entries(spark, d)
+    return T.translate_entries(e, "ru", lambda t: F.concat(F.lit("~"), t), memory=known_lines(e))
 
 
 @query("translate_names", "SELECT p_partkey, '<' || upper(split_part(p_name, ' ', 1)) || '> <' || upper(split_part(p_name, ' ', 2)) || '>' AS name FROM part")
@@ -236,14 +247,17 @@ def dashboard_stats(spark, d):
     return E.dashboard(entries(spark, d))
 
 
-@query("worker_counters", f"{_ENTRIES} SELECT count(*) FILTER (status = 'translated') AS translated, count(*) FILTER (status = 'skip' AND {_blank('translation')}) AS skipped FROM e")
+_HALF_DONE = f"{_ENTRIES}, h AS (SELECT * REPLACE (CASE WHEN id % 2 = 0 THEN '' ELSE translation END AS translation) FROM e)"
+
+
+@query("worker_counters", f"{_HALF_DONE} SELECT count(*) FILTER (status = 'translated') AS translated, count(*) FILTER (status = 'skip' AND {_blank('translation')}) AS skipped FROM h")
 def worker_counters(spark, d):
-    return E.worker_counters(entries(spark, d))
+    return E.worker_counters(entries(spark, d).withColumn("translation", F.when(F.col("id") % 2 == 0, "").otherwise(F.col("translation"))))
 
 
-@query("file_order", f"{_ENTRIES}, l AS (SELECT file, {_lang('original')} AS lang, row_number() OVER (PARTITION BY file ORDER BY id) AS r FROM e), t AS (SELECT file, coalesce(bool_and(lang = 'en') FILTER (r <= 40), false) AS is_target FROM l GROUP BY file) SELECT file, CAST(row_number() OVER (ORDER BY is_target, file) AS INTEGER) AS place FROM t")
+@query("file_order", f"{_SPOKEN}, l AS (SELECT file, {_lang('original')} AS lang, row_number() OVER (PARTITION BY file ORDER BY id) AS r FROM s), t AS (SELECT file, coalesce(bool_and(lang = 'en') FILTER (r <= 40), false) AS is_target FROM l GROUP BY file) SELECT file, CAST(row_number() OVER (ORDER BY is_target, file) AS INTEGER) AS place FROM t")
 def file_order(spark, d):
-    return E.file_order(entries(spark, d), "en")
+    return E.file_order(spoken(entries(spark, d)), "en")
 
 
 @query("table_page", f"{_ENTRIES} SELECT id, original FROM e ORDER BY id LIMIT 10000")
@@ -262,10 +276,10 @@ def dedup_holder_rows(spark, d):
     return E.holder_rows(entries(spark, d), "ru")
 
 
-@query("plugin_key_anti", f"{_ENTRIES} SELECT id, original FROM e WHERE original NOT IN (SELECT text FROM benchmark WHERE text IS NOT NULL)")
+@query("plugin_key_anti", f"{_ENTRIES}, k AS ({_KNOWN_LINES}) SELECT id, original FROM e WHERE original NOT IN (SELECT source FROM k)")
 def plugin_key_anti(spark, d):
-    known = table(spark, d, "benchmark").where("text IS NOT NULL").select(F.col("text").alias("original"))
-    return E.not_among(entries(spark, d).select("id", "original"), known, "original")
+    e = entries(spark, d)
+    return E.not_among(e.select("id", "original"), known_lines(e).select(F.col("source").alias("original")), "original")
 
 
 @query("status_cycle", f"{_ENTRIES} SELECT id, CASE status WHEN 'skip' THEN 'empty' WHEN 'translated' THEN 'empty' WHEN 'corrected' THEN 'empty' WHEN 'manual' THEN 'done' ELSE 'draft' END AS state FROM e")
