@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from lexloom.functions import text as X
 from lexloom.operators import batches as B
 from lexloom.operators import saves
+from lexloom.operators import write_back as W
 from lexloom.plans.catalog import _ENTRIES, _SP, entries, query, table
+from lexloom.sources import game_json
 from lexloom.sources import markup as M
 from lexloom.sources import scripts as R
 from lexloom.sources import stories as S
@@ -33,13 +35,13 @@ def _wrapped(spark, d, code: str, forms) -> F.Column:
     return docs.select("doc_id", F.array_join(F.transform(lines, forms), "\n").alias("body"))
 
 
-@query(
-    "story_texts",
-    _lines_sql(_STORY_CODE)
-    + f" SELECT CAST(doc_id AS VARCHAR) AS file, line, 'passage[' || doc_id || '].line[' || line || '].seg[0]' || CASE line % 4 WHEN 1 THEN '.arg[0]' ELSE '' END AS json_path, CASE line % 4 WHEN 1 THEN x ELSE {_strip('x')} END AS original FROM x WHERE line % 4 <> 3 AND regexp_matches(x, '\\p{{L}}')",
-)
-def story_texts(spark, d):
-    """Stories of a passage of text and a passage of code; lines are plain, a link's label, a shown argument, or a hidden one."""
+_STORY_TEXT = f"CASE line % 4 WHEN 1 THEN x ELSE {_strip('x')} END"
+_STORY_ROWS = r"FROM x WHERE line % 4 <> 3 AND regexp_matches(x, '\p{L}')"
+_STORY_AT = "'passage[' || doc_id || '].line[' || line || '].seg[0]' || CASE line % 4 WHEN 1 THEN '.arg[0]' ELSE '' END"
+
+
+def _stories(spark, d):
+    """file, html: stories of a passage of text and a passage of code; lines are plain, a link's label, a shown argument, or a hidden one."""
 
     def form(x, i):
         kind = i % 4
@@ -48,8 +50,39 @@ def story_texts(spark, d):
 
     docs = _wrapped(spark, d, _STORY_CODE, form)
     part = lambda name: F.concat(F.lit('<tw-passagedata pid="'), "doc_id", F.lit(f'" name="{name}" tags="">'), "body", F.lit("</tw-passagedata>"))
-    stories = docs.select(F.col("doc_id").cast("string").alias("file"), F.concat(F.lit('<tw-storydata format="SugarCube">'), part("Text"), part("StoryInit")).alias("html"))
-    return S.story_entries(stories).select("file", "line", "json_path", "original")
+    return docs.select(F.col("doc_id").cast("string").alias("file"), F.concat(F.lit('<tw-storydata format="SugarCube">'), part("Text"), part("StoryInit")).alias("html"))
+
+
+@query("story_texts", _lines_sql(_STORY_CODE) + f" SELECT CAST(doc_id AS VARCHAR) AS file, line, {_STORY_AT} AS json_path, {_STORY_TEXT} AS original {_STORY_ROWS}")
+def story_texts(spark, d):
+    return S.story_entries(_stories(spark, d)).select("file", "line", "json_path", "original")
+
+
+def _shifted() -> F.Column:
+    """Every third file has changed since its texts were taken out."""
+    return F.col("file").cast("long") % 3 == 0
+
+
+@query("story_round_trip", _lines_sql(_STORY_CODE) + f" SELECT CAST(doc_id AS VARCHAR) AS file, {_STORY_AT} AS json_path, CASE WHEN doc_id % 3 = 0 THEN '' ELSE '~' END || {_STORY_TEXT} AS original {_STORY_ROWS}")
+def story_round_trip(spark, d):
+    """What is extracted after all texts were written back with a mark before them; texts that aren't as they were stay."""
+    files = _stories(spark, d)
+    found = S.story_entries(files).select("file", "json_path", "original", F.concat(F.lit("~"), "original").alias("translation"))
+    edits = found.withColumn("original", F.when(_shifted(), F.concat("original", F.lit("!"))).otherwise(F.col("original")))
+    out = W.patched(files.withColumnRenamed("html", "body"), edits, W.change_story)
+    return S.story_entries(out.select("file", F.col("body").cast("string").alias("html"))).select("file", "json_path", "original")
+
+
+@query("json_round_trip", f"{_ENTRIES} SELECT CAST(id >> 24 AS VARCHAR) AS file, '[' || (id & 16777215) || '].name' AS json_path, CASE WHEN (id >> 24) % 3 = 0 THEN '' ELSE '~' END || original AS original FROM e")
+def json_round_trip(spark, d):
+    """The same of JSON files, a document each, a record for each line."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    records = F.to_json(F.transform(F.split("text", "\n"), lambda x: F.struct(F.length(x).alias("id"), x.alias("name"), F.lit("n").alias("note"))))
+    files = docs.select(F.col("doc_id").cast("string").alias("file"), records.alias("body"))
+    found = game_json.record_fields(files, ["name"]).withColumn("translation", F.concat(F.lit("~"), "original"))
+    edits = found.withColumn("original", F.when(_shifted(), F.concat("original", F.lit("!"))).otherwise(F.col("original")))
+    out = W.patched(files, edits, W.change_json)
+    return game_json.record_fields(out.select("file", F.col("body").cast("string").alias("body")), ["name"]).select("file", "json_path", "original")
 
 
 _LITERAL = rf"""(length({{0}}) BETWEEN 2 AND 4000 AND regexp_matches({{0}}, '\p{{{{L}}}}') AND NOT contains({{0}}, '://') AND NOT starts_with({{0}}, 'file:')
