@@ -75,7 +75,9 @@ def test_story_round_trip(spark, kind):
     text = bytes(r["body"]).decode()
     assert r["applied"] == r["edits"] == found.count()
     again = S.story_entries(spark.createDataFrame([("s.html", text)], "file string, html string"))
-    assert sorted(x["original"] for x in again.collect()) == sorted("RU:" + x["original"] for x in found.collect())
+    # A hook's bracket begins a segment of its own.
+    want = [t for x in found.collect() for t in (["RU:", x["original"]] if x["original"].startswith("[") and kind == "Harlowe" else ["RU:" + x["original"]])]
+    assert sorted(x["original"] for x in again.collect()) == sorted(want)
     assert '&lt;&lt;link "RU:Open door" "DoorPassage"&gt;&gt;' in text and '&lt;&lt;goto "Begin"&gt;&gt;' in text
     assert "[[RU:Enter the cave|cave2]] [[Home&lt;-RU:Go home]]" in text and "RU:Shop &amp; more:" in text and "not text" in text
     assert ("(if: $x &gt; 3)RU:[Too many.]" if kind == "Harlowe" else "&gt; 3)[Too many.]") in text
