@@ -302,10 +302,10 @@ def snapshot_diff(spark, d):
     return S.changes(table(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"], "value").select("user_id", "event_type", "event_id", "previous", "value")
 
 
-_HALF = "(SELECT user_id, event_type, max_by(value, {{'t': ts, 'e': event_id}}) AS value FROM events WHERE event_id % 2 = {0} GROUP BY ALL)"
+_HALF = "(SELECT user_id, event_type, max_by(CAST(floor(value / 20) AS BIGINT), {{'t': ts, 'e': event_id}}) AS value FROM events WHERE event_id % 2 = {0} GROUP BY ALL)"
 for _mode, _op in {"changed": "<>", "unchanged": "=", "increased": ">", "decreased": "<"}.items():
     query(f"value_scan_{_mode}", f"SELECT c.user_id, c.event_type, p.value AS was, c.value FROM {_HALF.format(0)} p JOIN {_HALF.format(1)} c USING (user_id, event_type) WHERE c.value {_op} p.value")(
-        lambda spark, d, mode=_mode: S.value_scan(*[S.latest(table(spark, d, "events").where(f"event_id % 2 = {k}"), ["user_id", "event_type"], ["ts", "event_id"], "value") for k in (0, 1)], ["user_id", "event_type"], "value", mode).select("user_id", "event_type", "was", "value")
+        lambda spark, d, mode=_mode: S.value_scan(*[S.latest(table(spark, d, "events").where(f"event_id % 2 = {k}").withColumn("value", F.floor(F.col("value") / 20)), ["user_id", "event_type"], ["ts", "event_id"], "value") for k in (0, 1)], ["user_id", "event_type"], "value", mode).select("user_id", "event_type", "was", "value")
     )
 
 

@@ -12,8 +12,11 @@ from lexloom.operators import batches as B
 from lexloom.operators import saves
 from lexloom.operators import write_back as W
 from lexloom.plans.catalog import _ENTRIES, _SP, entries, query, table
+from lexloom.plans.translation import _JS
 from lexloom.sources import game_json
 from lexloom.sources import markup as M
+from lexloom.sources import plugins as J
+from lexloom.sources import save_files as L
 from lexloom.sources import scripts as R
 from lexloom.sources import stories as S
 
@@ -204,3 +207,34 @@ def html_text(spark, d):
     """The texts of pages with their entities resolved."""
     out = M.html_segments(table(spark, d, "pages"))
     return out.select("page_id", "seg", S.unescape_html(F.col("original")).alias("text"))
+
+
+_BEGINS = " OR ".join(f"starts_with(lower(ltrim(x)), '{w}')" for w in J.CODE_BEGINS)
+_VALUES = ", ".join(f"'{v}'" for v in J.VALUES)
+
+
+@query(
+    "plugin_texts",
+    _lines_sql(_SCRIPT_CODE)
+    + f""", k AS (SELECT doc_id, trim(x) AS key FROM x WHERE line = 0), t AS (
+  SELECT x.doc_id, line, x FROM x JOIN k ON k.doc_id = x.doc_id
+  WHERE line % 2 = 0 AND x.doc_id % 4 <> 0 AND trim(x) <> key AND {_JS.format('x')} AND lower(trim(x)) NOT IN ({_VALUES}) AND NOT ({_BEGINS})
+) SELECT 'js/plugins/p' || doc_id || '.js' AS file, '#plugin:' || (row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1) AS json_path, 'plugin p' || doc_id AS context, x AS original FROM t""",
+)
+def plugin_texts(spark, d):
+    """Plugins whose lines are literals and comments in turn; the first line is the name of a parameter, and every fourth plugin is off."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    lines = F.split(F.regexp_replace("text", _SCRIPT_CODE, " "), "\n")
+    form = lambda x, i: F.concat(F.when(i % 2 == 0, 'show("').otherwise('// "'), x, F.lit('");'))
+    name = F.concat(F.lit("p"), "doc_id")
+    files = docs.select(F.concat(F.lit("js/plugins/"), name, F.lit(".js")).alias("file"), F.array_join(F.transform(lines, form), "\n").alias("body"))
+    plugin = F.struct(F.concat(name, F.lit(".js")).alias("name"), (F.col("doc_id") % 4 != 0).alias("status"), F.create_map(F.trim(F.get(lines, F.lit(0))), F.lit("1")).alias("parameters"))
+    lists = docs.select(F.concat(F.lit("var $plugins =\n"), F.to_json(F.array(plugin)), F.lit(";")).alias("body"))
+    return J.plugin_texts(files, J.enabled_plugins(lists))
+
+
+@query("save_codec", "SELECT doc_id, md5(text) AS text_md5, true AS shorter FROM documents WHERE text IS NOT NULL AND length(text) > 2000")
+def save_codec(spark, d):
+    """Texts packed as saved games are, and unpacked."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL AND length(text) > 2000").select("doc_id", "text", L.lz_pack(F.col("text")).alias("packed"))
+    return docs.select("doc_id", F.md5(L.lz_unpack(F.col("packed"))).alias("text_md5"), (F.length("packed") < 2 * F.octet_length("text")).alias("shorter"))
