@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as X
 from lexloom.operators import batches as B
+from lexloom.operators import offline as O
 from lexloom.operators import saves
 from lexloom.operators import write_back as W
 from lexloom.plans.catalog import _ENTRIES, _SP, entries, query, table
@@ -238,3 +239,31 @@ def save_codec(spark, d):
     """Texts packed as saved games are, and unpacked."""
     docs = table(spark, d, "documents").where("text IS NOT NULL AND length(text) > 2000").select("doc_id", "text", L.lz_pack(F.col("text")).alias("packed"))
     return docs.select("doc_id", F.md5(L.lz_unpack(F.col("packed"))).alias("text_md5"), (F.length("packed") < 2 * F.octet_length("text")).alias("shorter"))
+
+
+_CLOSED = "[\"''»”’)\\]}]"
+_CUT = rf"regexp_replace(regexp_replace(original, '([.!?…]{_CLOSED}?)(\s)', '\1' || chr(1) || '\2', 'g'), '((?i:^|\s)(?i:{O._SHORT})\.)' || chr(1), '\1', 'g')"
+
+
+@query("sentences", rf"{_ENTRIES}, c AS (SELECT id, list_filter(string_split({_CUT}, chr(1)), lambda s: s <> '') AS l FROM e) SELECT id, len(l) AS n, md5(array_to_string(l, '|')) AS cut FROM c")
+def sentences(spark, d):
+    """The lines' sentences."""
+    rows = entries(spark, d).select("id", O.sentences(F.col("original"), "en").alias("l"))
+    return rows.select("id", F.size("l").cast("long").alias("n"), F.md5(F.array_join("l", "|")).alias("cut"))
+
+
+@query(
+    "transliterate",
+    f"{_ENTRIES}, w AS (SELECT id, original[1:1 + id % 4] AS w FROM e) SELECT id, CASE WHEN regexp_matches(w, '^[A-Za-z]{{1,3}}$') AND (length(w) = 1 OR NOT regexp_matches(w, '(?i)[aeiouy]') OR (length(w) = 2 AND w[1] = w[2]) OR (length(w) = 3 AND w[1] = w[2] AND w[2] = w[3])) THEN translate(w, '{O.LATIN}', '{O.CYRILLIC}') END AS word FROM w",
+)
+def transliterate(spark, d):
+    """The lines' first letters, one to four of them."""
+    word = F.substring("original", F.lit(1), (1 + F.col("id") % 4).cast("int"))
+    return entries(spark, d).select("id", O.transliterated(word, "ru").alias("word"))
+
+
+@query("offline_pipeline")
+def offline_pipeline(spark, d):
+    """Each different line with a model that sets a mark before each piece."""
+    rows = entries(spark, d).groupBy("original").agg(F.min("id").alias("id"))
+    return O.offline_translations(rows, lambda c: F.concat(F.lit("~"), c), "en", "xx", {"the": "THE"})
