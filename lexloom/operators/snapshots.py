@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MODES = ("changed", "unchanged", "increased", "decreased")
+MODES = ("equal", "changed", "unchanged", "increased", "decreased")
 
 
 def with_previous(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
@@ -17,10 +17,10 @@ def changes(rows: DataFrame, keys: list[str], order: list[str], value: str) -> D
     return with_previous(rows, keys, order, value).where(F.col("previous").isNotNull() & (F.col("previous") != F.col(value)))
 
 
-def value_scan(previous: DataFrame, current: DataFrame, keys: list[str], value: str, mode: str) -> DataFrame:
-    """Keys found in both snapshots whose value did what mode says."""
+def value_scan(previous: DataFrame, current: DataFrame, keys: list[str], value: str, mode: str, wanted: object = None) -> DataFrame:
+    """Keys found in both snapshots whose value did what mode says (equal: is the wanted one)."""
     a, b = F.col("was"), F.col(value)
-    rule = {"changed": a != b, "unchanged": a == b, "increased": b > a, "decreased": b < a}[mode]
+    rule = {"equal": b == F.lit(wanted), "changed": a != b, "unchanged": a == b, "increased": b > a, "decreased": b < a}[mode]
     return current.join(previous.select(*keys, F.col(value).alias("was")), keys).where(rule)
 
 
