@@ -11,7 +11,8 @@ pieces, and vectorised maxima store what was best:
   first in ties.
 
 The ids of a model are those of the sentencepiece library (unigram: Viterbi, BPE: merges); sp_round_trip gives the Viterbi
-path, too. Characters without a piece fall back to bytes where the model has them, else to the unknown id.
+path, too. Characters without a piece fall back to bytes where the model has them, else runs of them to the unknown id. Models that take
+out extra blanks do so here.
 
 Defined results: null is taken as empty and gives no ids. A literal space mark (U+2581) decodes to a space, as in the
 library. Very long words are merged with a heap, and their Viterbi runs over the pieces found at any place. Repeated rows and
@@ -40,6 +41,7 @@ MARK = "▁"
 #: Words longer than this go one by one; words encoded together; documents and characters in a slice; places probed together.
 LONG, TOGETHER, SLICE, SLICE_CHARS, PLACES = 48, 20_000, 512, 1_000_000, 1 << 15
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+_BLANKS = re.compile(" {2,}")
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -74,7 +76,7 @@ class Model:
     """A model file. Public field numbers: pieces 1 (text 1, score 2, type 3), trainer 2 (type 3), normaliser 3 (name 1, prefix 3, extra spaces 4)."""
 
     def __init__(self, data: bytes):
-        pieces, self.bpe, self.prefix = [], False, True
+        pieces, self.bpe, self.prefix, self.squeeze = [], False, True, True
         for field, value in _fields(data):
             if field == 1:
                 own = dict(_fields(value))
@@ -85,7 +87,7 @@ class Model:
                 own = dict(_fields(value))
                 if own.get(2):
                     raise ValueError("models with a character map aren't supported")
-                self.prefix = bool(own.get(3, 1))
+                self.prefix, self.squeeze = bool(own.get(3, 1)), bool(own.get(4, 1))
         normal = [(p, s, i) for i, (p, s, kind) in enumerate(pieces) if kind == 1]
         if any(MARK in p.lstrip(MARK) for p, _, _ in normal):
             raise ValueError("a piece crosses the start of a word")
@@ -319,7 +321,17 @@ class Codec:
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each way, the ids of all texts end to end, and each text's size."""
         mark = MARK if self.model.prefix else ""
-        return self.memo.encode([_WORDS.findall(mark + t.replace(" ", MARK)) if t else [] for t in texts])
+        if self.model.squeeze:
+            texts = [_BLANKS.sub(" ", t).strip(" ") if t else t for t in texts]
+        found = self.memo.encode([_WORDS.findall(mark + t.replace(" ", MARK)) if t else [] for t in texts])
+        return found if self.model.bytes[0] >= 0 else [self._one_unknown(*x) for x in found]
+
+    def _one_unknown(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unknown characters next to each other in a text are one id."""
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        lost = ids == self.model.unknown
+        again = np.append(False, lost[1:] & lost[:-1] & (of[1:] == of[:-1]))[: len(ids)]
+        return ids[~again], np.bincount(of[~again], minlength=len(sizes)).astype(sizes.dtype)
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
         """The texts of ids that lie end to end."""
@@ -357,6 +369,8 @@ def _lists(ids: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
 
 def sp_encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """df with the ids of text. model_path: a file that every executor has."""
+    if ids.lower() == text.lower():
+        raise ValueError("the ids need a column of their own")
     base = without_clash(df, [ids])
     schema, at = T.StructType([*base.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]), base.columns.index(text)
 

@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from lexloom.llm._chunks import ChunkMemo
 from lexloom.llm._work import new_path, written
 
-#: Ids in a sequence, sequences in a record batch, texts encoded together, bytes of text in a file.
-SEQUENCE, BATCH, SLICE, FILE_BYTES = 2048, 128, 512, 64 << 20
+#: Ids in a sequence, sequences in a record batch, texts encoded together, bytes of text in a file at most (but for a text of its own), and at least if there are tasks to spare.
+SEQUENCE, BATCH, SLICE, FILE_BYTES, LEAST_BYTES = 2048, 128, 512, 64 << 20, 1 << 20
 #: A space that something other than a word follows: there a chunk would not stand for itself.
 _UNSAFE = re.compile(r" (?:\s|\Z)|\x00")
 
@@ -155,7 +155,11 @@ _DOCS = pa.schema([("key", pa.int64()), ("at", pa.int64()), ("n", pa.int64())])
 def write_token_files(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", length: int = SEQUENCE, to: str | None = None) -> DataFrame:
     """The manifest, one row for each file in stream order: part, file, docs, n_docs, n_tokens, n_sequences. key: an integer column."""
     folder = to or new_path(df.sparkSession, "tokens")
-    rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).repartitionByRange("key").sortWithinPartitions("key", "text")
+    rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # As many files as the corpus asks for; rows of one key may go to several.
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // FILE_BYTES), min(df.sparkSession.sparkContext.defaultParallelism, size // LEAST_BYTES))
+    rows = rows.repartitionByRange(parts, "key", "text").sortWithinPartitions("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = None

@@ -93,6 +93,25 @@ def test_viterbi_path_of_the_public_pieces_is_the_best(spark):
     assert codec.decode(ids, sizes) == words
 
 
+@pytest.mark.parametrize("kind", [1, 2])
+@pytest.mark.parametrize("squeeze", [None, 0, 1])
+def test_models_without_bytes_or_that_squeeze_blanks(kind, squeeze):
+    """Hand-made model files, against the library."""
+    import sentencepiece
+
+    def field(n, payload):
+        return bytes([n << 3 | 2, len(payload)]) + payload
+
+    pieces = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), ("▁", -2, 1), ("a", -3, 1), ("b", -3.5, 1), ("ab", -4, 1), ("▁a", -4.2, 1), ("▁ab", -7, 1), ("▁▁", -8, 1)]
+    data = b"".join(field(1, field(1, p.encode()) + b"\x15" + np.float32(s).tobytes() + bytes([0x18, k])) for p, s, k in pieces)
+    data += field(2, bytes([0x18, kind])) + field(3, b"\x18\x01" + (b"" if squeeze is None else bytes([0x20, squeeze])))
+    sp = sentencepiece.SentencePieceProcessor(model_proto=data)
+    codec = sentencepiece_codec.Codec(data)
+    texts = ["ab a", " ab  a ", "   ", "xyz ab xx", "a" * 60 + "xx" * 3, "x", "", "a  x  y  b", "xaxxbx"]
+    ids, sizes = codec.encode(texts)[0]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [sp.encode(t) for t in texts]
+
+
 def test_unigram_viterbi_against_all_paths():
     pieces = {"▁": -2.0, "a": -3.0, "b": -3.5, "ab": -4.0, "▁a": -4.2, "ba": -5.0, "aba": -6.5, "▁ab": -7.0, "bb": -6.9}
 
