@@ -1,23 +1,31 @@
-"""Tables written to the folder that driver and executors share, as points to recover from."""
+"""Tables and files in the folder that driver and executors share, as points to recover from."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Used only by a local session that names no checkpoint folder, as in tests.
 LOCAL_DEFAULT = "/tmp/lexloom-checkpoints"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet under spark.checkpoint.dir and reads it again; what is numbered or random in it stays as it is."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir; where it is unset, a folder of our own, which only a local session may have."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = LOCAL_DEFAULT
-    path = f"{folder.rstrip('/')}/lexloom/{name}-{uuid.uuid4().hex}"
+        found = LOCAL_DEFAULT
+    return found.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/lexloom/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cuts the lineage: writes df as Parquet to the shared folder and reads it again; what is numbered or random in it stays as it is."""
+    path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
