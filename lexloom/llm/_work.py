@@ -1,35 +1,12 @@
-"""Written intermediate tables in the folder that driver and executors share."""
+"""Written intermediate tables, and names of columns that don't clash."""
 
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from lexloom.functions.shared import LOCAL_DEFAULT, new_path, shared_dir, stored as written
 
-#: Used only by a local session that names no checkpoint folder, as in tests.
-LOCAL_DEFAULT = "/tmp/lexloom-checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset, a folder of our own, which only a local session may have."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = LOCAL_DEFAULT
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lexloom/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet to the shared folder and reads it again."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["LOCAL_DEFAULT", "free_name", "new_path", "shared_dir", "without_clash", "written"]
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -8,7 +8,7 @@ arithmetic and read without a copy from a memory map. A second small stream file
 Files carry names of their own for each attempt; only the manifest, written after the tasks ended, says which count, so a
 repeated task or a lost executor leaves at most an unused file. Files go to any file system that pyarrow opens by URI.
 
-Defined results: a null or empty text is the end id alone. Rows with equal keys follow each other, in order of text; null
+Defined results: a null or empty text is the end id alone. Rows with equal keys follow each other, in order of a hash of the text; null
 keys come first. An empty table gives an empty manifest and no rows. Extra columns are ignored.
 """
 
@@ -156,10 +156,10 @@ def write_token_files(df: DataFrame, tokenizer: str, end_id: int, key: str = "do
     """The manifest, one row for each file in stream order: part, file, docs, n_docs, n_tokens, n_sequences. key: an integer column."""
     folder = to or new_path(df.sparkSession, "tokens")
     rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # As many files as the corpus asks for; rows of one key may go to several.
+    # As many files as the corpus asks for; rows of one key may go to several. Ranges are sampled by short values, never by texts.
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // FILE_BYTES), min(df.sparkSession.sparkContext.defaultParallelism, size // LEAST_BYTES))
-    rows = rows.repartitionByRange(parts, "key", "text").sortWithinPartitions("key", "text")
+    rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(parts, "key", "h").sortWithinPartitions("key", "h", "text").drop("h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = None
