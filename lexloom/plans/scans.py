@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as X
 from lexloom.operators import batches as B
+from lexloom.operators import engines as G
 from lexloom.operators import offline as O
 from lexloom.operators import saves
 from lexloom.operators import write_back as W
@@ -267,3 +268,27 @@ def offline_pipeline(spark, d):
     """Each different line with a model that sets a mark before each piece."""
     rows = entries(spark, d).groupBy("original").agg(F.min("id").alias("id"))
     return O.offline_translations(rows, lambda c: F.concat(F.lit("~"), c), "en", "xx", {"the": "THE"})
+
+
+_FILE_KINDS = ("js/rmmz_core.js", "www/js/rpg_core.js", "game/a.rpy", "game/b.rpyc", "game/c.rpa", "renpy/x.py", "tyrano/t.js", "data/scenario/a.ks", "readme.txt")
+_KIND_SQL = "CASE {0} " + " ".join(f"WHEN {k} THEN '{p}'" for k, p in enumerate(_FILE_KINDS)) + " END"
+
+
+@query(
+    "engine_detect",
+    f"""WITH f AS (
+  SELECT doc_id AS game, {_KIND_SQL.format('doc_id % 9')} AS path FROM documents UNION ALL SELECT doc_id, {_KIND_SQL.format('doc_id // 9 % 9')} FROM documents
+), p AS (SELECT game, list(path) AS l FROM f GROUP BY game), w AS (
+  SELECT game, CASE WHEN list_contains(l, 'js/rmmz_core.js') THEN 100 WHEN list_contains(l, 'www/js/rpg_core.js') THEN 90 ELSE 0 END AS a,
+         CASE WHEN list_contains(l, 'game/a.rpy') THEN 80 WHEN list_contains(l, 'game/b.rpyc') THEN 75 WHEN list_contains(l, 'game/c.rpa') THEN 70 WHEN list_contains(l, 'renpy/x.py') THEN 60 ELSE 0 END AS b,
+         CASE WHEN list_contains(l, 'tyrano/t.js') THEN CASE WHEN list_contains(l, 'data/scenario/a.ks') THEN 95 ELSE 70 END WHEN list_contains(l, 'data/scenario/a.ks') THEN 80 ELSE 0 END AS d FROM p
+) SELECT game, CASE WHEN greatest(a, b, d) = 0 THEN NULL WHEN a >= greatest(b, d) THEN 'rpgmaker' WHEN b >= d THEN 'renpy' ELSE 'tyrano' END AS engine, greatest(a, b, d) AS weight FROM w""",
+)
+def engine_detect(spark, d):
+    """Each document stands for a game with two files, which its number says."""
+    docs = table(spark, d, "documents").where("doc_id IS NOT NULL")
+    kinds = F.array(*map(F.lit, _FILE_KINDS))
+    pick = lambda n: F.get(kinds, (n % 9).cast("int"))
+    paths = F.array(pick(F.col("doc_id")), pick(F.floor(F.col("doc_id") / 9)))
+    files = docs.select(F.col("doc_id").alias("game"), F.explode(paths).alias("path"), F.lit(False).alias("packed"), F.lit(1).alias("size"), F.lit(None).cast("string").alias("head"))
+    return G.detected_engine(files)
