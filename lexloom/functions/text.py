@@ -201,6 +201,16 @@ def short_hash(text: Column) -> Column:
     return F.substring(F.sha1(text), 1, 12)
 
 
+def short_md5(text: Column) -> Column:
+    return F.substring(F.md5(text), 1, 12)
+
+
+def size_text(size: Column, russian: bool = True) -> Column:
+    """A number of bytes in megabytes with one digit, or from a gigabyte on in gigabytes with two."""
+    mega, giga = ("МБ", "ГБ") if russian else ("MB", "GB")
+    return F.when(size >= 1 << 30, F.format_string(f"%.2f {giga}", size / (1 << 30))).otherwise(F.format_string(f"%.1f {mega}", size / (1 << 20)))
+
+
 def spaced_number(n: Column) -> Column:
     return F.replace(F.format_number(n, 0), F.lit(","), F.lit(" "))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import text as X
 
 #: Codes of commands that show text, and how their parameters hold it.
-TEXT_CODES = {401: "dialog", 405: "scroll text", 402: "choice branch", 108: "comment", 408: "comment", 320: "actor name", 324: "nickname"}
+TEXT_CODES = {401: "dialog", 405: "dialog", 402: "branch", 108: "comment", 408: "comment", 320: "rename", 324: "rename"}
 CHOICES = 102
 SCRIPT = (355, 655)
 #: A comment of a script, or (group 1) a string literal; what a literal of text doesn't begin with; levels of an unknown parameter.

@@ -57,3 +57,8 @@ def test_surplus_codes_without_a_mark_of_our_own(spark):
 def test_variables_of_scenarios(spark):
     safe = X.scenario_variables_safe(F.col("s"), F.col("t"))
     assert [one(spark, safe, s=s, t=t)[0] for s, t in (("%player_name のターン", "%player_name ходит"), ("%player_name のターン", "ходит"), ("f.flag", "флаг"), ("&a.b %c", "%c &a.b"), ("plain", "x"))] == [True, False, False, False, True]
+
+
+def test_sizes_and_numbers(spark):
+    r = spark.sql("SELECT 1536L AS a, 3145728L AS b, 1073741824L AS c, 1234567L AS n, 'abc' AS t").select(X.size_text(F.col("a")), X.size_text(F.col("b")), X.size_text(F.col("c"), False), X.spaced_number(F.col("n")), X.short_md5(F.col("t"))).collect()[0]
+    assert tuple(r) == ("0.0 МБ", "3.0 МБ", "1.00 GB", "1 234 567", "900150983cd2")
