@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexloom.functions import answers as AN
 from lexloom.functions import text as X
 from lexloom.operators import batches as B
 from lexloom.operators import engines as G
@@ -292,3 +293,18 @@ def engine_detect(spark, d):
     paths = F.array(pick(F.col("doc_id")), pick(F.floor(F.col("doc_id") / 9)))
     files = docs.select(F.col("doc_id").alias("game"), F.explode(paths).alias("path"), F.lit(False).alias("packed"), F.lit(1).alias("size"), F.lit(None).cast("string").alias("head"))
     return G.detected_engine(files)
+
+
+@query(
+    "model_answers",
+    "WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN CASE WHEN len(l) = 1 THEN md5('[]') END ELSE md5(array_to_string(l, '|')) END AS texts FROM d",
+)
+def model_answers(spark, d):
+    """Each document's lines as a model may give them back: a list within words, numbered lines, lines of JSON, a list that lacks one."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.split("text", "\n").alias("l"))
+    k, n = F.col("doc_id") % 4, F.size("l")
+    numbered = F.array_join(F.reverse(F.transform("l", lambda x, i: F.to_json(F.struct(i.alias("i"), x.alias("t"))))), ",\n")
+    # A text as JSON: the list of it, without the brackets.
+    alone = F.array_join(F.transform("l", lambda x: F.regexp_replace(F.to_json(F.array(x)), r"(?s)^\[|\]$", "")), "\n")
+    content = F.when(k == 0, F.concat(F.lit("Here: "), F.to_json("l"), F.lit("\ndone"))).when(k == 1, numbered).when(k == 2, alone).otherwise(F.to_json(F.slice("l", F.lit(1), n - 1)))
+    return docs.select("doc_id", F.md5(F.array_join(AN.translations_of(content, n), "|")).alias("texts"))
