@@ -14,12 +14,12 @@ keys come first. An empty table gives an empty manifest and no rows. Extra colum
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from lexloom.llm._chunks import ChunkMemo
 from lexloom.llm._work import new_path, written
 
-#: Ids in a sequence, sequences in a record batch, texts encoded together, bytes of text in a file at most (but for a text of its own), and at least if there are tasks to spare.
-SEQUENCE, BATCH, SLICE, FILE_BYTES, LEAST_BYTES = 2048, 128, 512, 64 << 20, 1 << 20
+#: Ids in a sequence, sequences in a record batch, texts encoded together, bytes of text in a file at most (but for a text of its own), and at least if there are tasks to spare, chunks encoded end to end.
+SEQUENCE, BATCH, SLICE, FILE_BYTES, LEAST_BYTES, JOINED = 2048, 128, 512, 64 << 20, 1 << 20, 4096
 #: A space that something other than a word follows: there a chunk would not stand for itself.
 _UNSAFE = re.compile(r" (?:\s|\Z)|\x00")
 
@@ -45,19 +45,41 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text, as the tokenizers' README has it
+        names = self.tok.get_vocab(with_added_tokens=False)
+        # A byte-level vocabulary has a character for each byte.
+        self.bytes = np.zeros(max(names.values(), default=0) + 1, np.int64)
+        self.bytes[list(names.values())] = list(map(len, names))
         self.memo = ChunkMemo(self._fresh)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _fresh(self, chunks: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        got = self._ids(chunks)
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        return [(np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes)]
+        # Chunks that begin with a space may be encoded end to end; whose an id is, its bytes tell.
+        sizes, parts = np.zeros(len(chunks), np.int64), []
+        led = np.fromiter((c[:1] == " " for c in chunks), bool, len(chunks))
+        alone = np.flatnonzero(~led).tolist()
+        lists = self._ids([chunks[k] for k in alone])
+        sizes[alone] = list(map(len, lists))
+        joined = np.flatnonzero(led)
+        runs = [joined[k : k + JOINED] for k in range(0, len(joined), JOINED)]
+        for own, ids in zip(runs, self._ids(["".join([chunks[k] for k in own.tolist()]) for own in runs])):
+            flat = np.array(ids, np.uint32)
+            ends = np.cumsum([len(chunks[k].encode("utf-8", "surrogatepass")) for k in own.tolist()])
+            sizes[own] = np.diff(np.searchsorted(np.cumsum(self.bytes[flat]), ends, side="right"), prepend=0)
+            parts.append(flat)
+        at, out = np.cumsum(sizes) - sizes, np.zeros(int(sizes.sum()), np.uint32)
+        for k, ids in zip(alone, lists):
+            out[at[k] : at[k] + len(ids)] = ids
+        n = sizes[joined]
+        if len(joined):
+            out[np.repeat(at[joined] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = np.concatenate(parts)
+        return [(out, sizes)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         odd = {k for k, t in enumerate(texts) if _UNSAFE.search(t)}
