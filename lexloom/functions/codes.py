@@ -19,7 +19,10 @@ WORD_GAP = "([\u0410-\u042f\u0430-\u044f\u0401\u0451])([.!?,;:])([\u0410-\u042f\
 CIRCLED = "[\u2460-\u2473]"
 #: The same kinds, with brackets only if they hold code.
 _BRACKETED = rf"\[(?![^\[\]\n]*{TEXT_SCRIPT})(?:(?=[^\[\]\n]*{CODE_HINT})|(?=\s*[A-Za-z_][A-Za-z0-9_ ]*\s*\]))[^\[\]\n]{{1,120}}\]"
-_EDGE = "(?:" + CODE.rpartition("|")[0] + "|" + _BRACKETED + "|" + EDGE_TAG + ")"
+#: What a code begins with goes first, so that other places of a text are passed at once.
+_CODE = r"(?=[\\%<\[])(?:" + CODE + ")"
+_EDGE = r"(?=[\\%<\[{])(?:" + CODE.rpartition("|")[0] + "|" + _BRACKETED + "|" + EDGE_TAG + ")"
+_BEGINS, _NO_CODES = r"[\\%<\[]", "array<string>"
 
 
 def is_code(found: Column) -> Column:
@@ -35,7 +38,7 @@ def _woven(parts: Column, between: Column) -> Column:
 
 def mask_codes(text: Column) -> Column:
     """struct(masked, codes): each code replaced by a numbered token."""
-    found = F.struct(F.regexp_extract_all(text, F.lit(CODE), F.lit(0)).alias("all"), F.split(text, CODE, -1).alias("parts"))
+    found = F.struct(F.regexp_extract_all(text, F.lit(_CODE), F.lit(0)).alias("all"), X.split_by(text, _CODE).alias("parts"))
 
     def numbered(z: Column, flags: Column) -> Column:
         own = F.filter(F.sequence(F.lit(0), F.size(flags) - 1), lambda i: F.get(flags, i) == 1)
@@ -43,14 +46,20 @@ def mask_codes(text: Column) -> Column:
         tokens = F.when(F.size(flags) > 0, once(own, lambda own: F.transform(z["all"], lambda c, i: token(own, c, i)))).otherwise(z["all"])
         return F.struct(_woven(z["parts"], tokens).alias("masked"), F.filter(z["all"], lambda c, i: F.get(flags, i) == 1).alias("codes"))
 
-    return once(found, lambda z: once(F.transform(z["all"], lambda c: is_code(c).cast("int")), lambda flags: numbered(z, flags)))
+    some = once(found, lambda z: once(F.transform(z["all"], lambda c: is_code(c).cast("int")), lambda flags: numbered(z, flags)))
+    return F.when(~text.rlike(_BEGINS), F.struct(text.alias("masked"), F.array().cast(_NO_CODES).alias("codes"))).otherwise(some)
+
+
+def codes_of(text: Column) -> Column:
+    """The codes alone."""
+    return F.when(~text.rlike(_BEGINS), F.array().cast(_NO_CODES)).otherwise(F.filter(F.regexp_extract_all(text, F.lit(_CODE), F.lit(0)), is_code))
 
 
 def unmask_codes(masked: Column, codes: Column) -> Column:
     """Tokens replaced by their codes, in one pass; a token without a code stays."""
     tokens = F.regexp_extract_all(masked, F.lit(X.TOKEN), F.lit(0))
     back = F.zip_with(tokens, X.tokens_of(masked), lambda t, i: F.coalesce(F.get(codes, i.try_cast("int")), t))
-    return _woven(F.split(masked, X.TOKEN, -1), back)
+    return F.when(~masked.contains("<"), masked).otherwise(_woven(X.split_by(masked, X.TOKEN), back))
 
 
 def is_code_only(masked: Column) -> Column:
@@ -92,18 +101,21 @@ def fix_codes(source: Column, target: Column) -> Column:
     """Codes that target has more often than source go, the first ones first."""
     times = lambda t, c: (F.length(t) - F.length(F.replace(t, c, F.lit("")))) / F.length(c)
 
+    def fewer(parts: Column, c: Column, surplus: Column) -> Column:
+        return F.concat(F.array_join(F.slice(parts, F.lit(1), surplus + 1), ""), F.when(F.size(parts) > surplus + 1, F.concat(c, F.call_function("array_join", F.slice(parts, surplus + 2, F.size(parts)), c))).otherwise(F.lit("")))
+
     def without(t: Column, c: Column) -> Column:
-        surplus = (times(t, c) - times(source, c)).cast("int")
-        parts = F.call_function("split", t, F.concat(F.lit("\\Q"), c, F.lit("\\E")), F.lit(-1))
-        fewer = F.concat(F.array_join(F.slice(parts, F.lit(1), surplus + 1), ""), F.when(F.size(parts) > surplus + 1, F.concat(c, F.call_function("array_join", F.slice(parts, surplus + 2, F.size(parts)), c))).otherwise(F.lit("")))
-        return F.when(surplus > 0, fewer).otherwise(t)
+        quoted = F.regexp_replace(c, r"([^\p{L}\p{N}\s])", r"\\$1")
+        parts = F.when(t.contains(X.BETWEEN), F.call_function("split", t, quoted, F.lit(-1))).otherwise(F.split(F.replace(t, c, F.lit(X.BETWEEN)), X.BETWEEN, -1))
+        return once((times(t, c) - times(source, c)).cast("int"), lambda surplus: F.when(surplus > 0, once(parts, lambda p: fewer(p, c, surplus))).otherwise(t))
 
-    return F.when(target == source, target).otherwise(F.aggregate(F.array_distinct(mask_codes(target)["codes"]), target, without))
+    mended = once(codes_of(target), lambda codes: F.when(F.size(codes) == 0, target).otherwise(F.aggregate(F.array_distinct(codes), target, without)))
+    return F.when(target == source, target).otherwise(mended)
 
 
 def _replaced(text: Column, pattern: str, f) -> Column:
     """Matches of pattern replaced by f(array of matches)."""
-    return _woven(F.split(text, pattern, -1), once(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), f))
+    return _woven(X.split_by(text, pattern), once(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), f))
 
 
 def fix_circled(source: Column, target: Column) -> Column:
@@ -120,7 +132,7 @@ def fix_signs(source: Column, target: Column) -> Column:
     number = r"-?\d+"
     own = F.regexp_extract_all(source, F.lit(number), F.lit(0))
     signed = lambda a: F.zip_with(a, own, lambda t, s: F.when(s.startswith("-") & (F.ltrim(t, F.lit("-")) == F.ltrim(s, F.lit("-"))), s).otherwise(t))
-    return F.when(F.size(own) == F.regexp_count(target, F.lit(number)), _replaced(target, number, signed)).otherwise(target)
+    return F.when(source.rlike(r"-\d") & (F.size(own) == F.regexp_count(target, F.lit(number))), _replaced(target, number, signed)).otherwise(target)
 
 
 def fix_punctuation(text: Column, target: str) -> Column:
@@ -128,7 +140,9 @@ def fix_punctuation(text: Column, target: str) -> Column:
     if target in ("ja", "zh"):
         return text
     spaced = F.regexp_replace(text, f"([{WIDE_MARKS}])(?=[^{NO_GAP}])", "$1 ")
-    return F.regexp_replace(F.translate(spaced, WIDE_MARKS, MARKS), WORD_GAP, "$1$2 $3")
+    # translate looks at each character on its own, and few texts hold one of the marks.
+    plain = F.when(text.rlike(f"[{WIDE_MARKS}]"), F.translate(spaced, WIDE_MARKS, MARKS)).otherwise(text)
+    return F.regexp_replace(plain, WORD_GAP, "$1$2 $3")
 
 
 def apply_fixers(source: Column, text: Column, target: str) -> Column:
