@@ -73,11 +73,16 @@ def matched_terms(texts: DataFrame, glossary: DataFrame) -> DataFrame:
 
 
 def _set_apart(texts: DataFrame) -> DataFrame:
-    """texts with e, the codes at the edges, m, the masked middle, and as_is: texts that no engine gets."""
-    split = texts.withColumn("e", C.split_edges(F.col("original"))).withColumn("m", C.mask_codes(F.col("e.middle")))
-    masked, original = F.col("m.masked"), F.col("original")
-    as_is = C.is_code_only(masked) | ~X.has_letter(original) | X.is_code_token(masked) | X.is_code_token(original) | X.is_single_letter(masked)
-    return split.withColumn("as_is", as_is)
+    """texts with e, the codes at the edges, m, the masked middle, and as_is: texts that no engine gets. Written once, as each filter on as_is would work all of it out again."""
+    original = F.col("original")
+
+    def as_is(masked: Column) -> Column:
+        return C.is_code_only(masked) | ~X.has_letter(original) | X.is_code_token(masked) | X.is_code_token(original) | X.is_single_letter(masked)
+
+    def parted(e: Column) -> Column:
+        return X.once(C.mask_codes(e["middle"]), lambda m: F.struct(e.alias("e"), m.alias("m"), as_is(m["masked"]).alias("as_is")))
+
+    return stored(texts.withColumn("s__", X.once(C.split_edges(original), parted)), "set_apart").select(*texts.columns, "s__.*")
 
 
 def with_engine(texts: DataFrame, engine: Engine, target: str, lines: DataFrame | None = None) -> DataFrame:
@@ -89,10 +94,11 @@ def with_engine(texts: DataFrame, engine: Engine, target: str, lines: DataFrame
     good = out.where(F.coalesce(whole, F.lit(False))).withColumn("back", C.unmask_codes(F.col("out"), codes))
     lost = asked(out.where(~F.coalesce(whole, F.lit(False))).drop("out"), engine, "original", lines).withColumn("back", F.col("out"))
     back = good.select("lang", "original", "e", "back").unionByName(lost.select("lang", "original", "e", "back"))
-    full = F.when(X.is_blank(F.col("back")), original).otherwise(F.col("back"))
-    joined = back.withColumn("joined", C.reattach(full, F.col("e.lead"), F.col("e.trail")))
-    answered = joined.select("lang", "original", C.apply_fixers(original, F.col("joined"), target).alias("text"))
-    return answered.unionByName(_set_apart(texts).where("as_is").select("lang", "original", original.alias("text")))
+    # Each step uses what the one before gives in several places.
+    full = X.once(F.col("back"), lambda b: F.when(X.is_blank(b), original).otherwise(b))
+    joined = X.once(full, lambda t: C.reattach(t, F.col("e.lead"), F.col("e.trail")))
+    answered = back.select("lang", "original", X.once(joined, lambda t: C.apply_fixers(original, t, target)).alias("text"))
+    return answered.unionByName(split.where("as_is").select("lang", "original", original.alias("text")))
 
 
 def by_segments(texts: DataFrame, engine: Engine, target: str) -> DataFrame:
