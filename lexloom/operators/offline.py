@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as PT
 
 from lexloom.functions import text as X
+from lexloom.functions.shared import stored
 from lexloom.operators.translate import Engine, asked
 
 #: Latin letters and their Cyrillic ones; abbreviations that end no sentence; marks that close a quotation; placeholders.
@@ -55,7 +56,7 @@ def normalised(text: Column) -> Column:
 
 def sentences(text: Column, source: str) -> Column:
     """The sentences of a text; joined they give it back."""
-    return F.filter(F.split(text, JA_END if source == "ja" else END, -1), lambda s: s != "")
+    return F.filter(X.split_by(text, JA_END if source == "ja" else END), lambda s: s != "")
 
 
 def chunks(text: Column, most: int) -> Column:
@@ -126,10 +127,12 @@ def offline_translations(texts: DataFrame, engine: Engine, source: str, target:
     rows = rows.withColumn("quick", quick)
     work = rows.where("quick IS NULL AND t IS NOT NULL").select("key", with_terms(normalised(F.col("t")), glossary).alias("n"))
     # Placeholders stand between the parts.
-    marks, parts = F.regexp_extract_all("n", F.lit(PLACEHOLDER), F.lit(0)), F.split("n", PLACEHOLDER, -1)
+    marks, parts = F.regexp_extract_all("n", F.lit(PLACEHOLDER), F.lit(0)), X.split_by(F.col("n"), PLACEHOLDER)
     pairs = F.flatten(F.zip_with(parts, marks, lambda p, m: F.concat(F.transform(sentences(F.coalesce(p, F.lit("")), source), lambda s: F.struct(s.alias("s"), X.has_letter(s).alias("live"))), F.array(F.struct(m.alias("s"), F.lit(False).alias("live"))))))
     cut = work.select("key", F.posexplode(F.filter(pairs, lambda x: x["s"].isNotNull())).alias("at", "x")).select("key", "at", "x.live", "x.s")
-    pieces = cut.where("live").select("key", "at", F.posexplode(chunks(F.col("s"), most)).alias("sub", "piece"))
+    # Read three times: what is to be asked, what was answered, and what stays.
+    cut = stored(cut, "sentences")
+    pieces = stored(cut.where("live").select("key", "at", F.posexplode(chunks(F.col("s"), most)).alias("sub", "piece")), "pieces")
     wanted = pieces.groupBy("piece").agg(F.min(F.xxhash64("key", "at", "sub")).alias("first_id")).withColumn("lang", F.lit(source))
     out = asked(wanted, engine, "piece").select("piece", "out")
     # What looks made up, or wasn't answered, stays as it is.
