@@ -204,7 +204,7 @@ def patched(files: DataFrame, edits: DataFrame, change: Change) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for r in b.to_pylist():
+            for r in (x.as_py() for x in b.to_struct_array()):
                 try:
                     body, n = change(r["body"], [(e["json_path"], e["original"], e["translation"]) for e in r["edits"]])
                 except ValueError:
