@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as X
+from lexloom.functions.shared import dealt
 from lexloom.sources import game_json as J
 
 #: The fields with text of each database, and those of the system file.
@@ -55,8 +56,8 @@ def _kind(name: Column) -> Column:
 
 def named_files(files: DataFrame, file: str = "file", body: str = "body") -> DataFrame:
     """file, body, name, stem, kind, data (null: not JSON)."""
-    name = F.element_at(F.split(file, "/"), -1)
-    rows = files.select(F.col(file).alias("file"), F.col(body).alias("body"), name.alias("name"))
+    name = F.element_at(F.split("file", "/"), -1)
+    rows = dealt(files.select(F.col(file).alias("file"), F.col(body).alias("body")), "file", "body").withColumn("name", name)
     return rows.where(F.col("name").endswith(".json")).withColumn("stem", F.regexp_replace("name", r"\.json$", "")).withColumn("kind", _kind(F.col("name"))).withColumn("data", F.try_parse_json("body"))
 
 

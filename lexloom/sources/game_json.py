@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as X
+from lexloom.functions.shared import dealt
 
 #: Codes of commands that show text, and how their parameters hold it.
 TEXT_CODES = {401: "dialog", 405: "dialog", 402: "branch", 108: "comment", 408: "comment", 320: "rename", 324: "rename"}
@@ -51,9 +52,9 @@ def _string(v: Column) -> Column:
 
 def _members(v: Column) -> Column:
     """array(struct(step, v)): of a list or an object what it holds, else null."""
-    kind = F.schema_of_variant(v)
-    listed = F.transform(F.when(kind.startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")), lambda x, j: F.struct(F.concat(F.lit("["), j.cast("string"), F.lit("]")).alias("step"), x.alias("v")))
-    named = F.transform(F.map_entries(F.when(kind.startswith("OBJECT"), F.try_variant_get(v, "$", "map<string,variant>"))), lambda e: F.struct(F.concat(F.lit("."), e["key"]).alias("step"), e["value"].alias("v")))
+    # Of a value of another kind these give null; its whole schema need not be read for that.
+    listed = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, j: F.struct(F.concat(F.lit("["), j.cast("string"), F.lit("]")).alias("step"), x.alias("v")))
+    named = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: F.struct(F.concat(F.lit("."), e["key"]).alias("step"), e["value"].alias("v")))
     return F.coalesce(listed, named)
 
 
@@ -108,9 +109,10 @@ def flat_paths(rows: DataFrame, key: str, json: str, levels: int = 12) -> DataFr
     JSON, or neither an object nor a list, gives nothing.
     """
     v = F.try_parse_json(json)
-    level = rows.select(key, F.lit("").alias("path"), v.alias("v")).where(F.schema_of_variant("v").rlike("^(?:OBJECT|ARRAY)"))
+    # Short documents of a small file hold much work for one task.
+    level = dealt(rows.select(key, json), key, json).select(key, F.lit("").alias("path"), v.alias("v")).where(_members(F.col("v")).isNotNull())
     for _ in range(levels):
-        inside = _members(F.col("v"))
+        inside = F.get(F.filter(F.array(_members(F.col("v"))), lambda m: F.size(m) > 0), F.lit(0))
         as_is = F.array(F.struct(F.lit("").alias("step"), F.col("v").alias("v")))
-        level = level.select(key, "path", F.explode(F.when(F.size(inside) > 0, inside).otherwise(as_is)).alias("m")).select(key, F.concat("path", "m.step").alias("path"), "m.v")
-    return level.select(key, F.regexp_replace("path", r"^\.", "").alias("path"), F.when(F.schema_of_variant("v") != "VOID", F.col("v").cast("string")).alias("value"))
+        level = level.select(key, "path", F.explode(F.coalesce(inside, as_is)).alias("m")).select(key, F.concat("path", "m.step").alias("path"), "m.v")
+    return level.select(key, F.regexp_replace("path", r"^\.", "").alias("path"), F.when(~F.is_variant_null("v"), F.col("v").cast("string")).alias("value"))
