@@ -22,10 +22,13 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Mapping
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.llm._work import written
+
 #: Short public licence notices, by SPDX name.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"],
@@ -40,8 +43,8 @@ TEMPLATES = {
 }
 #: Bigrams of the template table that may be broadcast.
 BROADCAST_BIGRAMS = 500_000
-#: Anchors looked up in a document before the join; more are left to the join.
-LOOKED_UP = 2000
+#: Anchors looked up in a document before the join; more are left to the join. Anchors sought in every text before all else.
+LOOKED_UP, SOUGHT = 2000, 400
 
 
 def normal(text: Column) -> Column:
@@ -80,11 +83,22 @@ def passages(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.where(t.isNotNull()).select(F.col(key).alias("doc"), F.inline(F.concat(lines, paras, whole)))
 
 
+def _anchors(have: list[str], lo: int) -> list[str]:
+    """Bigrams of a template of which each match has one."""
+    return sorted(have, key=lambda x: (-len(x), x))[: len(have) - lo + 1]
+
+
+def _holding_any(df: DataFrame, text: str, wanted: list[str]) -> DataFrame:
+    """The rows whose normalised text has one of these pieces (sorted) in it, from the begin of a word on: no other can have a passage or a window that matches, as these are parts of the text and their words are its own."""
+    by_first = [f"{c}(?:{'|'.join(a[1:] for a in own)})" for c, own in groupby(wanted, key=lambda a: a[0])]
+    return df.where(F.concat(F.lit(" "), normal(F.col(text))).rlike(f" (?:{'|'.join(by_first)})") if wanted else F.lit(False))
+
+
 def _windows(df: DataFrame, key: str, text: str, known: list[tuple[str, list[str], int, int]], least: float) -> DataFrame:
     """doc, license, dice, kind (window), at: the best window from each of its begins with a Dice of least or more."""
     rows = []
     for name, have, lo, hi in known:
-        anchors = sorted(have, key=lambda x: (-len(x), x))[: len(have) - lo + 1]
+        anchors = _anchors(have, lo)
         rows += [(x, anchors, name, have, lo, hi) for x in anchors]
     table = df.sparkSession.createDataFrame(rows, "anchor string, anchors array<string>, license string, have array<string>, lo int, hi int")
     table = F.broadcast(table) if sum(len(r[1]) + len(r[3]) for r in rows) <= BROADCAST_BIGRAMS else table
@@ -119,6 +133,10 @@ def license_scan(df: DataFrame, key: str = "doc_id", text: str = "text", templat
     # A row for each template and size it may meet: so few that they go to every task; more are shuffled.
     table = F.broadcast(table) if sum(map(len, (r[2] for r in rows))) <= BROADCAST_BIGRAMS else table
     most = max((r[0] for r in rows), default=0)
+    wanted = sorted({x for _, own, lo, _ in known for x in _anchors(own, lo)})
+    if len(wanted) <= SOUGHT:
+        # Written, as passages and windows would each look through all texts.
+        df = written(_holding_any(df.select(key, text), text, wanted), "sought")
     found = passages(df, key, text)
     sized = found.withColumn("b", bigrams(normal(F.col("passage")))).drop("passage").withColumn("n", F.size("b")).where(F.col("n").between(1, most))
     common = F.size(F.array_intersect("b", "have"))

@@ -700,3 +700,14 @@ def test_the_near_duplicate_stage_keeps_one_row_of_each_class(spark):
     assert out.columns == df.columns
     want = [(0, a), (1, b), (1, c), (5, d), (None, b[:200]), (7, None), (7, None), (8, "..."), (None, "...")]
     assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in out.collect()))) == sorted(map(repr, want))
+
+
+def test_licences_are_scanned_in_texts_that_hold_an_anchor(spark, monkeypatch):
+    from lexloom.llm import license_scan
+
+    kept, keep = [], license_scan.written
+    monkeypatch.setattr(license_scan, "written", lambda df, name: kept.append(keep(df, name)) or kept[-1])
+    texts = ["nothing of it " * 9, "x\nLicensed under CC\nBY-NC 4.0.", "Released, under the MIT license", None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["license"]) for r in license_scan.license_scan(rows).collect()}
+    assert got == {(1, "CC-BY-NC-4.0"), (2, "MIT")} and {r["doc_id"] for r in kept[0].collect()} == {1, 2}
