@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from lexloom.llm._tally import chunk_of, mixed, plan
 
 #: Window starts hashed together (a power of two), bytes whose suffixes are sorted together, occurrences of a seed that one lot may hold.
-BLOCK, LOT_BYTES, HOT = 1 << 20, 1 << 20, 3000
+BLOCK, LOT_BYTES, HOT = 1 << 19, 1 << 19, 3000
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _PLACE = np.uint64(BLOCK * 2 - 1)
 _NULL_LAST = np.iinfo(np.int64).max
