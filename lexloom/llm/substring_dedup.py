@@ -39,6 +39,8 @@ from lexloom.llm._tally import chunk_of, mixed, plan
 
 #: Window starts hashed together (a power of two), bytes whose suffixes are sorted together, occurrences of a seed that one lot may hold.
 BLOCK, LOT_BYTES, HOT = 1 << 19, 1 << 19, 3000
+#: Parts (a power of two) in which a bucket's windows of hot seeds are sorted.
+PARTS = 8
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _PLACE = np.uint64(BLOCK * 2 - 1)
 _NULL_LAST = np.iinfo(np.int64).max
@@ -256,6 +258,15 @@ class _Runs:
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 2, _FOUND)], schema=_FOUND)
 
 
+def _joined(chunk: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Single windows as runs: chunk, start, number of windows."""
+    order = np.lexsort((start, chunk))
+    chunk, start = chunk[order], start[order]
+    first = np.flatnonzero(np.append(True, (chunk[1:] != chunk[:-1]) | (start[1:] > start[:-1] + 1))[: len(chunk)])
+    last = np.append(first[1:], len(chunk))[: len(first)] - 1
+    return chunk[first], start[first], start[last] - start[first] + 1
+
+
 def _judging(table: pa.Table, length: int, first: bool, lot: int) -> pa.Table:
     """Of a bucket, the runs of windows that go."""
     runs, kind = _Runs(), table["kind"].to_numpy()
@@ -265,6 +276,7 @@ def _judging(table: pa.Table, length: int, first: bool, lot: int) -> pa.Table:
         heads = [_restored(h, np.int64).reshape(6, -1) for h in own["heads"].to_pylist()]
         chunk = np.repeat(own["chunk"].to_numpy().astype(np.int64), [h.shape[1] for h in heads])
         seed, whole, key, start, n, more = np.concatenate(heads, 1)
+        del heads
         text = np.frombuffer(b"".join(map(zstandard.decompress, own["body"].to_pylist())), np.uint8)
         size = n + length - 1
         at = np.cumsum(size) - size
@@ -283,11 +295,17 @@ def _judging(table: pa.Table, length: int, first: bool, lot: int) -> pa.Table:
         heads = [_restored(h, np.int64).reshape(5, -1) for h in own["heads"].to_pylist()]
         chunk = np.repeat(own["chunk"].to_numpy().astype(np.int64), [h.shape[1] for h in heads])
         one, two, key, start, more = np.concatenate(heads, 1)
-        order = np.lexsort((start, chunk, key, two, one))
-        new = np.append(True, (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0))
-        alone = new & np.append(new[1:], True)
-        gone = order[~new if first else ~alone | (more[order] > 0)]
-        runs.add(chunk[gone], start[gone], np.ones(len(gone), np.int64))
+        del heads
+        # Equal hashes lie in one part, so that a fraction of the windows is sorted at a time.
+        gone = np.zeros(len(one), bool)
+        for part in range(PARTS):
+            at = np.flatnonzero(one & PARTS - 1 == part)
+            if len(at):
+                order = at[np.lexsort((start[at], chunk[at], key[at], two[at], one[at]))]
+                new = np.append(True, (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0))
+                alone = new & np.append(new[1:], True)
+                gone[order[~new if first else ~alone | (more[order] > 0)]] = True
+        runs.add(*_joined(chunk[gone], start[gone]))
     return runs.table(ready)
 
 

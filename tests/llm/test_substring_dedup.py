@@ -92,3 +92,9 @@ def test_query_against_all_windows(spark):
     rows = queries.op12_substring_dedup(spark, sf).collect()
     assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows) == want
     assert any(n for _, _, n, _, _ in want)
+
+
+def test_single_windows_become_runs():
+    chunk, start = np.array([1, 0, 1, 1, 0, 1]), np.array([7, 3, 5, 6, 9, 6])
+    assert [x.tolist() for x in substring_dedup._joined(chunk, start)] == [[0, 0, 1], [3, 9, 5], [1, 1, 3]]
+    assert [len(x) for x in substring_dedup._joined(chunk[:0], start[:0])] == [0, 0, 0]
