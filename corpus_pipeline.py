@@ -65,7 +65,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     row = free_name(docs, "row_id")
     # Rows that share it are equal, so any of them may stay.
     named = docs.withColumn(row, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*docs.columns).alias("h")))
-    found = near_dup.near_duplicates(named.select(row, "text"), key=row)
+    found = near_dup.near_duplicates(named.select(row, "text"), key=row, sets=True)
     kept = found.where(F.col("class_id") == F.col(row)).select(row)
     worded = F.coalesce(F.col("text").rlike(near_dup.WORD), F.lit(False))
     # Equal rows meet before the shuffle.

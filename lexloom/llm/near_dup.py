@@ -7,6 +7,11 @@ share a band and about half of all samples (by four bits of each) are candidates
 similarity. Linked documents, and those linked through others, are one class. `damping` divides the logarithm: 1 is TF-IDF,
 infinity the bare counts.
 
+In a large group of near copies the shingles that they share weigh little and the few own ones of each much, the more so the
+larger the group and the corpus. With `sets`, documents are also linked if the plain Jaccard similarity of their sets of
+shingles is as large as asked: the least hash of each draw is a sample of the set, such samples make as many bands more, and
+every comparison looks at both similarities. So a link is lost to neither weights nor a group's size.
+
 Documents of the same words are one text from the start, so copies cost nothing further; D and df count them all. Of a band
 that many texts share, no pairs are listed: its texts meet a leader (the text with the most company in all its bands); texts
 that thereby join one class are done, and what is left in several classes meets the next leaders, more each time and those
@@ -106,8 +111,11 @@ def _gamma2() -> tuple[np.ndarray, np.ndarray]:
     return lo.astype(np.float32), np.log(lo).astype(np.float32)
 
 
-def samples(keys: np.ndarray, weight: np.ndarray, sizes: np.ndarray, many: int) -> np.ndarray:
-    """Of each text (a row; none of its sizes is 0) `many` consistent weighted samples, as hashes of shingle and level."""
+def samples(keys: np.ndarray, weight: np.ndarray, sizes: np.ndarray, many: int, of_set: np.ndarray | None = None) -> np.ndarray:
+    """Of each text (a row; none of its sizes is 0) `many` consistent weighted samples, as hashes of shingle and level.
+
+    of_set gets as many samples of its set of shingles, each the least hash of a draw.
+    """
     gamma, log_gamma = _gamma2()
     log_w, ends = np.log(weight).astype(np.float32), np.cumsum(sizes)
     out = np.zeros((len(sizes), many), np.uint64)
@@ -124,10 +132,12 @@ def samples(keys: np.ndarray, weight: np.ndarray, sizes: np.ndarray, many: int)
                 z ^= z >> np.uint64(32)
                 z *= np.uint64(0x94D049BB133111EB)
                 z ^= z >> np.uint64(29)
+            if of_set is not None:
+                of_set[lo:hi, j] = np.minimum.reduceat(z, starts)
             bits = z.view(np.uint16).reshape(-1, 4)
-            r, beta = gamma[bits[:, 0]], bits[:, 2].astype(np.float32) * np.float32(1 / 65536) + np.float32(1 / 131072)
+            r, beta = gamma.take(bits[:, 0]), bits[:, 2].astype(np.float32) * np.float32(1 / 65536) + np.float32(1 / 131072)
             level = np.floor(w / r + beta)
-            a = log_gamma[bits[:, 1]] - r * (level - beta + np.float32(1))
+            a = log_gamma.take(bits[:, 1]) - r * (level - beta + np.float32(1))
             hit = np.flatnonzero(a == np.minimum.reduceat(a, starts)[row])
             hit = hit[np.unique(row[hit], return_index=True)[1]] if len(hit) > len(own) else hit
             with np.errstate(over="ignore"):
@@ -156,8 +166,8 @@ def sketches(sampled: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def differences(a: str, b: str, many: int) -> Column:
-    """How many of the samples differ in their four bits."""
+def differences(a: str, b: str, many: int, first: int = 0) -> Column:
+    """How many of the samples differ in their four bits; first: the number that holds the first ones."""
 
     def part(i: int) -> Column:
         x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
@@ -165,25 +175,26 @@ def differences(a: str, b: str, many: int) -> Column:
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
         return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
 
-    total = part(0)
-    for i in range(1, -(-many // 16)):
+    total = part(first)
+    for i in range(first + 1, first - (-many // 16)):
         total = total + part(i)
     return total
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard of (sorted keys, weights)."""
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], sets: bool = False) -> float:
+    """Weighted Jaccard of (sorted keys, weights); sets: or that of the keys alone, if larger."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     both = float(np.minimum(a[1][i], b[1][j]).sum())
-    return both / (float(a[1].sum()) + float(b[1].sum()) - both)
+    weighted = both / (float(a[1].sum()) + float(b[1].sum()) - both)
+    return max(weighted, len(i) / (len(a[0]) + len(b[0]) - len(i))) if sets else weighted
 
 
 def _digest(text: str) -> Column:
     return F.unhex(F.md5(text))
 
 
-def _sketched(df: DataFrame, key: str, text: str, size: int, bands: int, rows: int, damping: float) -> tuple[DataFrame, int]:
-    """Written: key, t (digest of the text), tag, bands, dfs of each row; the number of rows compared."""
+def _sketched(df: DataFrame, key: str, text: str, size: int, bands: int, rows: int, damping: float, sets: bool) -> tuple[DataFrame, int]:
+    """Written: key, t (digest of the text), tag, bands, sketch, dfs of each row; the number of rows compared."""
     chunks, buckets = _tally.plan(df, text)
     docs = df.select(_tally.chunk_of(key, text, chunks).alias("chunk"), F.col(key).alias("key"), _digest(text).alias("t"), F.col(text).alias("text"))
     many = df.where(F.col(text).isNotNull()).count()
@@ -197,15 +208,16 @@ def _sketched(df: DataFrame, key: str, text: str, size: int, bands: int, rows: i
         s = Shingles(left["text"].to_pylist(), size)
         df_ = _tally.totals(right, 1, buckets)[0][np.unique(s.keys, return_inverse=True)[1]] if len(s.keys) else np.zeros(0, np.uint64)
         full = s.sizes > 0
-        sampled = samples(s.keys, weights(s.counts, df_, many, damping), s.sizes[full], bands * rows)
-        lists = [iter(x.tolist()) for x in (band_keys(sampled, bands, rows), sketches(sampled))]
+        of_set = np.zeros((int(full.sum()), bands * rows), np.uint64) if sets else None
+        sampled = [samples(s.keys, weights(s.counts, df_, many, damping), s.sizes[full], bands * rows, of_set)] + ([of_set] if sets else [])
+        lists = [iter(x.tolist()) for x in (band_keys(np.hstack(sampled), bands * len(sampled), rows), np.hstack([sketches(x) for x in sampled]))]
         held = [_tally.planes(x.astype(np.uint32)) if len(x) else None for x in np.split(df_, s.ends[:-1])]
         return pa.table([left["key"].combine_chunks(), left["t"].combine_chunks(), pa.array(s.tags, pa.binary()), *(pa.array([next(x) if f else None for f in full.tolist()], pa.list_(pa.int64())) for x in lists), pa.array(held, pa.binary())], names=schema.names)
 
     return written(_tally.resolved(docs, request, resolve, schema), "sketches"), many
 
 
-def _linked(pairs: DataFrame, content: DataFrame, docs: int, least: float, size: int, damping: float) -> DataFrame:
+def _linked(pairs: DataFrame, content: DataFrame, docs: int, least: float, size: int, damping: float, sets: bool) -> DataFrame:
     """The pairs (a, b) of tags that are as similar as asked. Spark splits the joins if a leader has many pairs."""
     side = lambda n: content.select(F.col("tag").alias(n), F.col("text").alias(f"{n}_text"), F.col("dfs").alias(f"{n}_dfs"))
     rows = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_text", "a_dfs", "b_text", "b_dfs")
@@ -222,7 +234,7 @@ def _linked(pairs: DataFrame, content: DataFrame, docs: int, least: float, size:
             return known[tag]
 
         for b in _tally.in_slices(batches, 256):
-            keep = [similarity(content_of(r["a"], r["a_text"], r["a_dfs"]), content_of(r["b"], r["b_text"], r["b_dfs"])) >= least - 1e-12 for r in b.to_pylist()]
+            keep = [similarity(content_of(r["a"], r["a_text"], r["a_dfs"]), content_of(r["b"], r["b_text"], r["b_dfs"]), sets) >= least - 1e-12 for r in b.to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return rows.mapInArrow(run, "a binary, b binary")
@@ -246,8 +258,8 @@ def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def similarities(a: Shingles, a_weights: np.ndarray, b: Shingles, b_weights: np.ndarray) -> np.ndarray:
-    """Weighted Jaccard of each text of a with each of b; a shingle weighs as much for each time that a text has it."""
+def similarities(a: Shingles, a_weights: np.ndarray, b: Shingles, b_weights: np.ndarray, sets: bool = False) -> np.ndarray:
+    """Weighted Jaccard of each text of a with each of b; a shingle weighs as much for each time that a text has it. sets: or that of the sets, if larger."""
     common = np.intersect1d(a.keys, b.keys)
 
     def sides(s: Shingles, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -259,11 +271,11 @@ def similarities(a: Shingles, a_weights: np.ndarray, b: Shingles, b_weights: np.
     (a_doc, a_at, a_n, one, a_all), (b_doc, b_at, b_n, _, b_all) = sides(a, a_weights), sides(b, b_weights)
     each = np.zeros(len(common))
     each[a_at] = one
-    both = np.zeros((len(a.sizes), len(b.sizes)))
+    both, shared = np.zeros((2, len(a.sizes), len(b.sizes)))
     # The n-th time that one text has a shingle meets the n-th time of the other; what holds for all n between two counts is done at once.
     levels = np.union1d(a_n, b_n)
     levels = levels[levels <= min(a_n.max(initial=0), b_n.max(initial=0))]
-    for n, times in zip(levels.tolist(), np.diff(levels, prepend=0).tolist()):
+    for level, (n, times) in enumerate(zip(levels.tolist(), np.diff(levels, prepend=0).tolist())):
         x, y = a_n >= n, b_n >= n
         places = np.intersect1d(a_at[x], b_at[y])
         for lo in range(0, len(places), PLACES):
@@ -275,7 +287,10 @@ def similarities(a: Shingles, a_weights: np.ndarray, b: Shingles, b_weights: np.
                 m[doc[hit], k[hit]] = 1
                 sides_.append(m)
             both += (sides_[0] * (each[own] * times)) @ sides_[1].T
-    return both / np.maximum(a_all[:, None] + b_all[None, :] - both, 1e-300)
+            if sets and level == 0:
+                shared += sides_[0] @ sides_[1].T
+    weighted = both / np.maximum(a_all[:, None] + b_all[None, :] - both, 1e-300)
+    return np.maximum(weighted, shared / np.maximum(a.sizes[:, None] + b.sizes[None, :] - shared, 1)) if sets else weighted
 
 
 def _parts(rows: DataFrame, content: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -296,7 +311,7 @@ def _in_blocks(table: pa.Table) -> Iterator[list[dict]]:
         yield block
 
 
-def _met(rest: DataFrame, lead: DataFrame, content: DataFrame, docs: int, least: float, size: int, damping: float) -> DataFrame:
+def _met(rest: DataFrame, lead: DataFrame, content: DataFrame, docs: int, least: float, size: int, damping: float, sets: bool) -> DataFrame:
     """Links (a, b) that join what the texts of each band and its leaders have in common, if not of one class yet: every pair is compared exactly.
 
     A band's texts and leaders are dealt into parts of bounded size by a hash; each pair of parts is a group of its own, so
@@ -325,7 +340,7 @@ def _met(rest: DataFrame, lead: DataFrame, content: DataFrame, docs: int, least:
                 classes = [np.array([names[t["label"]] for t in texts]) for texts in (a, b)]
                 apart = classes[0][:, None] != classes[1][None, :]
                 if apart.any():
-                    ends += [(a[i]["tag"], b[j]["tag"]) for i, j in spanning(apart & (similarities(*own, *theirs) >= least - 1e-12))]
+                    ends += [(a[i]["tag"], b[j]["tag"]) for i, j in spanning(apart & (similarities(*own, *theirs, sets) >= least - 1e-12))]
         return pa.table([pa.array([f(e) for e in ends], pa.binary()) for f in (min, max)], names=["a", "b"])
 
     return dealt(left, "l", "r").unionByName(dealt(right, "r", "l")).groupBy("band", "l_part", "r_part").applyInArrow(compared, "a binary, b binary").distinct()
@@ -347,13 +362,15 @@ def _labels(edges: DataFrame, before: DataFrame | None) -> DataFrame:
             return now
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST, size: int = WORDS, bands: int = BANDS, rows: int = ROWS, damping: float = DAMPING) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST, size: int = WORDS, bands: int = BANDS, rows: int = ROWS, damping: float = DAMPING, sets: bool = False) -> DataFrame:
     """key, class_id (the smallest key of its class), class_size, and copies, the rows with the same words: one row for each row of df."""
-    found, many = _sketched(df, key, text, size, bands, rows, damping)
-    members = found.where(F.col("tag").isNotNull()).select("tag", "sketch", F.explode("bands").alias("band")).distinct()
+    found, many = _sketched(df, key, text, size, bands, rows, damping, sets)
+    texts = written(found.where(F.col("tag").isNotNull()).select("tag", "sketch", "bands").distinct(), "texts")
+    members = texts.select("tag", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(members.join(shared, "band"), "members")
-    rest = written(members.join(members.groupBy("tag").agg(F.sum("n").alias("company")), "tag").select("band", "tag", "sketch", "company", F.col("tag").alias("label")), "rest")
+    company = members.groupBy("tag").agg(F.sum("n").alias("company")).join(texts.select("tag", "sketch"), "tag")
+    rest = written(members.join(company, "tag").select("band", "tag", "sketch", "company", F.col("tag").alias("label")), "rest")
     # Of a pair at `least` so many samples differ with a chance of 1e-4 only.
     sampled = bands * rows
     most_apart = math.ceil(sampled * (1 - least) + 3.7 * math.sqrt(sampled * least * (1 - least)))
@@ -371,11 +388,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leas
         first = F.row_number().over(Window.partitionBy("band").orderBy(*order, "tag"))
         lead = written(sized.withColumn("rank", first).where(F.col("rank") <= MORE ** min(k, 4)).select("band", "rank", F.col("tag").alias("leader"), F.col("label").alias("own"), F.col("sketch").alias("theirs")), "leaders")
         if k == 0:
-            near = (F.col("label") != F.col("own")) & (differences("sketch", "theirs", sampled) <= most_apart)
-            met = rest.join(lead, "band").where(near).select(F.least("tag", "leader").alias("a"), F.greatest("tag", "leader").alias("b")).distinct()
-            links = _linked(written(met, "pairs"), content, many, least, size, damping)
+            close = differences("sketch", "theirs", sampled) <= most_apart
+            close = close | (differences("sketch", "theirs", sampled, -(-sampled // 16)) <= most_apart) if sets else close
+            met = rest.join(lead, "band").where((F.col("label") != F.col("own")) & close).select(F.least("tag", "leader").alias("a"), F.greatest("tag", "leader").alias("b")).distinct()
+            links = _linked(written(met, "pairs"), content, many, least, size, damping, sets)
         else:
-            links = _met(rest, lead, content, many, least, size, damping)
+            links = _met(rest, lead, content, many, least, size, damping, sets)
         new = written(links, "links")
         rest = rest.join(lead.select("band", F.col("leader").alias("tag")), ["band", "tag"], "left_anti")
         if not new.isEmpty():

@@ -131,7 +131,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+    return near_dup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), sets=True)
 
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
